@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from workledger.llm.common import read
+from workledger.llm.common import read, shared_dir
 from workledger.llm.minhash import MinHashConfig, near_duplicates
+from workledger.llm.quality import quality
+from workledger.llm.token_counts import token_counts
+from workledger.llm.toxicity import toxicity
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +19,36 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), MinHashConfig(width=4))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learned from rows that are not held out."""
+    return toxicity(
+        read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic")
+    )
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and calibrated isolation forest."""
+    return quality(
+        read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "quality")
+    ).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every text under the word-end vocabulary."""
+    return token_counts(
+        read(spark, sf_dir, "documents", "doc_id", "text"),
+        public_tokenizers.path("word_bpe_49k.json"),
+        shared_dir(spark, "token-cache"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op4_toxicity": op4_toxicity,
+    "op6_quality": op6_quality,
+    "op8_token_counts": op8_token_counts,
 }
 
 ORACLES: dict[str, str] = {}
