@@ -7,8 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from workledger.llm.common import read, shared_dir
+from workledger.llm.decontaminate import decontaminate
 from workledger.llm.minhash import MinHashConfig, near_duplicates
+from workledger.llm.mixing import MixConfig, mix
 from workledger.llm.quality import quality
 from workledger.llm.token_counts import token_counts
 from workledger.llm.toxicity import toxicity
@@ -35,6 +39,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schedule that mixes the sources at 95 % of the entropy of equal weights."""
+    return mix(read(spark, sf_dir, "documents", "doc_id", "source", "text"), MixConfig(entropy_share=0.95))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every text under the word-end vocabulary."""
     return token_counts(
@@ -44,11 +53,42 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least 80 % of the 5-word shingles of a benchmark item."""
+    return decontaminate(
+        read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text")
+    ).withColumn("item_ids", F.array_join("item_ids", ","))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op4_toxicity": op4_toxicity,
     "op6_quality": op6_quality,
+    "op7_mixing": op7_mixing,
     "op8_token_counts": op8_token_counts,
+    "op9_decontamination": op9_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+_GRAMS = r"""
+    SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS gram
+    FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM (
+        SELECT {id} AS id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w
+        FROM {table} WHERE {id} IS NOT NULL) WHERE len(w) >= 5)
+"""
+
+ORACLES: dict[str, str] = {
+    "op9_decontamination": f"""
+        WITH d AS ({_GRAMS.format(id="doc_id", table="documents")}),
+        b AS ({_GRAMS.format(id="item_id", table="benchmark")}),
+        sizes AS (SELECT id, count(*) AS size FROM b GROUP BY id),
+        pairs AS (
+            SELECT d.id AS doc_id, b.id AS item_id FROM d JOIN b USING (gram) JOIN sizes ON sizes.id = b.id
+            GROUP BY d.id, b.id, size HAVING 100 * count(*) >= 80 * size),
+        lists AS (
+            SELECT doc_id, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS ids
+            FROM pairs GROUP BY doc_id)
+        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_items, coalesce(ids, '') AS item_ids,
+            n IS NOT NULL AS contaminated
+        FROM documents LEFT JOIN lists USING (doc_id)
+    """,
+}
