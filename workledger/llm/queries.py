@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from workledger.llm.common import read, shared_dir
 from workledger.llm.decontaminate import decontaminate
+from workledger.llm.html import main_text
 from workledger.llm.minhash import MinHashConfig, near_duplicates
 from workledger.llm.mixing import MixConfig, mix
 from workledger.llm.quality import quality
 from workledger.llm.token_counts import token_counts
 from workledger.llm.toxicity import toxicity
+from workledger.llm.warc import archived
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +25,18 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), MinHashConfig(width=4))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to segmented archives and read back; a broken record fails the query."""
+    found = archived(read(spark, sf_dir, "pages", "page_id", "url", "html"), shared_dir(spark, "warc"))
+    digest = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("string")).otherwise(F.col("payload_digest"))
+    return found.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every text, learned from rows that are not held out."""
     return toxicity(
@@ -62,6 +76,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op2_html": op2_html,
+    "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
@@ -77,6 +93,16 @@ _GRAMS = r"""
 """
 
 ORACLES: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (
+            SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+                sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        o AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS owner FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN payload_bytes >= 1000 AND page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 1000 AND page_id <> owner THEN owner END AS refers_to
+        FROM o
+    """,
     "op9_decontamination": f"""
         WITH d AS ({_GRAMS.format(id="doc_id", table="documents")}),
         b AS ({_GRAMS.format(id="item_id", table="benchmark")}),
