@@ -15,6 +15,7 @@ from workledger.llm.html import main_text
 from workledger.llm.minhash import MinHashConfig, near_duplicates
 from workledger.llm.mixing import MixConfig, mix
 from workledger.llm.quality import quality
+from workledger.llm.token_blocks import read_documents, write_token_blocks
 from workledger.llm.token_counts import token_counts
 from workledger.llm.toxicity import toxicity
 from workledger.llm.warc import archived
@@ -74,6 +75,15 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("item_ids", F.array_join("item_ids", ","))
 
 
+def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's ids written as range-coded blocks and read back."""
+    path = shared_dir(spark, "token-blocks")
+    write_token_blocks(
+        read(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.path("byte_bpe_50k.json")
+    )
+    return read_documents(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_html": op2_html,
@@ -83,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
+    "op10_token_blocks": op10_token_blocks,
 }
 
 _GRAMS = r"""
