@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from workledger.llm.common import read, shared_dir
 from workledger.llm.decontaminate import decontaminate
 from workledger.llm.html import main_text
+from workledger.llm.lines import line_report
 from workledger.llm.minhash import MinHashConfig, near_duplicates
 from workledger.llm.mixing import MixConfig, mix
 from workledger.llm.quality import quality
@@ -45,6 +46,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact and near copies among the lines of every text."""
+    return line_report(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and calibrated isolation forest."""
     return quality(
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html": op2_html,
     "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
+    "op5_line_dedup": op5_line_dedup,
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
     "op8_token_counts": op8_token_counts,
@@ -114,6 +121,29 @@ ORACLES: dict[str, str] = {
             CASE WHEN payload_bytes >= 1000 AND page_id <> owner THEN owner END AS refers_to
         FROM o
     """,
+    "op5_line_dedup": r"""
+        WITH o AS (
+            SELECT doc_id, i, s[i] AS line FROM (
+                SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i
+                FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))
+            WHERE regexp_matches(s[i], '[^\x20\x09-\x0D]')),
+        f AS (
+            SELECT line, min(doc_id * 1000000 + i) AS place, length(line) AS n FROM o GROUP BY line),
+        late AS (
+            SELECT DISTINCT b.line FROM f a JOIN f b
+            ON a.n BETWEEN b.n - 1 AND b.n + 1 AND a.place < b.place AND a.n >= 40 AND b.n >= 40
+            AND (left(a.line, a.n // 2 - 1) = left(b.line, a.n // 2 - 1) OR right(a.line, a.n // 2 - 1) = right(b.line, a.n // 2 - 1))
+            AND levenshtein(a.line, b.line) = 1),
+        l AS (SELECT doc_id, count(*) AS n FROM o GROUP BY doc_id),
+        g AS (
+            SELECT place // 1000000 AS doc_id, count(*) AS n, count(late.line) AS near
+            FROM f LEFT JOIN late ON late.line = f.line GROUP BY 1)
+        SELECT d.doc_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_lines,
+            CAST(coalesce(l.n, 0) - coalesce(g.n, 0) AS BIGINT) AS n_exact,
+            CAST(coalesce(g.near, 0) AS BIGINT) AS n_near,
+            CAST(coalesce(g.n, 0) - coalesce(g.near, 0) AS BIGINT) AS n_kept
+        FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN l USING (doc_id) LEFT JOIN g USING (doc_id)
+    """,
     "op9_decontamination": f"""
         WITH d AS ({_GRAMS.format(id="doc_id", table="documents")}),
         b AS ({_GRAMS.format(id="item_id", table="benchmark")}),
