@@ -131,9 +131,10 @@ ORACLES: dict[str, str] = {
             SELECT line, min(doc_id * 1000000 + i) AS place, length(line) AS n FROM o GROUP BY line),
         late AS (
             SELECT DISTINCT b.line FROM f a JOIN f b
-            ON a.n BETWEEN b.n - 1 AND b.n + 1 AND a.place < b.place AND a.n >= 40 AND b.n >= 40
-            AND (left(a.line, a.n // 2 - 1) = left(b.line, a.n // 2 - 1) OR right(a.line, a.n // 2 - 1) = right(b.line, a.n // 2 - 1))
-            AND levenshtein(a.line, b.line) = 1),
+            ON a.n BETWEEN b.n - 2 AND b.n + 2 AND a.place < b.place AND a.n >= 40 AND b.n >= 40
+            AND (contains(b.line, left(a.line, a.n // 3)) OR contains(b.line, right(a.line, a.n // 3))
+                OR contains(b.line, substr(a.line, a.n // 3 + 1, a.n - 2 * (a.n // 3))))
+            AND levenshtein(a.line, b.line) <= 2),
         l AS (SELECT doc_id, count(*) AS n FROM o GROUP BY doc_id),
         g AS (
             SELECT place // 1000000 AS doc_id, count(*) AS n, count(late.line) AS near
