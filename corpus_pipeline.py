@@ -2,7 +2,72 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from workledger.llm.common import read, shared_dir, written
+from workledger.llm.decontaminate import contaminated_pairs
+from workledger.llm.minhash import near_duplicates
+from workledger.llm.mixing import MixConfig, mix
+from workledger.llm.token_blocks import read_documents, write_token_blocks
+from workledger.llm.toxicity import toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject."""
+    rejected = (
+        toxicity(docs.select("doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic"))
+        .where("predicted = 1")
+        .select("doc_id")
+        .distinct()
+    )
+    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest doc_id, of each near-duplicate group: five-word shingles at 0.8."""
+    gone = near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    pairs = contaminated_pairs(docs.select("doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
+    return docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the temperature mix uses them, within the tokens there are."""
+    uses = mix(docs.select("doc_id", "source", "text"), MixConfig(entropy_share=0.95))
+    times = uses.groupBy("doc_id").agg(F.count("*").alias("__uses"))
+    return docs.join(times, "doc_id").withColumn("__use", F.explode(F.expr("sequence(1L, __uses)"))).select(docs.columns)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document written as coded blocks, and read back."""
+    path = shared_dir(spark, "token-blocks")
+    write_token_blocks(docs.select("doc_id", "text"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_documents(spark, path)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token blocks", token_output),
+]
+
+#: The toxicity model and the coded blocks have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each one's result written as Parquet and read by the next."""
+    docs = read(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, f"stage-{i}")
+    return docs
