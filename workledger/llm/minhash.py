@@ -11,8 +11,10 @@ How the job stays linear with large groups of copies:
 1. documents with equal shingle sets are one class, stood for by its smallest doc_id;
 2. classes that share a band meet in a bucket. Each is first checked against the bucket's smallest class
    only. Components of the confirmed links follow;
-3. only then the remaining pairs of a bucket that lie in *different* components are checked. Pairs inside a
-   component could not change the result, so they are never made.
+3. only then the remaining pairs of a bucket that lie in *different* components are checked: large buckets are
+   dealt into blocks, and two blocks at a time are compared on sketches and, where these come near the
+   threshold, on full sets. Only confirmed links leave; pairs are never rows. Pairs inside a component could
+   not change the result and are skipped.
 
 Candidates carry no cap; every link is confirmed on the full sets of both texts. With 32 bands of 5
 coordinates a pair at similarity 0.8 shares no band with probability 3e-6.
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -46,7 +49,8 @@ class MinHashConfig:
     """``width`` words a shingle, link at ``percent`` Jaccard, ``bands`` of ``rows`` coordinates each.
 
     ``slack`` is how far below the threshold a sketch's estimate may lie before a pair is verified no more:
-    0.18 is over five standard deviations of the estimate at the default size.
+    0.18 is over five standard deviations of the estimate at the default size. ``block_rows`` is about how many
+    members of a bucket are compared with as many others in one call.
     """
 
     width: int = 5
@@ -54,6 +58,7 @@ class MinHashConfig:
     bands: int = 32
     rows: int = 5
     slack: float = 0.18
+    block_rows: int = 512
 
     @property
     def bins(self) -> int:
@@ -129,19 +134,45 @@ def _sketches(config: MinHashConfig):
     return run
 
 
-def _similar(config: MinHashConfig):
-    """Drops pairs whose sketches lie far below the threshold."""
+def _overlap(one: np.ndarray, two: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    small, large = (one, two) if len(one) < len(two) else (two, one)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    return int((large[at] == small).sum())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _block_links(config: MinHashConfig):
+    """Confirmed links between two blocks of one bucket's members, across components only.
+
+    A pair that meets in several buckets is looked at in the first of them.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rep, label, n, block = (frame[c].to_numpy() for c in ("rep", "label", "n", "block"))
+        sketch = np.frombuffer(b"".join(frame["bytes8"]), np.uint8).reshape(-1, config.bins)
+        bands = np.stack(frame["bands"].to_numpy())
+        low, high, band = int(frame["low"].iloc[0]), int(frame["high"].iloc[0]), int(frame["band"].iloc[0])
+        rows, columns = np.flatnonzero(block == low), np.flatnonzero(block == high)
         least = (config.percent / 100 - config.slack) * config.bins
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            left, right = (
-                np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, config.bins) for i in (2, 3)
-            )
-            near = (left == right).sum(axis=1) >= least
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near))
+        sets: dict[int, np.ndarray] = {}
+
+        def members(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_set(frame["body"].iloc[i], config.width)
+            return sets[i]
+
+        found = []
+        for i in rows:
+            other = columns[columns > i] if low == high else columns
+            other = other[label[other] != label[i]]
+            other = other[100 * np.minimum(n[other], n[i]) >= config.percent * np.maximum(n[other], n[i])]
+            other = other[(sketch[other] == sketch[i]).sum(axis=1) >= least]
+            other = other[(bands[other] == bands[i]).argmax(axis=1) == band]
+            for j in other:
+                both = _overlap(members(i), members(j))
+                if 100 * both >= config.percent * (n[i] + n[j] - both):
+                    found.append((rep[i], rep[j]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -158,9 +189,7 @@ def _confirmed(config: MinHashConfig):
                 if a != last:
                     last, held = a, shingle_set(batch.column(2)[i].as_py(), config.width)
                 other = shingle_set(batch.column(3)[i].as_py(), config.width)
-                small, large = (held, other) if len(held) < len(other) else (other, held)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
+                both = _overlap(held, other)
                 keep.append(100 * both >= config.percent * (len(held) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(
                 pa.array(keep, pa.bool_())
@@ -199,7 +228,7 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
         "classes",
     )
     banded = classes.select("rep", "n", F.posexplode("bands").alias("band", "h")).select(
-        F.xxhash64("band", "h").alias("bucket"), "rep", "n"
+        F.xxhash64("band", "h").alias("bucket"), "band", "rep", "n"
     )
     meeting = (
         banded.groupBy("bucket")
@@ -208,12 +237,11 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
     )
     buckets = written(
         skew_join(banded, meeting, "bucket").select(
-            "bucket", "rep", "n", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n")
+            "bucket", "band", "rep", "n", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n")
         ),
         "buckets",
     )
     texts = bodies.where("doc_id is not null")
-    # one text per id; repeated ids would multiply the pairs
     fits = f"100 * least(n, lead_n) >= {config.percent} * greatest(n, lead_n)"
     first = buckets.where("rep <> lead").where(fits).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     links = _verify(first, texts, config, "links-lead")
@@ -221,29 +249,30 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
 
     labelled = skew_join(
         buckets.withColumnRenamed("rep", "node"), roots, "node", "left"
-    ).select("bucket", F.col("node").alias("rep"), "n", "lead", F.coalesce("root", "node").alias("label"))
+    ).select("bucket", "band", F.col("node").alias("rep"), "lead", F.coalesce("root", "node").alias("label"))
     mixed = (
         labelled.groupBy("bucket")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        .where("low < high")
-        .select("bucket")
+        .agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("members"))
+        .where("least < most")
+        .select("bucket", F.ceil(F.col("members") / F.lit(config.block_rows)).alias("blocks"))
     )
     open_ = written(skew_join(labelled, mixed, "bucket").where("rep <> lead"), "open")
-    sides = [
-        open_.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "label"))) for s in ("a", "b")
-    ]
-    rest = (
-        sides[0]
-        .join(sides[1], "bucket")
-        .where("label_a < label_b")
-        .where(f"100 * least(n_a, n_b) >= {config.percent} * greatest(n_a, n_b)")
-        .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-        .distinct()
+    held = skew_join(
+        open_.select("bucket", "band", "rep", "label", "blocks"),
+        classes.select("rep", "n", "bands", "bytes8"),
+        "rep",
+    )
+    bodies_of = texts.select(F.col("doc_id").alias("rep"), "body")
+    dealt = (
+        skew_join(held, bodies_of, "rep")
+        .withColumn("block", F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .withColumn("low", F.least("block", "other"))
+        .withColumn("high", F.greatest("block", "other"))
+        .select("bucket", "low", "high", "block", "band", "rep", "label", "n", "bands", "bytes8", "body")
     )
-    small = [classes.select(F.col("rep").alias(s), F.col("bytes8").alias(f"bytes_{s}")) for s in ("a", "b")]
-    near = skew_join(skew_join(rest, small[0], "a"), small[1], "b").select("a", "b", "bytes_a", "bytes_b")
-    near = written(near.mapInArrow(_similar(config), "a long, b long"), "near")
-    links = links.union(_verify(near, texts, config, "links-rest"))
+    crossing = dealt.groupBy("bucket", "low", "high").applyInPandas(_block_links(config), "a long, b long")
+    links = links.union(written(crossing, "links-rest"))
     roots = components(links)
 
     owner = skew_join(classes.select("digest", F.col("rep").alias("node")), roots, "node", "left").select(
