@@ -93,8 +93,8 @@ def check_relation_chain(records: DataFrame) -> DataFrame:
     supersede the current record and be later than every assertion; a refuted relation is closed.
     """
     zero = (
-        "named_struct('head', cast(null as string), 'state', cast(null as string), 'seen', array_repeat('', 0), "
-        "'at', cast(null as timestamp), 'errors', array_repeat('', 0))"
+        "named_struct('head', cast(null as string), 'state', cast(null as string), 'seen', array_repeat(cast(null as string), 0), "
+        "'at', cast(null as timestamp), 'errors', array_repeat(cast(null as string), 0))"
     )
     error = (
         "case when s.head is null then case when r.state <> 'asserted' or r.supersedes is not null "
@@ -125,7 +125,7 @@ def check_finding_chain(records: DataFrame) -> DataFrame:
     ladder = ", ".join(f"'{g}', {i}" for i, g in enumerate(GRADES[:3]))
     zero = (
         "named_struct('head', cast(null as string), 'kind', cast(null as string), 'grade', cast(null as string), "
-        "'at', cast(null as timestamp), 'errors', array_repeat('', 0))"
+        "'at', cast(null as timestamp), 'errors', array_repeat(cast(null as string), 0))"
     )
     error = (
         "case when s.head is null then case when r.supersedes is not null then 'first revision supersedes' end "
