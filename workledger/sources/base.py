@@ -139,7 +139,7 @@ def json_lines(spark: SparkSession, path: str, schema: str, modified_after: str
     reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
-    files = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    files = reader.format("text").load(path).select("value", F.col("_metadata.file_path").alias("file"))
     if skip:
         files = files.where(~F.element_at(F.split("file", "/"), -1).rlike(skip))
     lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("at", "text")).where("trim(text) <> ''")
