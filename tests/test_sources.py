@@ -86,13 +86,13 @@ def test_inbox_entries_and_gates(spark, tmp_path):
     path = lines(
         tmp_path / "i" / "inbox.jsonl", {"id": "e1", "kind": "blocker", "ts": "2026-07-17T10:00:00Z", "content": "c", "tags": ["needs:human"], "edges": [{"type": "x", "target": "A"}], "refs": ["A"]},
         {"id": "e2", "kind": "done", "ts": "2026-07-17T11:00:00Z", "refs": ["e1"], "context": {"fab_job_id": "j", "git_sha": "g", "gate_disposition": "resolved"}}, {"id": "e3", "kind": "note", "ts": "2026-07-17T11:00:00", "content": "naive"},
-        {"id": "e4", "kind": "note", "ts": "2026-07-17T12:00:00Z", "context": {"gate_consultation": {"consulted": False, "mint_id": "e1"}, "milton_finding_disposition": {"receipt_id": "e4", "finding_id": "f", "revision_id": "r", "disposition": "refuted"}}},
+        {"id": "e4", "kind": "note", "ts": "2026-07-17T12:00:00Z", "context": {"gate_consultation": {"consulted": False, "mint_id": "e1"}, "finding_disposition": {"receipt_id": "e4", "finding_id": "f", "revision_id": "r", "disposition": "refuted"}}},
     )
     got = registries.inbox(spark, path)
     assert kinds(got) == {"outcome": 3, "gate-evidence": 3}
     gates = {r.gate.evidence_kind: r.gate for r in got.events.where("kind = 'gate-evidence'").collect()}
     assert gates["mint"].coordinate == "target=A" and gates["mint"].mint_id == "e1" and gates["consult"].consultation == "not_consulted" and gates["disposition"].status == "resolved"
-    assert {(r.subject_ns, r.predicate, r.object_ns) for r in got.relations.collect()} == {("george.entry", "verifies", "fab.job"), ("george.entry", "verifies", "git.commit"), ("fab.job", "produced", "git.commit"), ("milton.finding-revision", "refutes", "george.entry")}
+    assert {(r.subject_ns, r.predicate, r.object_ns) for r in got.relations.collect()} == {("george.entry", "verifies", "fab.job"), ("george.entry", "verifies", "git.commit"), ("fab.job", "produced", "git.commit"), ("workledger.finding-revision", "refutes", "george.entry")}
 
 
 def test_commit_log(spark, tmp_path):

@@ -74,7 +74,7 @@ def procedure_calibration(promotions: DataFrame, relations: DataFrame, runner: D
     best = runner.groupBy(*key).agg(F.max("semantic").alias("semantic"))
     jobs = runner.join(best, [*key, "semantic"]).groupBy(*key).agg(F.count("*").alias("n_runner"), F.first("status").alias("runner_status"))
     scores = gateway.groupBy(*key).agg(F.count("*").alias("n_gateway"), *(F.first(c).alias(c) for c in ("direction", "baseline_score", "post_score")))
-    promoted = relations.where("predicate = 'promotes' and subject_ns = 'milton.finding-revision' and object_ns = 'spindle.promotion-receipt'")
+    promoted = relations.where("predicate = 'promotes' and subject_ns = 'workledger.finding-revision' and object_ns = 'spindle.promotion-receipt'")
     stated = promoted.select(F.col("subject_val").alias("revision_id"), F.col("object_val").alias("promotion_id"), F.lit(True).alias("__stated")).distinct()
     rows = promotions.join(stated, ["promotion_id", "revision_id"], "left").join(jobs, key, "left").join(scores, key, "left")
     reasons = F.array_compact(

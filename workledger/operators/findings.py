@@ -9,8 +9,8 @@ from workledger.functions.ids import iso_text, stable_id
 from workledger.operators.revisions import latest
 
 ACTIONS = ("acts_on", "promotes", "refutes", "evaluates")
-# Fixed value: namespace of a finding's revision as the subject of a relation.
-REVISION_NS = "milton.finding-revision"
+#: Namespace of a finding's revision as the subject of a relation.
+REVISION_NS = "workledger.finding-revision"
 
 
 def create_revisions(rows: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def list_findings(activity: DataFrame, kind: str | None = None, grade: str | Non
 def candidate_documents(findings: DataFrame) -> DataFrame:
     """Export of current findings as documents; the coordinate falls back to the finding's own."""
     now = latest(findings, "finding_id")
-    coordinate = F.coalesce(F.get_json_object("details", "$.coordinate"), F.concat(F.lit("milton.finding="), "finding_id"))
+    coordinate = F.coalesce(F.get_json_object("details", "$.coordinate"), F.concat(F.lit("workledger.finding="), "finding_id"))
     return now.select(
         "finding_id",
         F.to_json(F.struct(coordinate.alias("coordinate"), "evidence", "finding_id", "grade", "kind", "revision_id", "subject", "summary")).alias("document"),

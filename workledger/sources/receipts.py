@@ -100,7 +100,7 @@ def candidates(spark: SparkSession, path: str) -> Ingested:
     key = F.col("receipt_id")
     events = make_events(good, "outcome", "chip", key, F.col("at"), {"outcome_type": F.lit("chip.candidate"), "status": F.when(F.col("status") == "accepted", "succeeded").otherwise("unknown"), "reference": F.col("candidate_id")})
     of = good.select("receipt_id", "at", F.explode("finding_revision_ids").alias("f"))
-    relations = make_relations(of, "milton.finding-revision", F.col("f"), "acts_on", "chip.candidate-receipt", key, F.col("at"), event_id(F.lit("chip"), F.lit("outcome"), key))
+    relations = make_relations(of, "workledger.finding-revision", F.col("f"), "acts_on", "chip.candidate-receipt", key, F.col("at"), event_id(F.lit("chip"), F.lit("outcome"), key))
     return Ingested(spark, events, relations=relations, diagnostics=bad.unionByName(broken))
 
 
@@ -122,7 +122,7 @@ def evaluations(spark: SparkSession, path: str) -> Ingested:
     proof = event_id(F.lit("spindle"), F.lit("outcome"), key)
     acts = F.when(promoted, "promotes").otherwise("evaluates")
     relations = make_relations(good, ns, key, "evaluates", "chip.candidate-receipt", F.col("candidate_receipt_id"), F.col("at"), proof)
-    relations = relations.unionByName(make_relations(good, "milton.finding-revision", F.col("finding_revision_id"), acts, ns, key, F.col("at"), proof))
+    relations = relations.unionByName(make_relations(good, "workledger.finding-revision", F.col("finding_revision_id"), acts, ns, key, F.col("at"), proof))
     relations = relations.unionByName(make_relations(good.where(promoted), ns, key, "part_of", "spindle.evaluation-receipt", F.col("evaluation_receipt_id"), F.col("at"), proof))
     return Ingested(spark, events, relations=relations, diagnostics=bad.unionByName(broken))
 
