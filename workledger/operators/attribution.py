@@ -103,7 +103,8 @@ def attribute(
     ``costs`` are selected observations; crosswalks and relations are current states. Of the eligible outcomes
     those of the strongest type compete: one wins, several are ambiguous.
     """
-    candidates = outcome_candidates(outcomes, types)
+    costs = graph.written(costs, "costs")  # both are read several times below
+    candidates = graph.written(outcome_candidates(outcomes, types), "candidates")
     edges = graph.attribution_graph(crosswalks, relations, outcomes)
     rooted = graph.written(cost_roots(costs, events).withColumn("start", F.sha2(F.array_join("roots", "\0").cast("binary"), 256)), "roots")
     starts = rooted.select("start", "roots").dropDuplicates(["start"]).select("start", F.explode("roots").alias("node"))
