@@ -69,12 +69,14 @@ def test_archives_round_trip(spark, tmp_path):
         again = page in (1, 2)
         assert (r.payload_bytes, r.payload_digest) == (len(data), hashlib.sha1(data).hexdigest())
         assert (r.record_type, r.refers_to) == (("revisit", 8) if again else ("response", None))
+    again = archived(spark.createDataFrame([*rows, rows[0], (2, "u", "other")], PAGE), f"file://{tmp_path}/x", WarcConfig(compress=False))
+    assert sorted(r.page_id for r in again.collect()) == [1, 2, 3, 4, 5, 6, 7, 8]
     payload = {r.page_id: bytes(r.payload) for r in read_archives(spark, f"file://{tmp_path}/w").where("kind = 'response'").collect()}
     assert payload[8] == big.encode()
 
 
 def test_a_lost_segment_is_an_error(spark, tmp_path):
-    write_archives(spark.createDataFrame([(1, "u", "z" * 3000)], PAGE), f"file://{tmp_path}/w", WarcConfig(segment_chars=700))
+    write_archives(spark.createDataFrame([(1, "u", "z" * 3000)], PAGE), f"file://{tmp_path}/w", WarcConfig(segment_chars=700, compress=False))
     (file,) = [p for p in (tmp_path / "w").iterdir() if p.name.startswith("part-") and p.stat().st_size]
     records = list(records_in(file.read_bytes()))
     assert len(records) == 5 and {r["kind"] for r in records} == {"response", "continuation"}
@@ -146,13 +148,15 @@ def test_quality_rejects_what_labels_call_bad(spark):
     for i in range(400):
         words = [f"{draw.choice('abcdef')}{draw.randrange(10_000)}" for _ in range(80)]
         bad = i % 20 == 0
-        rows.append((i, " ".join(w + "#" * bad * draw.randrange(1, 6) for w in words)))
+        share, most = draw.random(), draw.choice((2, 8, 40))
+        rows.append((i, " ".join(w + "#" * (bad and draw.random() < share) * draw.randrange(1, most) for w in words)))
         labels.append((i, int(not bad)))
     rows += [(500, None), (501, "few words")]
     docs, held = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
     got = {r.doc_id: r for r in quality(docs.withColumn("kept", F.lit(1)), held, QualityConfig(trees=50)).collect()}
-    wrong = [i for i, q in labels if got[i].kept != bool(q)]
-    assert len(wrong) <= 4 and got[500].base_failed and not got[501].kept
+    good, bad = ([i for i, q in labels if q == k] for k in (1, 0))
+    assert sum(not got[i].kept for i in good) <= 8 and sum(not got[i].kept for i in bad) >= 0.6 * len(bad)
+    assert got[500].base_failed and not got[501].kept
     assert quality(docs, held.limit(0)).where("kept").count() == 400
     assert quality(docs.limit(0), held).count() == 0
 

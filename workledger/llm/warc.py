@@ -14,6 +14,8 @@ the chunked framing decoded. A missing segment, a wrong length or broken framing
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,6 +39,7 @@ class WarcConfig:
     archive_chars: int = 8_000_000
     date: str = "2024-01-01T00:00:00Z"
     salts: int = 32
+    compress: bool = True
 
 
 def record_id(page_id: Column, part: Column) -> Column:
@@ -104,11 +107,14 @@ def write_archives(pages: DataFrame, path: str, config: WarcConfig = WarcConfig(
         .select("page_id", "owner"),
         "warc-revisits",
     )
-    marked = (
-        rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
-        .join(digests.select("page_id", "digest").hint("shuffle_hash"), ["page_id", "digest"])
-        .join(revisits.hint("shuffle_hash"), "page_id", "left")
+    marks = written(
+        digests.select("page_id", "digest").join(revisits, "page_id", "left").withColumnRenamed("page_id", "marked_id"), "warc-marks"
     )
+    # the one place where payloads move
+    marked = rows.join(marks.hint("shuffle_hash"), (F.col("page_id") == F.col("marked_id")) & (F.sha1(F.encode("html", "UTF-8")) == F.col("digest")))
+    shape = rows.agg(F.count("*").alias("n"), F.sum(F.char_length("html")).alias("chars")).head()
+    if marks.count() < shape["n"]:  # some page ids repeat; equal copies are left here
+        marked = marked.dropDuplicates(["page_id"])
     again = F.col("owner").isNotNull()
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}"),
@@ -149,10 +155,11 @@ def write_archives(pages: DataFrame, path: str, config: WarcConfig = WarcConfig(
         ),
         F.col("block"),
     )
-    chars = rows.agg(F.sum(F.char_length("html"))).head()[0] or 0
-    archives = max(1, -(-chars // config.archive_chars))
-    out = segments.select("page_id", record.alias("value")).repartition(int(archives), "page_id", F.crc32("value"))
-    out.select("value").write.option("lineSep", CRLF + CRLF).text(path)
+    # records a file, so that a file holds about as many characters as one task should parse
+    parts = shape["n"] + (shape["chars"] or 0) // config.segment_chars
+    per_file = max(1, int(config.archive_chars * parts // max(shape["chars"] or 1, 1)))
+    writer = segments.select(record.alias("value")).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", per_file)
+    (writer.option("compression", "gzip") if config.compress else writer).text(path)
 
 
 _LENGTH = re.compile(rb"\r\nContent-Length: *(\d+)\r\n", re.I)
@@ -211,7 +218,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
             rows: list[dict] = []
-            for row in records_in(content.as_py()):
+            archive = content.as_py()
+            for row in records_in(gzip.decompress(archive) if archive[:2] == b"\x1f\x8b" else archive):
                 rows.append(row)
                 if len(rows) == 512:
                     yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
@@ -243,8 +251,6 @@ def payload_of(http: bytes) -> bytes:
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
-
     names = ["record_id", "page_id", "url", "kind", "refers_to", "payload", "payload_digest", "error"]
     for batch in batches:
         payloads, digests, errors = [], [], []
