@@ -8,7 +8,7 @@ take a step at once as numpy arrays, which is what makes an adaptive coder affor
 reset independently, so lanes never wait for each other's contents.
 
 The coder keeps 64-bit bounds without carries: when an interval straddles a 32-bit boundary and has become
-small, it is cut at the boundary. Ids below 2 ** 24 are supported.
+small, it is cut at the boundary. Ids below 2 ** 18 are supported.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ MASK = U(0xFFFFFFFF)
 TABLE_BITS = 10
 #: Steps between two rebuilds of a lane's order-0 distribution.
 REBUILD = 128
+#: Order 0 counts ids by their leading bits, this many.
+RANGE_BITS = 6
 #: Order-0 shares are in units of 2 ** -SHARE_BITS.
 SHARE_BITS = 15
 HEADER = struct.Struct("<4sIIIII")
@@ -35,7 +37,7 @@ class Lanes:
 
     def __init__(self, lanes: int, top: int):
         self.n = lanes
-        self.low_bits = max(0, int(top).bit_length() - 8)
+        self.low_bits = max(0, int(top).bit_length() - RANGE_BITS)
         self.bins = (top >> self.low_bits) + 1
         self.size = 1 << TABLE_BITS
         self.base = np.arange(lanes, dtype=np.int64) * self.size
@@ -82,17 +84,24 @@ class Lanes:
         self.width1 = unit * self.s1.astype(U)
 
     def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """Adapt to the ids of this step."""
-        s2 = self.s2 + np.where(hit2, 4000 - self.s2 >> 4, 40 - self.s2 >> 4)
-        self.share2[self.context] = np.clip(s2, 40, 3960)
-        s1 = self.share1 + np.where(hit1, 4000 - self.share1 >> 4, 40 - self.share1 >> 4)
-        self.share1 = np.where(hit2 | self.agree, self.share1, np.clip(s1, 40, 3960))
+        """Adapt predictions and shares to the ids of this step.
+
+        Shares move towards 40 or a bound that leaves order 0 at least a 32nd of the interval: with 32 bits at
+        least in the interval, and 27 at most in an order-0 slot's number, no id's share is ever empty.
+        """
+        self.share2[self.context] = self.s2 + (hit2 * 3544 + 40 - self.s2 >> 4)
+        self.share1 += (hit1 * 3032 + 40 - self.share1 >> 4) * ~(hit2 | self.agree)
         small = ids.astype(np.uint32)
         self.table1[self.at1] = small
         self.table2[self.at2] = small
-        self.counts.ravel()[self.row[: self.n] - np.arange(self.n) + (ids >> self.low_bits)] += 1
         self.before, self.last = self.last, ids
 
+    def count(self, ids: np.ndarray) -> None:
+        """Add the ids of some steps (rows) to order 0 and distribute anew."""
+        at = (ids.astype(np.int64) >> self.low_bits) + np.arange(self.n) * self.bins
+        self.counts += np.bincount(at.ravel(), minlength=self.n * self.bins).reshape(self.n, self.bins).astype(np.int32)
+        self._rebuild()
+
     def keep(self, lanes: int) -> None:
         """Drop all lanes but the first ones."""
         self.n = lanes
@@ -124,8 +133,8 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     lengths = np.array([len(blocks[i]) for i in order])
     steps = int(lengths[0])
     top = max(int(b.max()) for b in blocks)
-    if top >= 1 << 24:
-        raise ValueError("ids of 24 bits at most")
+    if top >= 1 << 18:
+        raise ValueError("ids of 18 bits at most")
     grid = np.zeros((steps, len(blocks)), np.int64)
     for lane, i in enumerate(order):
         grid[: lengths[lane], lane] = blocks[i]
@@ -149,7 +158,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
             model.keep(alive)
         ids = grid[step, : model.n]
         if step and step % REBUILD == 0:
-            model._rebuild()
+            model.count(grid[step - REBUILD : step, : model.n])
         model.predict()
         hit2 = model.p2 == ids
         hit1 = (model.p1 == ids) & ~hit2
@@ -243,7 +252,7 @@ def _decode_alike(blocks: list[bytes], top: int) -> list[np.ndarray]:
             model.keep(alive)
             code = code[:alive]
         if step and step % REBUILD == 0:
-            model._rebuild()
+            model.count(grid[step - REBUILD : step, : model.n])
         model.predict()
         off = code - model.low
         hit2 = off < model.width2
