@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("workledger.llm")
 from workledger.llm.common import words_of  # noqa: E402
-from workledger.llm.components import components  # noqa: E402
 from workledger.llm.decontaminate import ContainmentConfig, contaminated_pairs, decontaminate  # noqa: E402
 from workledger.llm.lines import LineConfig, dedup_lines, line_report, near_line_pairs  # noqa: E402
 from workledger.llm.minhash import MinHashConfig, fast_similarity_sketch, near_duplicates, shingle_set  # noqa: E402
+from workledger.operators.graph import components  # noqa: E402
 
 DOC = "doc_id long, text string"
 

@@ -26,7 +26,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -41,7 +40,7 @@ from workledger.llm.common import (
     text_bytes,
     written,
 )
-from workledger.llm.components import components
+from workledger.operators.graph import components
 
 
 @dataclass(frozen=True)
@@ -141,38 +140,71 @@ def _overlap(one: np.ndarray, two: np.ndarray) -> int:
     return int((large[at] == small).sum())
 
 
-def _block_links(config: MinHashConfig):
-    """Confirmed links between two blocks of one bucket's members, across components only.
+def _compare(rows: pa.Table, config: MinHashConfig) -> list[tuple[int, int]]:
+    """Confirmed links between the two blocks of one bucket that ``rows`` holds, across components only.
 
     A pair that meets in several buckets is looked at in the first of them.
     """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rep, label, n, block = (frame[c].to_numpy() for c in ("rep", "label", "n", "block"))
-        sketch = np.frombuffer(b"".join(frame["bytes8"]), np.uint8).reshape(-1, config.bins)
-        bands = np.stack(frame["bands"].to_numpy())
-        low, high, band = int(frame["low"].iloc[0]), int(frame["high"].iloc[0]), int(frame["band"].iloc[0])
-        rows, columns = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        least = (config.percent / 100 - config.slack) * config.bins
-        sets: dict[int, np.ndarray] = {}
-
-        def members(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = shingle_set(frame["body"].iloc[i], config.width)
-            return sets[i]
-
-        found = []
-        for i in rows:
-            other = columns[columns > i] if low == high else columns
-            other = other[label[other] != label[i]]
-            other = other[100 * np.minimum(n[other], n[i]) >= config.percent * np.maximum(n[other], n[i])]
+    rep, label, n, block, low, high, band = (
+        rows.column(c).to_numpy() for c in ("rep", "label", "n", "block", "low", "high", "band")
+    )
+    same = low[0] == high[0]
+    first, second = np.flatnonzero(block == low[0]), np.flatnonzero(block == high[0])
+    if len(rep) < 2 or label.min() == label.max() or not len(first) or not len(second):
+        return []
+    sketch = np.frombuffer(b"".join(rows.column("bytes8").to_pylist()), np.uint8).reshape(-1, config.bins)
+    bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, config.bands)
+    bodies = rows.column("body")
+    least = (config.percent / 100 - config.slack) * config.bins
+    sets: dict[int, np.ndarray] = {}
+
+    def members(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingle_set(bodies[i].as_py(), config.width)
+        return sets[i]
+
+    found = []
+    for i in first.tolist():
+        other = second[second > i] if same else second
+        near = (label[other] != label[i]) & (100 * np.minimum(n[other], n[i]) >= config.percent * np.maximum(n[other], n[i]))
+        other = other[near]
+        if len(other):
             other = other[(sketch[other] == sketch[i]).sum(axis=1) >= least]
-            other = other[(bands[other] == bands[i]).argmax(axis=1) == band]
-            for j in other:
-                both = _overlap(members(i), members(j))
-                if 100 * both >= config.percent * (n[i] + n[j] - both):
-                    found.append((rep[i], rep[j]))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        if len(other):
+            other = other[(bands[other] == bands[i]).argmax(axis=1) == band[0]]
+        for j in other.tolist():
+            both = _overlap(members(i), members(j))
+            if 100 * both >= config.percent * (n[i] + n[j] - both):
+                found.append((int(rep[i]), int(rep[j])))
+    return found
+
+
+def _block_links(config: MinHashConfig):
+    """Compares runs of rows with equal (bucket, low, high); rows come sorted by these."""
+
+    def result(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            keys = [rows.column(c).to_numpy() for c in ("bucket", "low", "high")]
+            changes = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            pairs = []
+            start = 0
+            for stop in changes.tolist():
+                pairs += _compare(rows.slice(start, stop - start), config)
+                start = stop
+            held = rows.slice(start)
+            yield result(pairs)
+        if held is not None:
+            yield result(_compare(held, config))
 
     return run
 
@@ -271,7 +303,8 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
         .withColumn("high", F.greatest("block", "other"))
         .select("bucket", "low", "high", "block", "band", "rep", "label", "n", "bands", "bytes8", "body")
     )
-    crossing = dealt.groupBy("bucket", "low", "high").applyInPandas(_block_links(config), "a long, b long")
+    key = ["bucket", "low", "high"]
+    crossing = dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_block_links(config), "a long, b long")
     links = links.union(written(crossing, "links-rest"))
     roots = components(links)
 
