@@ -1,10 +1,11 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are presences of words, of word beginnings (4 to 6 bytes, so that inflected forms share a weight),
-of adjacent pairs and of pairs with one word between, hashed into ``2 ** bits`` coordinates. Each shard of a
-bounded, hash-chosen sample of the labelled rows runs FTRL-proximal, with a rate of its own for every
-coordinate; L1 leaves few weights. The shards' weights are averaged by a grouped sum. What is broadcast has
-at most ``2 ** bits`` entries however large the corpus is, and is in practice a few thousand.
+of adjacent pairs and of pairs with one word between, hashed into ``2 ** bits`` coordinates. A bounded,
+hash-chosen sample of the labelled rows is learned by FTRL-proximal, with a rate of its own for every
+coordinate; L1 leaves few weights. With several ``shards`` each learns a part, and a grouped sum averages
+them; one shard, the default, finds rare words better and is bounded by the sample. What is broadcast has at
+most ``2 ** bits`` entries however large the corpus is, and is in practice a few hundred.
 """
 
 from __future__ import annotations
