@@ -1,38 +1,20 @@
-"""What the corpus operators share: the shared folder, written intermediates, word hashing, hot-key joins."""
+"""What the corpus operators share: word hashing, bounded Arrow batches, and the engine's shared-folder helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch handed to Python. Bounds a worker's memory when rows are long texts.
-BATCH_ROWS = 1024
-
+from workledger.shared import shared_path as shared_dir
+from workledger.shared import skew_join, written
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share (``spark.checkpoint.dir``).
+__all__ = ["shared_dir", "skew_join", "written"]
 
-    Only where the setting is unset, as in tests on one machine, a temporary folder takes its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage, survives a lost executor."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows of one Arrow batch handed to Python. Bounds a worker's memory when rows are long texts.
+BATCH_ROWS = 256
 
 
 def python_batches(spark: SparkSession) -> None:
@@ -40,24 +22,6 @@ def python_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def spread(key: str) -> Column:
-    """Second join key that makes Spark shuffle both sides for the join itself.
-
-    A side that an aggregation has already partitioned by ``key`` cannot be split when a key is hot; with
-    this hash beside the key both sides get exchanges of their own, which adaptive execution may split.
-    """
-    return F.xxhash64(F.col(key))
-
-
-def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Equi-join on one column whose hot values adaptive execution can split."""
-    return (
-        left.withColumn("__spread", spread(key))
-        .join(right.withColumn("__spread", spread(key)), ["__spread", key], how)
-        .drop("__spread")
-    )
-
-
 def text_bytes(column: str = "text") -> Column:
     """UTF-8 bytes of a text; null is the empty text."""
     return F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "UTF-8")
@@ -66,7 +30,7 @@ def text_bytes(column: str = "text") -> Column:
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    LIMIT = 1_000_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

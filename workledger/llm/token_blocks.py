@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from workledger.llm.common import python_batches, text_bytes, written
 from workledger.llm.rangecoder import decode_blocks, encode_blocks, split_blocks
-from workledger.llm.tokens import PieceIds
+from workledger.llm.tokens import piece_ids
 
 
 @dataclass(frozen=True)
@@ -48,7 +48,7 @@ def _encode(path: str, config: BlockConfig):
     end = np.array([config.end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = PieceIds(path)
+        ids_of = piece_ids(path)
         pending: list[tuple[list, list, bytes]] = []
         blocks = number = 0
         docs: list = []

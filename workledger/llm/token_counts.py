@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from workledger.llm.common import python_batches, skew_join, text_bytes, written
-from workledger.llm.tokens import WordCounts, tokenizer_digest
+from workledger.llm.tokens import tokenizer_digest, word_counts
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
@@ -26,7 +26,7 @@ def content_digest(squeeze: bool) -> Column:
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = WordCounts(path)
+        count = word_counts(path)
         for batch in batches:
             n = count(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["digest", "n_tokens"])

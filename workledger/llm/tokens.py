@@ -7,6 +7,7 @@ fail (white space beyond ASCII, strings of special tokens) go to the library who
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
@@ -18,7 +19,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Pieces a worker remembers before it starts anew; bounds its memory.
-REMEMBER = 500_000
+REMEMBER = 250_000
 
 _PIECE = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
 _ODD_CODES = (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)
@@ -31,23 +32,36 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
+class _Remembered(dict):
+    """What the library gives for pieces; starts anew when it has grown to ``REMEMBER``."""
+
+    def __init__(self, tokenizer: Tokenizer, value):
+        super().__init__()
+        self.tokenizer, self.value = tokenizer, value
+
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Encode the pieces of some texts that are not known yet, together."""
+        if len(self) > REMEMBER:
+            self.clear()
+        missing = list({p for pieces in texts for p in pieces if p not in self})
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in missing], add_special_tokens=False)
+        self.update(zip(missing, (self.value(e.ids) for e in found), strict=True))
+
+
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
 class WordCounts:
     """Token counts of texts under a tokenizer that drops white space."""
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, int] = {}
+        self.known = _Remembered(Tokenizer.from_file(path), len)
 
     def __call__(self, texts: list[bytes]) -> list[int]:
-        split = [t.split() for t in texts]
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        missing = list(set().union(*split).difference(self.known)) if split else []
-        for start in range(0, len(missing), 20_000):
-            part = missing[start : start + 20_000]
-            found = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            self.known.update(zip(part, (len(e.ids) for e in found), strict=True))
-        return [sum(map(self.known.__getitem__, words)) for words in split]
+        words = [t.split() for t in texts]
+        self.known.learn(words)
+        return [sum(map(self.known.__getitem__, w)) for w in words]
 
 
 class PieceIds:
@@ -56,24 +70,29 @@ class PieceIds:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
-
-    def _whole(self, text: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        self.known = _Remembered(self.tokenizer, packed)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        pieces: list[list[bytes] | None] = []
+        pieces = []
         for text in texts:
             odd = any(s in text for s in self.special) or not text.isascii() and _ODD_SPACE.search(text.decode())
             pieces.append(None if odd else _PIECE.findall(text))
-        missing = list(set().union(*(p for p in pieces if p)).difference(self.known))
-        for start in range(0, len(missing), 20_000):
-            part = missing[start : start + 20_000]
-            found = self.tokenizer.encode_batch([p.decode() for p in part], add_special_tokens=False)
-            self.known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
+        self.known.learn([p for p in pieces if p])
         return [
-            self._whole(text) if p is None else b"".join(map(self.known.__getitem__, p))
-            for text, p in zip(texts, pieces, strict=True)
+            packed(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids)
+            if p is None
+            else b"".join(map(self.known.__getitem__, p))
+            for t, p in zip(texts, pieces, strict=True)
         ]
+
+
+@functools.cache
+def word_counts(path: str) -> WordCounts:
+    """One per process, so that tasks that follow one another share what is remembered."""
+    return WordCounts(path)
+
+
+@functools.cache
+def piece_ids(path: str) -> PieceIds:
+    """One per process."""
+    return PieceIds(path)
