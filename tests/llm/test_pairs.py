@@ -122,6 +122,27 @@ def test_line_pairs_equal_brute_force(spark, edits):
     assert {(r.a, r.b) for r in got.collect()} == want and want
 
 
+def test_short_lines_are_near_copies_at_one_edit(spark):
+    draw = random.Random(9)
+    lines = {"", "a", "b", "ab", "é", "Is and thnd.", "To and thnd.", "Thwhesnd esator whshing and hewh.", "Thwhesnd, esator whshing and hewh."}
+    for size in (1, 2, 3, 5, 11, 37, 38, 39, 40, 41, 42):
+        for _ in range(3):
+            base = [draw.choice("abcé ") for _ in range(size)]
+            for _ in range(6):
+                copy = list(base)
+                for _ in range(draw.randrange(0, 3)):
+                    k = draw.randrange(len(copy) + 1)
+                    draw.choice([lambda: copy.__delitem__(slice(k, k + 1)), lambda: copy.insert(k, "z"), lambda: copy.__setitem__(slice(k, k + 1), "y")])()
+                lines.add("".join(copy))
+    lines = sorted(lines)
+    pairs = [(i, j) for j in range(len(lines)) for i in range(j)]
+    want = {(i, j) for i, j in pairs if distance(lines[i], lines[j]) <= (1 if min(len(lines[i]), len(lines[j])) < 40 else 2)}
+    got = near_line_pairs(spark.createDataFrame([*enumerate(lines), (-1, None)], "line_id long, line string"))
+    assert {(r.a, r.b) for r in got.collect()} == want
+    docs = spark.createDataFrame([(1, "Thwhesnd esator whshing and hewh.\nIs and thnd."), (2, "Thwhesnd, esator whshing and hewh.\nTo and thnd.")], DOC)
+    assert {r.doc_id: tuple(r)[1:] for r in line_report(docs).collect()} == {1: (2, 0, 0, 2), 2: (2, 0, 1, 1)}
+
+
 def test_line_report_and_texts(spark):
     base = "the quick brown fox jumps over the lazy dog again"
     rows = [(1, f"{base}\nshort\n\n{base}"), (2, f"{base}s\nshort\nother"), (3, None), (4, ""), (None, base), (5, f"{base}s")]

@@ -3,7 +3,8 @@
 Two lines within ``distance`` edits of each other agree on at least one of ``distance + 1`` segments into
 which the shorter one is split evenly, at a place that the lengths bound. So every distinct line is indexed
 by its segments, and probes, for its own and each smaller length in reach, the substrings that could equal a
-segment there. Lines that meet must also nearly agree in the counts of some letters, as near lines do; the
+segment there. Short lines take part with one edit, so with two segments; of a line of one character, one of
+them is empty and meets all lines that are as short. Lines that meet must also nearly agree in the counts of some letters, as near lines do; the
 join itself checks that, so a passage that many lines share makes no pairs. What is left is verified with
 Spark's ``levenshtein`` under a threshold, which computes a band
 of the edit matrix only.
@@ -29,13 +30,17 @@ BROADCAST_ROWS = 500_000
 
 @dataclass(frozen=True)
 class LineConfig:
-    """Lines of fewer than ``least_chars`` characters are only compared exactly: among short ones a few edits
-    make another line. ``distance`` is the largest number of edits between near copies.
+    """``distance`` is the largest number of edits between near copies. If the shorter of two lines has fewer
+    than ``least_chars`` characters it is 1 at most: among short ones a few edits make another line.
     """
 
     distance: int = 2
     least_chars: int = 40
 
+    @property
+    def short_distance(self) -> int:
+        return min(1, self.distance)
+
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """``doc_id, at, line`` of every line with a visible character; ``at`` counts from 0."""
@@ -80,48 +85,64 @@ def _counts_differ(one: str, two: str) -> Column:
     return sum((F.abs(byte(one, i) - byte(two, i)) for i in range(1, len(LETTERS))), F.abs(byte(one, 0) - byte(two, 0)))
 
 
-def _indexed(lines: DataFrame, config: LineConfig) -> DataFrame:
-    parts = config.distance + 1
+def _index_keys(distance: int) -> Column:
     keys = []
-    for k in range(parts):
-        start, size = _segment(F.col("length"), k, parts)
+    for k in range(distance + 1):
+        start, size = _segment(F.col("length"), k, distance + 1)
         keys.append(F.xxhash64(F.lit(k), F.col("length"), _piece(start, size)))
-    return lines.select("line_id", "counts", F.explode(F.array(*keys)).alias("probe"))
+    return F.array(*keys)
 
 
-def _probing(lines: DataFrame, config: LineConfig) -> DataFrame:
-    """Substrings of every line that may equal a segment of a line that is at most ``distance`` shorter.
+def _indexed(lines: DataFrame, config: LineConfig) -> DataFrame:
+    """Segments of every line, and ``reach``, by how much the letter counts of a near line may differ."""
+    long_ = F.col("length") >= config.least_chars
+    keys = F.when(long_, _index_keys(config.distance)).otherwise(_index_keys(config.short_distance))
+    reach = F.when(long_, 2 * config.distance).otherwise(2 * config.short_distance)
+    return lines.select("line_id", "counts", reach.alias("reach"), F.explode(keys).alias("probe"))
+
+
+def _probe_keys(distance: int) -> Column:
+    """Substrings of a line that may equal a segment of a line that is at most ``distance`` shorter.
 
     Segment k of the shorter line may be moved by as many places as the edits before it allow (k of them),
     and as those after it do (distance - k, given the difference of lengths).
     """
-    parts = config.distance + 1
+    parts = distance + 1
     keys = []
-    for shorter in range(config.distance + 1):
+    for shorter in range(distance + 1):
         length = F.col("length") - shorter
         for k in range(parts):
             start, size = _segment(length, k, parts)
-            low = max(-k, shorter - (config.distance - k))
-            high = min(k, shorter + (config.distance - k))
+            low = max(-k, shorter - (distance - k))
+            high = min(k, shorter + (distance - k))
             for move in range(low, high + 1):
                 at = start + move
                 inside = (at >= 1) & (at + size - 1 <= F.col("length"))
                 keys.append(F.when(inside, F.xxhash64(F.lit(k), length, _piece(at, size))))
-    return lines.select("line_id", "counts", F.explode(F.array_compact(F.array(*keys))).alias("probe"))
+    return F.array_compact(F.array(*keys))
+
+
+def _probing(lines: DataFrame, config: LineConfig) -> DataFrame:
+    """What every line probes. One of just ``least_chars`` meets lines of both kinds: as long, and shorter."""
+    none = F.array().cast("array<bigint>")
+    far = F.when(F.col("length") >= config.least_chars, _probe_keys(config.distance)).otherwise(none)
+    close = F.when(F.col("length") <= config.least_chars, _probe_keys(config.short_distance)).otherwise(none)
+    return lines.select("line_id", "counts", F.explode(F.concat(far, close)).alias("probe"))
 
 
 def near_line_pairs(lines: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
-    """``(line_id, line)`` distinct lines -> ``a, b`` ids with 1 to ``distance`` edits between, ``a < b``.
+    """``(line_id, line)`` distinct lines -> ``a, b`` ids with 1 to ``distance`` edits between, ``a < b``, or
+    just 1 if the shorter line is under ``least_chars``.
 
-    Null lines and lines under ``least_chars`` are paired with nothing.
+    Null lines are paired with nothing.
     """
-    long_ = lines.where(F.char_length("line") >= config.least_chars)
-    coded = long_.select("line_id", F.encode("line", "UTF-32").alias("code"), _letter_counts().alias("counts"))
+    lines = lines.where("line is not null")
+    coded = lines.select("line_id", F.encode("line", "UTF-32").alias("code"), _letter_counts().alias("counts"))
     coded = coded.withColumn("length", F.expr("octet_length(code) div 4").cast("int"))
     index = _indexed(coded, config).withColumnsRenamed({"line_id": "one", "counts": "counts_one"})
     probes = _probing(coded, config).withColumnsRenamed({"line_id": "two", "counts": "counts_two"})
     # lines that share a segment, as all do that hold a common passage, meet only if their letters agree too
-    alike = _counts_differ("counts_one", "counts_two") <= 2 * config.distance
+    alike = _counts_differ("counts_one", "counts_two") <= F.col("reach")
     met = index.join(probes, "probe").where("one <> two").where(alike)
     pairs = written(
         met.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct(), "line-candidates"
@@ -130,20 +151,23 @@ def near_line_pairs(lines: DataFrame, config: LineConfig = LineConfig()) -> Data
     few = pairs.count() <= BROADCAST_ROWS
     # only lines that met another are fetched; while these are few, without moving the others
     texts = written(
-        long_.select("line_id", "line").join(F.broadcast(ids) if few else ids, "line_id", "left_semi"), "line-texts"
+        lines.select("line_id", "line").join(F.broadcast(ids) if few else ids, "line_id", "left_semi"), "line-texts"
     )
     left = texts.select(F.col("line_id").alias("a"), F.col("line").alias("line_a"))
     right = texts.select(F.col("line_id").alias("b"), F.col("line").alias("line_b"))
     both = pairs.join(left, "a").join(right, "b")
     distance = F.levenshtein("line_a", "line_b", config.distance)
-    return both.where(distance.between(1, config.distance)).select("a", "b")
+    shorter = F.least(F.char_length("line_a"), F.char_length("line_b"))
+    allowed = F.when(shorter >= config.least_chars, config.distance).otherwise(config.short_distance)
+    return both.where(distance.between(1, allowed)).select("a", "b")
 
 
 def line_verdicts(docs: DataFrame, config: LineConfig = LineConfig()) -> tuple[DataFrame, DataFrame]:
     """Distinct lines with the place of their first occurrence and whether they are near copies, and all
     occurrences.
 
-    A distinct line is a near copy if a line within ``distance`` edits occurs first, in (doc_id, at) order.
+    A distinct line is a near copy if one that ``near_line_pairs`` pairs it with occurs first, in (doc_id, at)
+    order.
     """
     occurrences = lines_of(docs.where("doc_id is not null"))
     first = written(
@@ -167,7 +191,8 @@ def line_report(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame
 
     ``n_lines`` counts lines with a visible character. A line is an exact copy if an equal one occurs earlier
     (smaller doc_id, or the same document above); the first of equal lines is a near copy if an earlier line
-    differs by 1 to ``distance`` edits; every other line is kept. Null and empty texts have no lines; rows
+    differs by 1 to ``distance`` edits, or by 1 if either has fewer than ``least_chars`` characters; every other
+    line is kept. Null and empty texts have no lines; rows
     without doc_id are left out; rows that share a doc_id are one document. No rows give no rows.
     """
     verdicts, occurrences = line_verdicts(docs, config)
