@@ -39,9 +39,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the temperature mix uses them, within the tokens there are."""
-    uses = mix(docs.select("doc_id", "source", "text"), MixConfig(entropy_share=0.95))
-    times = uses.groupBy("doc_id").agg(F.count("*").alias("__uses"))
-    return docs.join(times, "doc_id").withColumn("__use", F.explode(F.expr("sequence(1L, __uses)"))).select(docs.columns)
+    # rows may share a doc_id or have none, so each gets a key; it is written, as it must not change between two reads
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    uses = mix(rows.select("doc_id", "source", "text", "__row"), MixConfig(entropy_share=0.95), "__row")
+    times = uses.groupBy("__row").agg(F.count("*").alias("__uses"))
+    return rows.join(times, "__row").withColumn("__use", F.explode(F.expr("sequence(1L, __uses)"))).select(docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -107,6 +107,29 @@ def test_files_give_back_every_document(spark, tmp_path):
     assert read_documents(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_pipeline_keeps_rows_without_or_with_the_same_doc_id(spark, tmp_path):
+    """One source is used once, so whatever passes the first stages must come out as it is."""
+    pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline as p
+
+    draw = np.random.default_rng(4)
+    text = lambda: " ".join(f"w{k}" for k in draw.integers(0, 5000, 60))
+    ids = [*range(20), None, None, None, 7, 7, 7]
+    rows = [(i, text(), "one") for i in ids]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, text())], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    mixed = p.mix_sources(spark, docs, str(tmp_path))
+    assert sorted((r.text, r.doc_id or -1) for r in mixed.collect()) == sorted((t, i or -1) for i, t, _ in rows) and mixed.columns == docs.columns
+    out = [r.doc_id for r in p.run(spark, str(tmp_path)).collect()]
+    assert sorted(-1 if i is None else i for i in out) == sorted(-1 if i is None else i for i in ids)
+    two = docs.unionByName(docs.withColumn("source", F.lit("two")).where("doc_id = 7").limit(1))
+    schedule = p.mix(two, p.MixConfig(entropy_share=0.95), "text").groupBy("text").count().collect()
+    again = p.mix_sources(spark, two, str(tmp_path)).groupBy("text").count().collect()
+    assert sum(r["count"] for r in again) == sum(r["count"] for r in schedule)
+
+
 def test_pipeline_stages(spark):
     pytest.importorskip("corpus_pipeline")
     import corpus_pipeline as p

@@ -94,9 +94,10 @@ def source_budgets(tokens: dict, config: MixConfig) -> dict:
     return {s: int(round(w * budget)) for s, w in weights.items()}
 
 
-def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
+def mix(docs: DataFrame, config: MixConfig = MixConfig(), *carry: str) -> DataFrame:
     """``(doc_id, source, text)`` -> one row per use of a document: ``doc_id, source, n_tokens, pass, block,
-    position``; ordered by (pass, position, doc_id) a source's uses are its schedule.
+    position``; ordered by (pass, position, doc_id) a source's uses are its schedule. ``carry`` names further
+    columns of the rows to be shown with each use.
 
     A document is used in every whole pass, and in the last pass if it starts before the budget ends, so a
     source gets its budget to within one document. A null source is a source of its own, shown as null.
@@ -109,6 +110,7 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
         F.col("source").cast("string").alias("source"),
         F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit(""))).alias("key"),
         word_tokens().alias("n_tokens"),
+        *carry,
     )
     sized = written(rows, "mix-tokens")
     totals = {r["key"]: r["t"] for r in sized.groupBy("key").agg(F.sum("n_tokens").alias("t")).collect()}
@@ -118,8 +120,8 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
         for k, t in totals.items()
     ]
     if not plan:
-        return sized.select("doc_id", "source", "n_tokens").withColumns(
-            {"pass": F.lit(0).cast("long"), "block": F.lit(0).cast("long"), "position": F.lit(0).cast("long")}
+        return sized.select(
+            "doc_id", "source", "n_tokens", *(F.lit(0).cast("long").alias(c) for c in ("pass", "block", "position")), *carry
         )
     sources = spark.createDataFrame(plan, "key string, total long, blocks long, passes long, rest long")
     seed = F.lit(config.seed)
@@ -142,15 +144,15 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
         "mix-placed",
     )
     whole = placed.where("passes > 0").select(
-        "doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes"))).alias("pass"), "block", "position"
+        "doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes"))).alias("pass"), "block", "position", *carry
     )
     last = placed.where("rest > before").withColumn("pass", F.col("passes") + 1)
     full = last.where("rest >= before + tokens")
-    within = Window.partitionBy("kb").orderBy(F.xxhash64("doc_id", F.lit(config.seed + 1)), "doc_id", "n_tokens")
+    within = Window.partitionBy("kb").orderBy(F.xxhash64("doc_id", F.lit(config.seed + 1)), "doc_id", "n_tokens", *carry)
     cut = (
         last.where("rest < before + tokens")
         .withColumn("start", F.sum("n_tokens").over(within.rowsBetween(Window.unboundedPreceding, -1)))
         .where(F.col("before") + F.coalesce("start", F.lit(0)) < F.col("rest"))
     )
-    shown = ["doc_id", "source", "n_tokens", "pass", "block", "position"]
+    shown = ["doc_id", "source", "n_tokens", "pass", "block", "position", *carry]
     return whole.select(*shown).union(full.select(*shown)).union(cut.select(*shown))
