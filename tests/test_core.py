@@ -194,3 +194,16 @@ def test_coercions(spark):
         coerce.error_category(F.lit("Rate LIMIT hit")), coerce.plain_decimal(F.lit("6.600")), coerce.attempt_shape(F.lit("j:attempt:0")), coerce.procedure_class(F.lit("lower"), F.lit(2), F.lit(1)),
     ).head()
     assert tuple(row) == ("succeeded", "abandoned", "notional", "b", "computed", "rate-limit", "6.6", True, "improvement")
+
+
+def test_distinct_calls_are_counted_without_gathering_them(spark):
+    from workledger.operators.effectiveness import DIMENSIONS, raw_dimensions
+
+    schema = "coordinate string, attempt string, call_ids array<string>, " + ", ".join(f"{c} string" for c in DIMENSIONS)
+    group = lambda w: [w, None, *"mandojx"[:7]]
+    rows = [("a", "1", ["x", "y", None], *group("w")), ("b", "1", ["y", "z"], *group("w")), ("c", "2", ["y", "y"], *group(None)), ("d", "3", [None], *group("v")), ("e", "4", [], *group("v")), ("f", "5", None, *group("u"))]
+    costs = spark.createDataFrame([("a", 2, 1)], "coordinate string, n long, usd int").selectExpr("coordinate", "n", "cast(usd as decimal(38,18)) as amount_usd")
+    out = raw_dimensions(spark.createDataFrame(rows, schema), costs)
+    assert "collect_set" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.workload: (r.receipt_outcomes, r.distinct_attempts, r.distinct_call_ids, r.attributed_observations) for r in out.collect()}
+    assert got == {"w": (2, 1, 3, 2), None: (1, 1, 1, 0), "v": (2, 2, 0, 0), "u": (1, 1, 0, 0)}

@@ -6,6 +6,9 @@ connected component of the predecessor links.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,19 +66,28 @@ def window_allocation(attributed: DataFrame) -> DataFrame:
 
 
 def _metrics(receipts: DataFrame, costs: DataFrame, *by: str) -> DataFrame:
-    """``costs``: coordinate, n, amount_usd of what was attributed to each receipt."""
+    """``costs``: coordinate, n, amount_usd of what was attributed to each receipt.
+
+    Groups are few and large, so call ids are not gathered in them: distinct ones are shuffled and counted.
+    """
     rows = receipts.join(costs, "coordinate", "left")
-    calls = F.flatten(F.collect_set("call_ids"))
-    return rows.groupBy(*by).agg(
+    calls = receipts.select(*by, F.explode("call_ids").alias("__call")).where("__call is not null").distinct()
+    counts = calls.groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(F.count("*").alias("__calls"))
+    metrics = rows.groupBy(*by).agg(
         F.count("*").alias("receipt_outcomes"),
         F.countDistinct("attempt").alias("distinct_attempts"),
         F.sum(F.size("call_ids")).alias("call_slots"),
         F.sum(F.size(F.array_compact("call_ids"))).alias("non_null_call_id_occurrences"),
-        F.size(F.array_distinct(F.array_compact(calls))).cast("long").alias("distinct_call_ids"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("attributed_observations"),
         F.coalesce(F.sum("amount_usd"), F.lit(0).cast(MONEY)).alias("attributed_cost_usd"),
         F.count_if(F.col("n") > 0).alias("outcomes_with_cost"),
     )
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by))
+    return metrics.join(counts, same, "left").select(
+        *by, "receipt_outcomes", "distinct_attempts", "call_slots", "non_null_call_id_occurrences",
+        F.coalesce("__calls", F.lit(0)).alias("distinct_call_ids"),
+        "attributed_observations", "attributed_cost_usd", "outcomes_with_cost",
+    )
 
 
 def raw_dimensions(receipts: DataFrame, costs: DataFrame) -> DataFrame:
