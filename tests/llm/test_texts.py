@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("workledger.llm")
-from workledger.llm.html import blocks_of, main_text, shared_lines  # noqa: E402
+from workledger.llm.html import blocks_of, main_text, neighbours, shared_lines  # noqa: E402
 from workledger.llm.mixing import MixConfig, entropy, mix, solve_exponent, weights_at  # noqa: E402
 from workledger.llm.quality import COUNTS, QualityConfig, quality, rule_statistics  # noqa: E402
 from workledger.llm.toxicity import ToxicityConfig, toxicity  # noqa: E402
@@ -57,6 +57,26 @@ def test_pages_without_an_article_lose_what_neighbours_share(spark):
     assert main_text(spark.createDataFrame([], PAGE)).count() == 0
 
 
+def test_copies_and_passages_of_two_pages_survive_differencing(spark):
+    page = lambda *x: "<div>Site name</div>" + "".join(f"<p>{y}</p>" for y in x) + "<p>All rights</p>"
+    own = [("copied", "again")] * 5 + [(f"own {i}",) for i in range(5)]
+    own[6:8] = [("own 6", "quoted"), ("quoted", "own 7")]
+    rows = [(i, f"http://h.example/p/{i}", page(*x)) for i, x in enumerate(own)]
+    rows += [(20 + i, f"http://two.example/{i}", page(f"own {i}")) for i in range(2)]
+    want = {i: "\n".join(x) for i, x in enumerate(own)} | {20 + i: f"Site name\nown {i}\nAll rights" for i in range(2)}
+    assert {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, PAGE)).collect()} == want
+
+
+def test_neighbours_over_the_edges_of_partitions(spark):
+    rows = [(i, "a" if i < 30 else "b", f"/{i:03}", i) for i in range(50)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.page, r.near) for r in neighbours(spark.createDataFrame(rows, "page long, host string, path string, page_id long")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {(i, j) for i in range(50) for j in range(50) if i != j and abs(i - j) <= 2 and (i < 30) == (j < 30)}
+
+
 def test_archives_round_trip(spark, tmp_path):
     big = "<p>" + "é\r\n\r\nWARC/1.1 text " * 4000
     rows = [(1, "http://a/1", big), (2, "http://a/2", big), (3, "http://a/\n3", "x" * 999), (4, None, "x" * 999), (5, "u", None), (6, "u", ""), (7, "u", "y" * 1000), (8, "u", big)]

@@ -2,18 +2,20 @@
 
 A page becomes blocks of text. Blocks inside an article or main element are the article's, less what the
 markup names as something else (menus, forms, adverts, notices, reader comments). On a page without such an
-element no label says what is text and what is frame; there, pages are paired with their neighbours in the
+element no label says what is text and what is frame; there, pages are compared with their neighbours in the
 order of URL paths within the host, the blocks of both are aligned by longest common subsequence, and
-blocks that a neighbour shares are deleted as frame.
+blocks that two different neighbours share are deleted as frame. Pages of a host with equal blocks are one page
+there, so copies delete nothing of each other.
 
 Neighbours are found by a range partition over (host, path) whose edges are stitched, so no host is gathered
-into one task; alignment takes two neighbours a page.
+into one task; alignment takes four neighbours a page, two on either side.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -148,6 +150,9 @@ def shared_lines(mine: list[int], other: list[int]) -> set[int]:
     return found
 
 
+#: Neighbours on either side that a page is compared with, and how many of all must share a block that is frame.
+NEAR, SHARED_BY = 2, 2
+
 _PARSED = "page_id long, url string, host string, path string, text string, loose array<string>, outside array<long>"
 
 
@@ -178,24 +183,25 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def neighbours(pages: DataFrame) -> DataFrame:
-    """``(page_id, host, path)`` -> ``page_id, near``: the pages before and after it in its host's path order."""
-    key = F.struct("host", "path", "page_id")
+    """``(page, host, path, page_id)``, one row a page -> ``page, near``: up to ``NEAR`` pages before and after it
+    in its host's path order."""
+    names = ["host", "path", "page_id", "page"]
+    key = F.struct(*names)
     placed = written(
-        pages.select("page_id", "host", "path")
-        .repartitionByRange("host", "path", "page_id")
-        .withColumn("part", F.spark_partition_id()),
-        "url-order",
-    )
-    within = Window.partitionBy("part").orderBy("host", "path", "page_id")
-    # the last page of the parts before and the first of the parts after: one row a partition
-    edges = placed.groupBy("part").agg(F.min(key).alias("first"), F.max(key).alias("last"))
-    over = Window.orderBy("part")
-    edges = edges.select("part", F.lag("last").over(over).alias("before"), F.lead("first").over(over).alias("after"))
-    rows = placed.withColumn("me", key).withColumn("p", F.lag("me").over(within)).withColumn("n", F.lead("me").over(within))
-    rows = rows.join(F.broadcast(edges), "part").select(
-        "page_id", "host", F.array(F.coalesce("p", "before"), F.coalesce("n", "after")).alias("both")
+        pages.select(*names).repartitionByRange("host", "path", "page_id").withColumn("part", F.spark_partition_id()), "url-order"
     )
-    return rows.select("page_id", "host", F.explode("both").alias("o")).where("o.host = host").select("page_id", F.col("o.page_id").alias("near"))
+    # the ends of the parts before and after, stitched on: a few rows a partition
+    order = Window.partitionBy("part").orderBy(*names)
+    back = Window.partitionBy("part").orderBy(*(F.desc(c) for c in names))
+    ends = placed.withColumn("i", F.row_number().over(order)).withColumn("j", F.row_number().over(back))
+    ends = ends.where((F.col("i") <= NEAR) | (F.col("j") <= NEAR)).withColumn("me", key)
+    over = Window.orderBy(*(F.col(f"me.{c}") for c in names))
+    moves = [k for k in range(-NEAR, NEAR + 1) if k]
+    stitched = ends.select("page", F.array(*(F.lag("me", k).over(over) for k in moves)).alias("outer"))
+    within = placed.withColumn("me", key).select("*", F.array(*(F.lag("me", k).over(order) for k in moves)).alias("inner"))
+    both = F.array(*(F.coalesce(F.col("inner")[i], F.col("outer")[i]) for i in range(len(moves))))
+    rows = within.join(stitched, "page", "left").select("page", "host", F.explode(both).alias("o"))
+    return rows.where("o.host = host").select("page", F.col("o.page").alias("near")).distinct()
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,10 +209,8 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for lines, others in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             mine = [_hash(x) for x in lines]
-            gone: set[int] = set()
-            for other in others or ():
-                gone |= shared_lines(mine, other)
-            texts.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
+            times = Counter(i for other in others or () for i in shared_lines(mine, other))
+            texts.append("\n".join(x for i, x in enumerate(lines) if times[i] < SHARED_BY))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -214,23 +218,28 @@ def main_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, html)`` -> ``page_id, url, text, n_chars``, one row per input row.
 
     A null or empty html gives the empty text. Without a url the host is empty; without a page_id a page is
-    compared with no other. Pages that share a page_id are each compared with the neighbours of all of them.
-    A copy of a page under a nearby URL deletes the blocks of unlabelled pages only, never of articles. No
-    rows give no rows.
+    compared with no other. On unlabelled pages a block is deleted if two of the nearest pages that differ
+    from it and from each other share it; pages of a host with equal blocks stand at the first of their paths.
+    A host with fewer than three different pages loses nothing. No rows give no rows.
     """
     python_batches(pages.sparkSession)
     parsed = written(
-        pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), text_bytes("html").alias("body")).mapInArrow(
-            _parse, _PARSED
-        ),
+        pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), text_bytes("html").alias("body"))
+        .mapInArrow(_parse, _PARSED)
+        .withColumn("page", F.xxhash64("host", "text", "outside")),
         "pages-parsed",
     )
     labelled = parsed.where("text is not null").select("page_id", "url", "text")
     open_ = parsed.where("loose is not null")
-    ids = open_.where("page_id is not null").select("page_id").distinct()
-    pairs = neighbours(parsed.where("page_id is not null")).join(ids, "page_id", "left_semi").distinct()
-    outside = parsed.select(F.col("page_id").alias("near"), "outside")
-    others = skew_join(pairs, outside, "near").groupBy("page_id").agg(F.collect_list("outside").alias("others"))
-    left = open_.join(others, "page_id", "left").select("page_id", "url", "loose", "others")
+    # pages of a host with the same blocks are one page; those of pages that differ only within articles are not
+    contents = parsed.where("page_id is not null").groupBy("page", "host").agg(F.min(F.struct("path", "page_id")).alias("at"))
+    wanted = open_.where("page_id is not null").select("page").distinct()
+    near = neighbours(contents.select("page", "host", "at.path", "at.page_id")).join(wanted, "page", "left_semi")
+    pairs = written(near, "page-pairs")
+    needed = pairs.select(F.col("near").alias("page")).distinct()
+    outside = parsed.join(needed, "page", "left_semi").groupBy(F.col("page").alias("near")).agg(F.first("outside").alias("outside"))
+    others = skew_join(pairs, outside, "near").groupBy("page").agg(F.collect_list("outside").alias("others"))
+    alone = F.when(F.col("page_id").isNotNull(), F.col("page"))
+    left = skew_join(open_.withColumn("page", alone), others, "page", "left").select("page_id", "url", "loose", "others")
     texts = labelled.unionByName(left.mapInArrow(_difference, "page_id long, url string, text string"))
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
