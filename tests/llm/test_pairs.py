@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("workledger.llm")
 from workledger.llm.common import words_of  # noqa: E402
 from workledger.llm.decontaminate import ContainmentConfig, contaminated_pairs, decontaminate  # noqa: E402
-from workledger.llm.lines import LineConfig, dedup_lines, line_report, near_line_pairs  # noqa: E402
+from workledger.llm.lines import LineConfig, dedup_lines, late_lines, line_report, sized  # noqa: E402
 from workledger.llm.minhash import MinHashConfig, fast_similarity_sketch, near_duplicates, shingle_set  # noqa: E402
 from workledger.operators.graph import components  # noqa: E402
 
@@ -104,8 +104,16 @@ def distance(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("edits", [1, 2, 3])
-def test_line_pairs_equal_brute_force(spark, edits):
+def late(spark, lines, config):
+    """Numbers of the lines that are near one with a smaller number."""
+    rows = spark.createDataFrame([*enumerate(lines), (-1, None)], "line_id long, line string").withColumn("place", F.col("line_id"))
+    got = [r.line_id for r in late_lines(sized(rows), config).collect()]
+    assert len(got) == len(set(got))
+    return set(got)
+
+
+@pytest.mark.parametrize("edits,few", [(1, 0), (2, 0), (2, 2), (2, 16), (3, 1)])
+def test_near_lines_equal_brute_force(spark, edits, few):
     draw = random.Random(edits)
     lines = []
     for _ in range(12):
@@ -117,9 +125,9 @@ def test_line_pairs_equal_brute_force(spark, edits):
                 draw.choice([lambda: copy.pop(k), lambda: copy.insert(k, "z"), lambda: copy.__setitem__(k, "y")])()
             lines.append("".join(copy))
     lines = sorted(set(lines))
-    got = near_line_pairs(spark.createDataFrame(list(enumerate(lines)), "line_id long, line string"), LineConfig(distance=edits, least_chars=8))
-    want = {(i, j) for j in range(len(lines)) for i in range(j) if min(len(lines[i]), len(lines[j])) >= 8 and distance(lines[i], lines[j]) <= edits}
-    assert {(r.a, r.b) for r in got.collect()} == want and want
+    near = lambda i, j: distance(lines[i], lines[j]) <= (edits if min(len(lines[i]), len(lines[j])) >= 8 else 1)
+    want = {j for j in range(len(lines)) if any(near(i, j) for i in range(j))}
+    assert late(spark, lines, LineConfig(distance=edits, least_chars=8, few=few)) == want and want
 
 
 def test_short_lines_are_near_copies_at_one_edit(spark):
@@ -135,10 +143,9 @@ def test_short_lines_are_near_copies_at_one_edit(spark):
                     draw.choice([lambda: copy.__delitem__(slice(k, k + 1)), lambda: copy.insert(k, "z"), lambda: copy.__setitem__(slice(k, k + 1), "y")])()
                 lines.add("".join(copy))
     lines = sorted(lines)
-    pairs = [(i, j) for j in range(len(lines)) for i in range(j)]
-    want = {(i, j) for i, j in pairs if distance(lines[i], lines[j]) <= (1 if min(len(lines[i]), len(lines[j])) < 40 else 2)}
-    got = near_line_pairs(spark.createDataFrame([*enumerate(lines), (-1, None)], "line_id long, line string"))
-    assert {(r.a, r.b) for r in got.collect()} == want
+    want = {j for j, y in enumerate(lines) if any(distance(x, y) <= (1 if min(len(x), len(y)) < 40 else 2) for x in lines[:j])}
+    for few in (0, 3, 16):
+        assert late(spark, lines, LineConfig(few=few)) == want
     docs = spark.createDataFrame([(1, "Thwhesnd esator whshing and hewh.\nIs and thnd."), (2, "Thwhesnd, esator whshing and hewh.\nTo and thnd.")], DOC)
     assert {r.doc_id: tuple(r)[1:] for r in line_report(docs).collect()} == {1: (2, 0, 0, 2), 2: (2, 0, 1, 1)}
 
@@ -153,6 +160,16 @@ def test_line_report_and_texts(spark):
     assert line_report(docs.limit(0)).count() == 0
 
 
+def test_lines_of_odd_rows(spark):
+    """Repeated rows, rows that share a doc_id, clashing column names, and a very long line."""
+    long = " ".join(f"v{i}" for i in range(30_000))
+    rows = [(1, "a line that is here twice, once more\nb"), (1, "a line that is here twice, once more\nb"), (1, "another first line, of the same place"), (2, long), (3, long + "!")]
+    docs = spark.createDataFrame(rows, DOC).withColumns({c: F.lit(7) for c in ("line", "at", "line_id", "place", "key", "length", "near", "probe")})
+    assert {r.doc_id: tuple(r)[1:] for r in line_report(docs).collect()} == {1: (5, 2, 0, 3), 2: (1, 0, 0, 1), 3: (1, 0, 1, 0)}
+    texts = {r.doc_id: r.text for r in dedup_lines(docs).collect()}
+    assert sorted(texts[1].split("\n")) == sorted(["a line that is here twice, once more", "b", rows[2][1]]) and (texts[2], texts[3]) == (long, "")
+
+
 def test_containment_equals_brute_force(spark):
     draw = random.Random(5)
     word = lambda: f"w{draw.randrange(2000)}"

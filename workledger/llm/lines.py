@@ -4,38 +4,39 @@ Two lines within ``distance`` edits of each other agree on at least one of ``dis
 which the shorter one is split evenly, at a place that the lengths bound. So every distinct line is indexed
 by its segments, and probes, for its own and each smaller length in reach, the substrings that could equal a
 segment there. Short lines take part with one edit, so with two segments; of a line of one character, one of
-them is empty and meets all lines that are as short. Lines that meet must also nearly agree in the counts of some letters, as near lines do; the
-join itself checks that, so a passage that many lines share makes no pairs. What is left is verified with
-Spark's ``levenshtein`` under a threshold, which computes a band
-of the edit matrix only.
+them is empty and meets all lines that are as short. Lines that meet must also nearly agree in the counts of
+some letters, as near lines do; the join itself checks that. What is left is verified with Spark's
+``levenshtein`` under a threshold, which computes a band of the edit matrix only.
 
 The main path is DataFrame functions throughout. Lines are grouped by hash, so a line that is in every
-document is one row of the join; the join sees distinct lines only, and repeated matches collapse before
-texts are fetched.
+document is one row of the join; the join sees distinct lines only. A segment that many different lines share
+(a common passage, a template) makes no pairs of rows at all: see ``late_lines``.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from workledger.llm.common import written
 
 
-#: Candidate pairs up to which their line ids are sent to all executors; beyond, the join shuffles.
+#: Line ids up to which they are sent to all executors; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
 class LineConfig:
     """``distance`` is the largest number of edits between near copies. If the shorter of two lines has fewer
-    than ``least_chars`` characters it is 1 at most: among short ones a few edits make another line.
+    than ``least_chars`` characters it is 1 at most: among short ones a few edits make another line. Segments
+    that more than ``few`` lines have are joined another way, with the same result.
     """
 
     distance: int = 2
     least_chars: int = 40
+    few: int = 16
 
     @property
     def short_distance(self) -> int:
@@ -53,19 +54,6 @@ def line_key(line: str = "line") -> Column:
     return F.substring(F.unhex(F.sha2(F.col(line), 256)), 1, 16)
 
 
-def _segment(length: Column, k: int, parts: int) -> tuple[Column, Column]:
-    """1-based start and size of segment ``k`` of a line of ``length``: the last ones are a character longer."""
-    size = F.floor(length / parts)
-    longer = length - size * parts
-    first = F.greatest(F.lit(0), F.lit(k) - (F.lit(parts) - longer))
-    return (size * k + first + 1).cast("int"), (size + F.when(F.lit(k) >= F.lit(parts) - longer, 1).otherwise(0)).cast("int")
-
-
-def _piece(start: Column, size: Column) -> Column:
-    """``size`` characters from 1-based ``start``; four bytes each, so that no text is scanned for its place."""
-    return F.col("code").substr((start - 1) * 4 + 1, size * 4)
-
-
 #: Frequent letters whose counts two near lines must nearly share. Any set keeps the result right.
 LETTERS = "etanirso"
 
@@ -85,104 +73,151 @@ def _counts_differ(one: str, two: str) -> Column:
     return sum((F.abs(byte(one, i) - byte(two, i)) for i in range(1, len(LETTERS))), F.abs(byte(one, 0) - byte(two, 0)))
 
 
-def _index_keys(distance: int) -> Column:
-    keys = []
-    for k in range(distance + 1):
-        start, size = _segment(F.col("length"), k, distance + 1)
-        keys.append(F.xxhash64(F.lit(k), F.col("length"), _piece(start, size)))
-    return F.array(*keys)
-
-
-def _indexed(lines: DataFrame, config: LineConfig) -> DataFrame:
-    """Segments of every line, and ``reach``, by how much the letter counts of a near line may differ."""
-    long_ = F.col("length") >= config.least_chars
-    keys = F.when(long_, _index_keys(config.distance)).otherwise(_index_keys(config.short_distance))
-    reach = F.when(long_, 2 * config.distance).otherwise(2 * config.short_distance)
-    return lines.select("line_id", "counts", reach.alias("reach"), F.explode(keys).alias("probe"))
-
-
-def _probe_keys(distance: int) -> Column:
-    """Substrings of a line that may equal a segment of a line that is at most ``distance`` shorter.
+def _places(distance: int, own: bool) -> Column:
+    """Where to cut segments, as ``(parts, k, shorter, move)``: of the line itself (``own``), or wherever in it
+    a segment of a line that is at most ``distance`` shorter may lie.
 
     Segment k of the shorter line may be moved by as many places as the edits before it allow (k of them),
     and as those after it do (distance - k, given the difference of lengths).
     """
     parts = distance + 1
-    keys = []
-    for shorter in range(distance + 1):
-        length = F.col("length") - shorter
+    places = []
+    for shorter in range(1 if own else parts):
         for k in range(parts):
-            start, size = _segment(length, k, parts)
-            low = max(-k, shorter - (distance - k))
-            high = min(k, shorter + (distance - k))
-            for move in range(low, high + 1):
-                at = start + move
-                inside = (at >= 1) & (at + size - 1 <= F.col("length"))
-                keys.append(F.when(inside, F.xxhash64(F.lit(k), length, _piece(at, size))))
-    return F.array_compact(F.array(*keys))
+            moves = (0,) if own else range(max(-k, shorter - (distance - k)), min(k, shorter + (distance - k)) + 1)
+            places += [(parts, k, shorter, move) for move in moves]
+    names = ("parts", "k", "shorter", "move")
+    return F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(p, names, strict=True))) for p in places))
+
+
+def _keys(lines: DataFrame, places: Column, *keep: str) -> DataFrame:
+    """``keep`` and one row per place that lies inside the line: ``probe``, the hash of the segment there.
+
+    Lines of one byte a character are cut by bytes, others by characters; equal pieces hash alike.
+    """
+    length = F.col("length") - F.col("p.shorter")
+    size = F.floor(length / F.col("p.parts")).cast("int")
+    longer = length - size * F.col("p.parts")  # so many of the last segments are a character longer
+    ahead = F.greatest(F.lit(0), F.col("p.k") + longer - F.col("p.parts"))
+    cut = lines.select("*", F.explode(places).alias("p")).select(
+        *keep,
+        "line",
+        "length",
+        F.col("p.k").alias("k"),
+        length.alias("of"),
+        (size * F.col("p.k") + ahead + 1 + F.col("p.move")).alias("start"),
+        (size + (F.col("p.k") + longer >= F.col("p.parts")).cast("int")).alias("size"),
+    )
+    bytewise = F.encode("line", "UTF-8").substr(F.col("start"), F.col("size"))
+    piece = F.when(F.octet_length("line") == F.col("length"), bytewise).otherwise(
+        F.encode(F.col("line").substr(F.col("start"), F.col("size")), "UTF-8")
+    )
+    inside = (F.col("of") >= 0) & (F.col("start") >= 1) & (F.col("start") + F.col("size") - 1 <= F.col("length"))
+    return cut.where(inside).select(*keep, F.xxhash64("k", "of", piece).alias("probe"))
+
 
+def _index_places(config: LineConfig) -> Column:
+    return F.when(F.col("length") >= config.least_chars, _places(config.distance, True)).otherwise(
+        _places(config.short_distance, True)
+    )
+
+
+def _probe_places(config: LineConfig) -> Column:
+    """A line of just ``least_chars`` meets lines of both kinds: as long, and shorter."""
+    far, close = _places(config.distance, False), _places(config.short_distance, False)
+    return (
+        F.when(F.col("length") > config.least_chars, far)
+        .when(F.col("length") == config.least_chars, F.concat(far, close))
+        .otherwise(close)
+    )
+
+
+def _near(a: str, b: str, config: LineConfig) -> Column:
+    """Whether lines of two sets of columns are near: letter counts first, then the banded distance."""
+    shorter = F.least(f"{a}_length", f"{b}_length")
+    allowed = F.when(shorter >= config.least_chars, config.distance).otherwise(config.short_distance)
+    alike = _counts_differ(f"{a}_counts", f"{b}_counts") <= 2 * allowed
+    return alike & F.levenshtein(f"{a}_line", f"{b}_line", config.distance).between(1, allowed)
 
-def _probing(lines: DataFrame, config: LineConfig) -> DataFrame:
-    """What every line probes. One of just ``least_chars`` meets lines of both kinds: as long, and shorter."""
-    none = F.array().cast("array<bigint>")
-    far = F.when(F.col("length") >= config.least_chars, _probe_keys(config.distance)).otherwise(none)
-    close = F.when(F.col("length") <= config.least_chars, _probe_keys(config.short_distance)).otherwise(none)
-    return lines.select("line_id", "counts", F.explode(F.concat(far, close)).alias("probe"))
 
+def _named(lines: DataFrame, prefix: str) -> DataFrame:
+    return lines.select(*(F.col(c).alias(f"{prefix}_{c}") for c in lines.columns))
 
-def near_line_pairs(lines: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
-    """``(line_id, line)`` distinct lines -> ``a, b`` ids with 1 to ``distance`` edits between, ``a < b``, or
-    just 1 if the shorter line is under ``least_chars``.
 
-    Null lines are paired with nothing.
+def sized(lines: DataFrame) -> DataFrame:
+    """``lines`` with what the join looks at first: ``length`` in characters and letter ``counts``."""
+    return lines.withColumn("length", F.char_length("line")).withColumn("counts", _letter_counts())
+
+
+def late_lines(lines: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
+    """``(line_id, place, line, length, counts)``, one row per distinct line, to the ``line_id`` of every line
+    that is near one with a smaller ``place``. Places are distinct. Null lines are near nothing.
+
+    A segment that few lines have makes pairs, whose texts are fetched and verified. For one that many have,
+    the join only notes who has it; these lines meet with their texts in a semi-join, which verifies on the
+    spot, stops at the first earlier near line, and whose result is no larger than what goes in.
     """
     lines = lines.where("line is not null")
-    coded = lines.select("line_id", F.encode("line", "UTF-32").alias("code"), _letter_counts().alias("counts"))
-    coded = coded.withColumn("length", F.expr("octet_length(code) div 4").cast("int"))
-    index = _indexed(coded, config).withColumnsRenamed({"line_id": "one", "counts": "counts_one"})
-    probes = _probing(coded, config).withColumnsRenamed({"line_id": "two", "counts": "counts_two"})
-    # lines that share a segment, as all do that hold a common passage, meet only if their letters agree too
-    alike = _counts_differ("counts_one", "counts_two") <= F.col("reach")
-    met = index.join(probes, "probe").where("one <> two").where(alike)
-    pairs = written(
-        met.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct(), "line-candidates"
+    index = _keys(lines, _index_places(config), "line_id", "length", "counts").withColumnsRenamed(
+        {"line_id": "one", "length": "one_length", "counts": "one_counts"}
+    )
+    probes = _keys(lines, _probe_places(config), "line_id", "counts").withColumnsRenamed({"line_id": "two", "counts": "two_counts"})
+    # counted and ordered where the join needs them anyway
+    has = Window.partitionBy("probe")
+    index = index.withColumn("members", F.count("*").over(has)).withColumn("nth", F.row_number().over(has.orderBy("one")))
+    index = index.where((F.col("members") <= config.few) | (F.col("nth") == 1))
+    reach = F.when(F.col("one_length") >= config.least_chars, 2 * config.distance).otherwise(2 * config.short_distance)
+    pair = (F.col("one") != F.col("two")) & (_counts_differ("one_counts", "two_counts") <= reach)
+    met = index.join(probes, "probe").where((F.col("members") > config.few) | pair)
+    met = written(
+        met.select(
+            F.when(F.col("members") > config.few, F.col("probe")).alias("crowd"),
+            F.when(F.col("members") > config.few, F.col("two")).otherwise(F.least("one", "two")).alias("a"),
+            F.greatest("one", "two").alias("b"),
+        ),
+        "line-candidates",
     )
-    ids = pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct()
-    few = pairs.count() <= BROADCAST_ROWS
+    pairs = met.where("crowd is null").select("a", "b").distinct()
+    crowds = met.where("crowd is not null").select("crowd", F.col("a").alias("line_id")).distinct()
+
     # only lines that met another are fetched; while these are few, without moving the others
-    texts = written(
-        lines.select("line_id", "line").join(F.broadcast(ids) if few else ids, "line_id", "left_semi"), "line-texts"
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("line_id")).union(crowds.select("line_id")).distinct(), "line-ids")
+    few = ids.count() <= BROADCAST_ROWS
+    texts = written(lines.join(F.broadcast(ids) if few else ids, "line_id", "left_semi"), "line-texts")
+    both = pairs.join(_named(texts, "a"), F.col("a") == F.col("a_line_id")).join(_named(texts, "b"), F.col("b") == F.col("b_line_id"))
+    later = F.when(F.col("a_place") < F.col("b_place"), F.col("b")).otherwise(F.col("a"))
+    late = both.where(_near("a", "b", config)).select(later.alias("line_id"))
+
+    # a line is in a crowd by a segment of its own, or by what may be one of a shorter line
+    own = _keys(texts, _index_places(config), "line_id").select(F.col("probe").alias("crowd"), "line_id", F.lit(True).alias("own"))
+    members = crowds.join(own.distinct(), ["crowd", "line_id"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    members = written(members.join(texts, "line_id"), "line-crowds").withColumn("spread", F.xxhash64("crowd"))
+    one, two = _named(members, "one"), _named(members, "two")
+    meets = (
+        (F.col("one_spread") == F.col("two_spread"))  # a second key, so that a hot crowd may be split
+        & (F.col("one_crowd") == F.col("two_crowd"))
+        & (F.col("one_place") < F.col("two_place"))
+        & (F.col("one_own") | F.col("two_own"))
     )
-    left = texts.select(F.col("line_id").alias("a"), F.col("line").alias("line_a"))
-    right = texts.select(F.col("line_id").alias("b"), F.col("line").alias("line_b"))
-    both = pairs.join(left, "a").join(right, "b")
-    distance = F.levenshtein("line_a", "line_b", config.distance)
-    shorter = F.least(F.char_length("line_a"), F.char_length("line_b"))
-    allowed = F.when(shorter >= config.least_chars, config.distance).otherwise(config.short_distance)
-    return both.where(distance.between(1, allowed)).select("a", "b")
+    crowded = two.join(one, meets & _near("one", "two", config), "left_semi").select(F.col("two_line_id").alias("line_id"))
+    return late.union(crowded).distinct()
 
 
 def line_verdicts(docs: DataFrame, config: LineConfig = LineConfig()) -> tuple[DataFrame, DataFrame]:
     """Distinct lines with the place of their first occurrence and whether they are near copies, and all
     occurrences.
 
-    A distinct line is a near copy if one that ``near_line_pairs`` pairs it with occurs first, in (doc_id, at)
-    order.
+    A distinct line is a near copy if a near one occurs first, in (doc_id, at) order; of lines at one place,
+    as rows that share a doc_id have them, the one with the smaller hash counts as first.
     """
-    occurrences = lines_of(docs.where("doc_id is not null"))
-    first = written(
-        occurrences.groupBy(line_key().alias("key"))
-        .agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("uses"), F.first("line").alias("line"))
-        .select(F.monotonically_increasing_id().alias("line_id"), "first", "uses", "line"),
-        "lines",
-    )
-    pairs = written(near_line_pairs(first.select("line_id", "line"), config), "line-pairs")
-    places = first.select("line_id", "first")
-    located = pairs.join(places.select(F.col("line_id").alias("a"), F.col("first").alias("fa")), "a").join(
-        places.select(F.col("line_id").alias("b"), F.col("first").alias("fb")), "b"
+    occurrences = lines_of(docs.where("doc_id is not null").select("doc_id", "text"))
+    grouped = occurrences.groupBy(line_key().alias("key")).agg(
+        F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("uses"), F.first("line").alias("line")
     )
-    late = located.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("line_id")).distinct()
-    verdicts = first.select("line_id", "first", "uses").join(late.withColumn("near", F.lit(True)), "line_id", "left")
+    place = F.struct("first.doc_id", "first.at", "key").alias("place")
+    first = written(sized(grouped.select(F.monotonically_increasing_id().alias("line_id"), place, "uses", "line")), "lines")
+    late = late_lines(first.select("line_id", "place", "line", "length", "counts"), config)
+    verdicts = first.select("line_id", F.col("place").alias("first"), "uses").join(late.withColumn("near", F.lit(True)), "line_id", "left")
     return verdicts, occurrences
 
 
@@ -222,10 +257,11 @@ def dedup_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame
     Lines without a visible character are dropped. A document that keeps no line has the empty text.
     """
     verdicts, _ = line_verdicts(docs, config)
-    kept = verdicts.where("near is null").select("first.doc_id", "first.at")
-    rows = lines_of(docs.where("doc_id is not null"))
+    kept = verdicts.where("near is null").select("first.doc_id", "first.at", "first.key")
+    rows = lines_of(docs.where("doc_id is not null").select("doc_id", "text")).withColumn("key", line_key())
     texts = (
-        rows.join(kept, ["doc_id", "at"])
+        rows.distinct()
+        .join(kept, ["doc_id", "at", "key"])
         .groupBy("doc_id")
         .agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("lines"))
         .select("doc_id", F.array_join("lines.line", "\n").alias("text"))

@@ -130,11 +130,16 @@ ORACLES: dict[str, str] = {
         f AS (
             SELECT line, min(doc_id * 1000000 + i) AS place, length(line) AS n FROM o GROUP BY line),
         late AS (
-            SELECT DISTINCT b.line FROM f a JOIN f b
+            SELECT b.line FROM f a JOIN f b
             ON a.n BETWEEN b.n - 2 AND b.n + 2 AND a.place < b.place AND a.n >= 40 AND b.n >= 40
             AND (contains(b.line, left(a.line, a.n // 3)) OR contains(b.line, right(a.line, a.n // 3))
                 OR contains(b.line, substr(a.line, a.n // 3 + 1, a.n - 2 * (a.n // 3))))
-            AND levenshtein(a.line, b.line) <= 2),
+            AND levenshtein(a.line, b.line) <= 2
+            UNION SELECT if(a.place < b.place, b.line, a.line) FROM f a JOIN f b
+            ON a.n BETWEEN b.n - 1 AND b.n AND a.n < 40 AND (a.n < b.n OR a.place < b.place) AND a.line <> b.line
+            AND (left(a.line, a.n // 2) = left(b.line, a.n // 2) OR right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2))
+            AND len(list_filter(range(0, b.n), p -> left(a.line, p) = left(b.line, p)
+                AND substr(a.line, p + 2 - (b.n - a.n)) = substr(b.line, p + 2))) > 0),
         l AS (SELECT doc_id, count(*) AS n FROM o GROUP BY doc_id),
         g AS (
             SELECT place // 1000000 AS doc_id, count(*) AS n, count(late.line) AS near
