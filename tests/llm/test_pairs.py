@@ -78,6 +78,9 @@ def test_near_duplicates_of_odd_rows(spark):
     rows = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, long), (3, long + " end")], DOC)
     got = near_duplicates(rows.withColumn("kept", F.lit("x")).withColumn("component_id", F.lit(0))).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 2, True), (3, 2, False)]
+    a, b = "a b c d e f", "u v w x y z"
+    shared = near_duplicates(spark.createDataFrame([(5, a), (5, b), (3, b), (9, a), (4, "k l m n o p")], DOC)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in shared) == [(3, 3), (4, 4), (5, 3), (5, 3), (9, 3)]
 
 
 def test_sketch_estimates_similarity_and_fills_every_bin():
@@ -173,7 +176,8 @@ def test_lines_of_odd_rows(spark):
 def test_containment_equals_brute_force(spark):
     draw = random.Random(5)
     word = lambda: f"w{draw.randrange(2000)}"
-    items = [(i, " ".join(word() for _ in range(draw.randrange(5, 40)))) for i in range(20)] + [(20, "too few words"), (21, None), (22, items_text := "a a a a a a a")]
+    plain = lambda t: "".join(c if c.isalnum() else " " for c in t or "")
+    items = [(i, " ".join(word() for _ in range(draw.randrange(5, 40)))) for i in range(20)] + [(20, "too few words"), (21, None), (22, items_text := "a a a a a a a"), (23, "Solo!"), (24, "--")]
     docs = []
     for d in range(60):
         words = [word() for _ in range(draw.randrange(0, 200))]
@@ -183,12 +187,13 @@ def test_containment_equals_brute_force(spark):
             at = draw.randrange(len(words) + 1)
             words = words[:at] + cut + words[at:]
         docs.append((d, ", ".join(words)))
-    docs += [(100, None), (101, ""), (102, items_text + " b"), (102, "x"), (None, items_text)]
-    s = {i: x for (i, _), x in zip(items, sets([(t or "").replace(",", " ") for _, t in items], 5), strict=True) if len((dict(items)[i] or "").split()) >= 5}
+    docs += [(100, None), (101, ""), (102, items_text + " b"), (102, "x"), (None, items_text), (103, "So, too few words of it; solo"), (104, " ".join(f"v{i}" for i in range(30_000)) + " too few words"), (105, "few")]
+    s = {i: x for (i, _), x in zip(items, sets([plain(t) for _, t in items], 5), strict=True) if x}
     texts = {}
     for d, t in docs:
         if d is not None:
-            texts.setdefault(d, set()).update(x for x in sets([(t or "").replace(",", " ")], 5)[0] if len(x) == 5)
+            for width in range(1, 6):
+                texts.setdefault(d, set()).update(x for x in sets([plain(t)], width)[0] if len(x) == width)
     want = {(d, i) for d, x in texts.items() for i, y in s.items() if 100 * len(x & y) >= 80 * len(y)}
     frame = spark.createDataFrame(docs, DOC)
     bench = spark.createDataFrame(items, "item_id long, text string")

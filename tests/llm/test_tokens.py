@@ -14,7 +14,7 @@ pytest.importorskip("workledger.llm")
 import public_tokenizers  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-from workledger.llm.rangecoder import decode_blocks, encode_blocks, split_blocks  # noqa: E402
+from workledger.llm.rangecoder import IdTable, decode_blocks, encode_blocks, split_blocks  # noqa: E402
 from workledger.llm.token_blocks import BlockConfig, read_documents, token_segments, write_token_blocks  # noqa: E402
 from workledger.llm.token_counts import token_counts  # noqa: E402
 from workledger.llm.tokens import PieceIds, WordCounts  # noqa: E402
@@ -56,6 +56,8 @@ def test_counts_and_their_cache(spark, tmp_path):
     assert token_counts(docs, WORD, cache).count() == len(got) and spark.read.parquet(cache).count() == stored
     token_counts(spark.createDataFrame([(1, "a wholly new text"), (2, " a wholly  new text ")], DOC), WORD, cache).collect()
     assert spark.read.parquet(cache).count() == stored + 1
+    token_counts(spark.createDataFrame([(1, "twice the same row")] * 2, DOC), WORD, cache).collect()
+    assert spark.read.parquet(cache).count() == stored + 2
     assert token_counts(docs.limit(0), WORD, cache).count() == 0
 
 
@@ -63,8 +65,10 @@ def test_counts_and_their_cache(spark, tmp_path):
 @settings(max_examples=40, deadline=None)
 def test_blocks_round_trip(blocks):
     arrays = [np.array(b, np.uint32) for b in blocks]
-    coded = encode_blocks(arrays)
-    assert all(np.array_equal(a, b) for a, b in zip(arrays, decode_blocks(split_blocks(b"".join(coded))), strict=True))
+    table = IdTable.of(np.concatenate(arrays))
+    coded = encode_blocks(arrays, table)
+    table = IdTable.from_bytes(table.to_bytes())
+    assert all(np.array_equal(a, b) for a, b in zip(arrays, decode_blocks(split_blocks(b"".join(coded)), table), strict=True))
 
 
 def test_long_and_sure_blocks_round_trip():
@@ -73,32 +77,43 @@ def test_long_and_sure_blocks_round_trip():
     for top in (1, 255, 50_256, (1 << 18) - 1):
         blocks = [np.where(draw.random(6000) < p, draw.integers(0, top + 1, 6000), 0).astype(np.uint32) for p in (0, 0.001, 0.01, 0.2, 1)]
         blocks[0][-1] = top
-        assert all(np.array_equal(a, b) for a, b in zip(blocks, decode_blocks(encode_blocks(blocks)), strict=True))
+        table = IdTable.of(np.concatenate(blocks))
+        assert all(np.array_equal(a, b) for a, b in zip(blocks, decode_blocks(encode_blocks(blocks, table), table), strict=True))
 
 
 def test_repeats_shrink_and_damage_is_found():
     ids = np.tile(np.arange(40_000, 40_050, dtype=np.uint32), 40)
-    (block,) = encode_blocks([ids])
+    table = IdTable.of(ids)
+    (block,) = encode_blocks([ids], table)
     assert len(block) < len(ids)
-    assert np.array_equal(decode_blocks([block])[0], ids)
+    assert np.array_equal(decode_blocks([block], table)[0], ids)
     with pytest.raises(ValueError):
-        decode_blocks([block[:-1] + bytes([block[-1] ^ 1])])
+        decode_blocks([block[:-1] + bytes([block[-1] ^ 1])], table)
     with pytest.raises(ValueError):
         split_blocks(block[:-1])
     with pytest.raises(ValueError):
-        encode_blocks([np.array([1 << 18])])
-    assert encode_blocks([]) == []
+        IdTable.of(np.array([1 << 18]))
+    assert encode_blocks([], table) == []
+
+
+def test_blocks_of_text_are_smaller_than_deflated_ones(spark):
+    texts = [(r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
+    ids = np.concatenate([np.frombuffer(x, "<u4") for x in IDS(texts)])
+    blocks = [ids[i : i + 2048] for i in range(0, len(ids), 2048)]
+    table = IdTable.of(ids)
+    coded = sum(map(len, encode_blocks(blocks, table))) + len(table.to_bytes())
+    assert coded < 0.8 * sum(len(zlib.compress(b.tobytes(), 9)) for b in blocks)
 
 
 def test_files_give_back_every_document(spark, tmp_path):
-    rows = [(i * 3, t) for i, t in enumerate(ODD)] + [(500, "long text " * 4000), (501, None), (None, "no id"), (7, "same"), (7, "same")]
+    rows = [(i * 3, t) for i, t in enumerate(ODD)] + [(500, "long text " * 4000), (501, None), (None, "no id"), (7, "same"), (7, "other"), (7, "same")]
     docs = spark.createDataFrame(rows, DOC).repartition(5)
     path = f"file://{tmp_path}/t"
     config = BlockConfig(block_ids=64, segment_ids=256, lanes=16)
     write_token_blocks(docs.withColumn("body", F.lit(0)), path, BYTE, config)
     got = sorted(((-1 if r.doc_id is None else r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in read_documents(spark, path, config).collect())
     tok, start, want = Tokenizer.from_file(BYTE), 0, []
-    for d, t in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
+    for d, t in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1] or "")):
         ids = np.array([*tok_ids(tok, t or ""), 2], "<u4")
         want.append((-1 if d is None else d, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from workledger.shared import shared_path as shared_dir
+from workledger.shared import shared_root
 from workledger.shared import skew_join, written
 
-__all__ = ["shared_dir", "skew_join", "written"]
+__all__ = ["shared_dir", "shared_root", "skew_join", "written"]
 
 #: Rows of one Arrow batch handed to Python. Bounds a worker's memory when rows are long texts.
 BATCH_ROWS = 256

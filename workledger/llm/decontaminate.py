@@ -6,6 +6,9 @@ may lack and still contain the item to the threshold. A document that holds the
 item's shingles therefore holds at least one of its signature's, whatever the document's length: the search
 loses nothing, and it probes a few shingles an item instead of all.
 
+An item of fewer words than a shingle has is one shingle of all its words, found among documents' windows of
+that many words; these are probed only for widths that occur.
+
 Both steps are DataFrame functions only. Documents are turned into shingle hashes inside one stage (word
 array, five shifted views, one hash a row) and probe the signatures there; candidates alone are read again
 and counted exactly on the shingles' words.
@@ -40,28 +43,38 @@ def normal_words(text: str = "text") -> Column:
 
 def _shingles(df: DataFrame, width: int, *keep: str) -> DataFrame:
     """``keep`` and one row per shingle: its hash and its words. Texts with fewer words have none."""
-    n = F.size("__w") - (width - 1)
-    views = F.arrays_zip(*(F.slice("__w", i + 1, n).alias(f"w{i}") for i in range(width)))
-    parts = [F.col(f"__s.w{i}") for i in range(width)]
+    n = F.size("words") - (width - 1)
+    views = F.arrays_zip(*(F.slice("words", i + 1, n).alias(f"w{i}") for i in range(width)))
+    parts = [F.col(f"window.w{i}") for i in range(width)]
     return (
-        df.withColumn("__w", normal_words())
-        .where(F.size("__w") >= width)
-        .select(*keep, F.explode(views).alias("__s"))
+        df.select(*keep, normal_words().alias("words"))
+        .where((F.size("words") >= width) & (F.col("words")[0] != ""))
+        .select(*keep, F.explode(views).alias("window"))
         .select(*keep, F.xxhash64(*parts).alias("shingle"), F.concat_ws(" ", *parts).alias("gram"))
     )
 
 
 def item_shingles(items: DataFrame, config: ContainmentConfig) -> DataFrame:
     """Distinct shingles of every item with the item's size."""
-    grams = (
-        _shingles(items.where("item_id is not null"), config.width, "item_id")
-        .select("item_id", "shingle", "gram")
-        .distinct()
-    )
+    words = items.where("item_id is not null").select("item_id", "text", normal_words().alias("all"))
+    grams = _shingles(words, config.width, "item_id").withColumn("width", F.lit(config.width))
+    for width in range(1, config.width):
+        short = _shingles(words.where(F.size("all") == width), width, "item_id")
+        grams = grams.union(short.withColumn("width", F.lit(width)))
+    grams = grams.select("item_id", "shingle", "gram", "width").distinct()
     sizes = grams.groupBy("item_id").agg(F.countDistinct("gram").cast("long").alias("item_size"))
     return grams.join(sizes, "item_id")
 
 
+def _windows(docs: DataFrame, widths: list[int]) -> DataFrame:
+    """Shingles of the documents, of every width that occurs among the items."""
+    parts = [_shingles(docs, width, "doc_id") for width in widths]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
 def signatures(grams: DataFrame, config: ContainmentConfig) -> DataFrame:
     """``shingle, item_id`` of the bottom-k sketches; k depends on the item's size partition."""
     from pyspark.sql import Window
@@ -80,16 +93,19 @@ def signatures(grams: DataFrame, config: ContainmentConfig) -> DataFrame:
 def contaminated_pairs(docs: DataFrame, items: DataFrame, config: ContainmentConfig = ContainmentConfig()) -> DataFrame:
     """``(doc_id, text)`` and ``(item_id, text)`` -> ``doc_id, item_id, item_size, found``, one row a pair.
 
-    ``found`` counts the item's distinct shingles in the document. Items with fewer words than ``width`` have
-    no shingles and are never found; null or empty texts match nothing; rows without an id are ignored. Rows
-    that share an id count as one document, or one item, with the shingles of all of them.
+    ``found`` counts the item's distinct shingles in the document. An item with fewer words than ``width`` is
+    one shingle of all its words; null, empty and wordless texts match nothing; rows without an id are ignored.
+    Rows that share an id count as one document, or one item, with the shingles of all of them. Nothing is
+    chosen among pairs, so ties cannot arise. No rows on either side give no rows; other columns are not read.
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     grams = written(item_shingles(items.select("item_id", "text"), config), "item-shingles")
     probes = signatures(grams, config)
     small = grams.count() <= BROADCAST_ROWS
     keyed = F.broadcast(probes) if small else probes
-    hits = _shingles(docs, config.width, "doc_id").select("doc_id", "shingle").join(keyed, "shingle")
+    # at most ``width`` numbers; without items, any width will do
+    widths = sorted(r["width"] for r in grams.select("width").distinct().collect()) or [config.width]
+    hits = _windows(docs, widths).select("doc_id", "shingle").join(keyed, "shingle")
     candidates = written(hits.select("doc_id", "item_id").distinct(), "candidates")
 
     chosen = candidates.select("doc_id").distinct()
@@ -98,7 +114,7 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, config: ContainmentCon
     wanted = grams.select("item_id", "item_size", F.col("shingle").alias("s"), F.col("gram").alias("g"))
     meets = (F.col("shingle") == F.col("s")) & (F.col("gram") == F.col("g"))
     found = (
-        _shingles(texts, config.width, "doc_id")
+        _windows(texts, widths)
         .join(F.broadcast(wanted) if small else wanted, meets)
         .select("doc_id", "item_id", "item_size", "gram")
         .distinct()

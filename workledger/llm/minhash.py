@@ -164,8 +164,10 @@ def _compare(rows: pa.Table, config: MinHashConfig) -> list[tuple[int, int]]:
         return sets[i]
 
     found = []
+    merged = label.copy()  # a link found here joins two components, whose other pairs need no look
     for i in first.tolist():
         other = second[second > i] if same else second
+        other = other[merged[other] != merged[i]]
         near = (label[other] != label[i]) & (100 * np.minimum(n[other], n[i]) >= config.percent * np.maximum(n[other], n[i]))
         other = other[near]
         if len(other):
@@ -173,9 +175,12 @@ def _compare(rows: pa.Table, config: MinHashConfig) -> list[tuple[int, int]]:
         if len(other):
             other = other[(bands[other] == bands[i]).argmax(axis=1) == band[0]]
         for j in other.tolist():
+            if merged[i] == merged[j]:
+                continue
             both = _overlap(members(i), members(j))
             if 100 * both >= config.percent * (n[i] + n[j] - both):
                 found.append((int(rep[i]), int(rep[j])))
+                merged[merged == merged[j]] = merged[i]
     return found
 
 
@@ -242,8 +247,8 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
     """``(doc_id, text)`` -> ``doc_id, n_shingles, component_id, kept``, one row per input row.
 
     A null or empty text has no shingles and links with nothing; fewer words than ``width`` form one shingle.
-    Repeated rows give repeated result rows; rows that share a doc_id are one node. A row without doc_id is
-    linked with nothing: its component_id is null and it is kept. No rows give no rows. Other columns of
+    Repeated rows give repeated result rows; rows that share a doc_id are one node (but a row without shingles
+    stays by itself). A row without doc_id is linked with nothing: its component_id is null and it is kept. No rows give no rows. Other columns of
     ``docs`` are not read.
     """
     spark = docs.sparkSession
@@ -276,7 +281,17 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
     texts = bodies.where("doc_id is not null")
     fits = f"100 * least(n, lead_n) >= {config.percent} * greatest(n, lead_n)"
     first = buckets.where("rep <> lead").where(fits).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _verify(first, texts, config, "links-lead")
+    # rows that share a doc_id but not their shingles tie their classes together
+    shared = (
+        sketches.where("doc_id is not null and n > 0")
+        .groupBy("doc_id")
+        .agg(F.min(F.xxhash64("digest")).alias("one"), F.max(F.xxhash64("digest")).alias("two"))
+        .where("one < two")
+        .select("doc_id")
+    )
+    tied = skew_join(skew_join(sketches.select("doc_id", "digest"), shared, "doc_id"), classes.select("digest", "rep"), "digest")
+    tied = written(tied.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "links-tied")
+    links = _verify(first, texts, config, "links-lead").union(tied)
     roots = components(links)
 
     labelled = skew_join(

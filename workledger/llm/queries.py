@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from workledger.llm.common import read, shared_dir
+from workledger.llm.common import read, shared_dir, shared_root
 from workledger.llm.decontaminate import decontaminate
 from workledger.llm.html import main_text
 from workledger.llm.lines import line_report
@@ -18,6 +18,7 @@ from workledger.llm.mixing import MixConfig, mix
 from workledger.llm.quality import quality
 from workledger.llm.token_blocks import read_documents, write_token_blocks
 from workledger.llm.token_counts import token_counts
+from workledger.llm.tokens import tokenizer_digest
 from workledger.llm.toxicity import toxicity
 from workledger.llm.warc import archived
 
@@ -66,12 +67,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of every text under the word-end vocabulary."""
-    return token_counts(
-        read(spark, sf_dir, "documents", "doc_id", "text"),
-        public_tokenizers.path("word_bpe_49k.json"),
-        shared_dir(spark, "token-cache"),
-    )
+    """Token counts of every text under the word-end vocabulary, with one cache for all runs that share a folder."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    cache = f"{shared_root(spark)}/token-cache-{tokenizer_digest(path)[:16]}"
+    return token_counts(read(spark, sf_dir, "documents", "doc_id", "text"), path, cache)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,11 +102,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_blocks": op10_token_blocks,
 }
 
+# runs of letters and digits; an item's shingles are its 5-word windows, or all its words if they are fewer
 _GRAMS = r"""
-    SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS gram
-    FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM (
-        SELECT {id} AS id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w
-        FROM {table} WHERE {id} IS NOT NULL) WHERE len(w) >= 5)
+    SELECT DISTINCT id, array_to_string(w[i:i + k - 1], ' ') AS gram
+    FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (
+        SELECT id, w, unnest({widths}) AS k FROM (
+            SELECT {id} AS id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w
+            FROM {table} WHERE {id} IS NOT NULL) WHERE w <> ['']) WHERE len(w) >= k)
 """
 
 ORACLES: dict[str, str] = {
@@ -138,7 +139,7 @@ ORACLES: dict[str, str] = {
             UNION SELECT if(a.place < b.place, b.line, a.line) FROM f a JOIN f b
             ON a.n BETWEEN b.n - 1 AND b.n AND a.n < 40 AND (a.n < b.n OR a.place < b.place) AND a.line <> b.line
             AND (left(a.line, a.n // 2) = left(b.line, a.n // 2) OR right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2))
-            AND len(list_filter(range(0, b.n), p -> left(a.line, p) = left(b.line, p)
+            AND len(list_filter(range(0, b.n), lambda p: left(a.line, p) = left(b.line, p)
                 AND substr(a.line, p + 2 - (b.n - a.n)) = substr(b.line, p + 2))) > 0),
         l AS (SELECT doc_id, count(*) AS n FROM o GROUP BY doc_id),
         g AS (
@@ -151,8 +152,8 @@ ORACLES: dict[str, str] = {
         FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN l USING (doc_id) LEFT JOIN g USING (doc_id)
     """,
     "op9_decontamination": f"""
-        WITH d AS ({_GRAMS.format(id="doc_id", table="documents")}),
-        b AS ({_GRAMS.format(id="item_id", table="benchmark")}),
+        WITH d AS ({_GRAMS.format(id="doc_id", table="documents", widths="[1, 2, 3, 4, 5]")}),
+        b AS ({_GRAMS.format(id="item_id", table="benchmark", widths="[least(len(w), 5)]")}),
         sizes AS (SELECT id, count(*) AS size FROM b GROUP BY id),
         pairs AS (
             SELECT d.id AS doc_id, b.id AS item_id FROM d JOIN b USING (gram) JOIN sizes ON sizes.id = b.id

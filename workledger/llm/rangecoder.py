@@ -1,11 +1,16 @@
 """A context-mixing range coder for token ids that codes many independent blocks side by side.
 
-Every block is a lane. A lane's model predicts the next id from the last two ids (order 2), from the last one
-(order 1), and by the frequencies of id ranges (order 0). The three are mixed with weights that adapt to how
-often each prediction held, and one arithmetic-coding step narrows the lane's interval: to the order-2
-prediction's share, to the order-1 prediction's, or to the id's share of the order-0 distribution. All lanes
-take a step at once as numpy arrays, which is what makes an adaptive coder affordable in Python; blocks are
-reset independently, so lanes never wait for each other's contents.
+Every block is a lane. A lane predicts the next id by three distributions: all mass on what last followed the
+last two ids (order 2), all mass on what last followed the last one (order 1), and the frequencies of ids
+(order 0), which a table in front of the blocks gives. The three are mixed, id by id:
+
+    P(x) = w2 [x = guess 2] + w1 [x = guess 1] + w0 P0(x)
+
+The weights are learned in each lane for each state of the two guesses: how often each held before, and
+whether they agree. The mixture's cumulative distribution in id order has a closed form, so one
+arithmetic-coding step codes an id whichever parts of the mixture hold it. All lanes take a step at once as
+numpy arrays, which is what makes an adaptive coder affordable in Python; blocks are reset independently, so
+lanes never wait for each other's contents.
 
 The coder keeps 64-bit bounds without carries: when an interval straddles a 32-bit boundary and has become
 small, it is cut at the boundary. Ids below 2 ** 18 are supported.
@@ -20,166 +25,180 @@ import numpy as np
 
 U = np.uint64
 MASK = U(0xFFFFFFFF)
-#: Entries of each prediction table of a lane, as a power of two.
+#: Entries of each table of guesses of a lane, as a power of two.
 TABLE_BITS = 10
-#: Steps between two rebuilds of a lane's order-0 distribution.
-REBUILD = 128
-#: Order 0 counts ids by their leading bits, this many.
-RANGE_BITS = 6
-#: Order-0 shares are in units of 2 ** -SHARE_BITS.
-SHARE_BITS = 15
-HEADER = struct.Struct("<4sIIIII")
-MAGIC = b"TKB1"
+#: Weights are in units of 2 ** -WEIGHT_BITS, and learned in units of 2 ** -12.
+WEIGHT_BITS = 6
+#: What the learned shares move towards when a guess holds: leaves order 0 a weight of its own.
+MOST = 3900
+HEADER = struct.Struct("<4sIIII")
+MAGIC = b"TKB2"
+
+
+class IdTable:
+    """Ids that occur, ascending, and their shares of ``2 ** bits``: the order-0 distribution of blocks."""
+
+    def __init__(self, ids: np.ndarray, shares: np.ndarray):
+        if len(ids) and int(ids[-1]) >= 1 << 18:
+            raise ValueError("ids of 18 bits at most")
+        self.ids, self.shares = ids.astype(np.int64), shares.astype(np.int64)
+        self.bits = int(self.shares.sum()).bit_length() - 1
+        self.starts = np.concatenate([[0], np.cumsum(self.shares)])
+        self.slots = np.repeat(np.arange(len(ids)), self.shares)
+        self.ranks = np.zeros(int(ids[-1]) + 1 if len(ids) else 0, np.int64)
+        self.ranks[self.ids] = np.arange(len(ids))
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> IdTable:
+        """Table for some ids; every one of them has a share."""
+        counts = np.bincount(ids)
+        seen = np.flatnonzero(counts)
+        bits = 16 if len(seen) <= 1 << 14 else 20
+        shares = 1 + counts[seen] * ((1 << bits) - len(seen)) // max(1, int(counts.sum()))
+        if len(seen):
+            shares[np.argmax(shares)] += (1 << bits) - int(shares.sum())
+        return cls(seen, shares)
+
+    def to_bytes(self) -> bytes:
+        steps = np.diff(self.ids, prepend=0)
+        return zlib.compress(b"".join(a.astype("<u4").reshape(-1, 1).view(np.uint8).T.tobytes() for a in (steps, self.shares)), 9)
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> IdTable:
+        planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(2, 4, -1)
+        steps, shares = (np.ascontiguousarray(p.T).view("<u4").ravel().astype(np.int64) for p in planes)
+        return cls(np.cumsum(steps), shares)
+
+
+def _first_shares() -> tuple[np.ndarray, np.ndarray]:
+    """Weights of both guesses before anything is learned, by (held 2, held 1, agree)."""
+    two, one = np.zeros((4, 4, 2), np.int64), np.zeros((4, 4, 2), np.int64)
+    for held in range(4):
+        two[held, :, 0] = 400 + 600 * held
+        two[held, :, 1] = 1000 + 700 * held
+        one[:, held, 0] = 200 + 300 * held
+    return two.ravel(), one.ravel()
 
 
 class Lanes:
     """Models and coder state of a number of blocks."""
 
-    def __init__(self, lanes: int, top: int):
+    STATES = 32
+    EACH = {"base": 1, "state": 1, "last": 1, "before": 1, "low": 1, "range": 1, "share2": 32, "share1": 32, "table1": 1 << TABLE_BITS, "table2": 1 << TABLE_BITS}
+
+    def __init__(self, lanes: int, table: IdTable):
         self.n = lanes
-        self.low_bits = max(0, int(top).bit_length() - RANGE_BITS)
-        self.bins = (top >> self.low_bits) + 1
-        self.size = 1 << TABLE_BITS
-        self.base = np.arange(lanes, dtype=np.int64) * self.size
-        self.table1 = np.zeros(lanes * self.size, np.uint32)
-        self.table2 = np.zeros(lanes * self.size, np.uint32)
-        self.counts = np.zeros((lanes, self.bins), np.int32)
-        self.row = np.arange(lanes, dtype=np.int64) * (self.bins + 1)
-        # shares (of 4096) of the order-2 prediction, by whether order 1 agrees, and of the order-1 prediction
-        self.share2 = np.full(2 * lanes, 600, np.int64)
-        self.lane2 = np.arange(lanes, dtype=np.int64) * 2
-        self.share1 = np.full(lanes, 300, np.int64)
+        self.bits = table.bits
+        self.starts = table.starts
+        self.slots = table.slots
+        self.base = np.arange(lanes, dtype=np.int64) << TABLE_BITS
+        self.table1 = np.zeros(lanes << TABLE_BITS, np.int32)
+        self.table2 = np.zeros(lanes << TABLE_BITS, np.int32)
+        two, one = _first_shares()
+        self.share2 = np.tile(two, lanes)
+        self.share1 = np.tile(one, lanes)
+        self.state = np.arange(lanes, dtype=np.int64) * self.STATES
         self.last = np.zeros(lanes, np.int64)
         self.before = np.zeros(lanes, np.int64)
         self.low = np.zeros(lanes, U)
         self.range = np.full(lanes, U(0xFFFFFFFFFFFFFFFF))
-        self._rebuild()
-
-    def _rebuild(self) -> None:
-        room = (1 << SHARE_BITS) - self.bins
-        seen = self.counts
-        total = np.maximum(seen.sum(axis=1, keepdims=True), 1)
-        shares = 1 + seen.astype(np.int64) * room // (total + 32)
-        rest = (1 << SHARE_BITS) - shares.sum(axis=1)
-        shares += (rest // self.bins)[:, None]
-        shares[:, 0] += (1 << SHARE_BITS) - shares.sum(axis=1)
-        self.starts = np.zeros((self.n, self.bins + 1), np.int64)
-        np.cumsum(shares, axis=1, out=self.starts[:, 1:])
-        self.flat = self.starts.ravel()
 
     def predict(self) -> None:
-        """Predictions and the widths of their intervals at this step."""
+        """Guesses and weights at this step."""
         h = self.last * 0x9E3779B1 & 0xFFFFFFFF
         self.at1 = self.base + (h >> (32 - TABLE_BITS))
-        h = (self.last * 0x85EBCA6B + self.before * 0xC2B2AE35) & 0xFFFFFFFF
-        self.at2 = self.base + ((h ^ h >> 15) * 0x2C1B3C6D >> 16 & (self.size - 1))
-        self.p1 = self.table1.take(self.at1)
-        self.p2 = self.table2.take(self.at2)
-        self.agree = self.p1 == self.p2
-        self.context = self.lane2 + self.agree
-        self.s2 = self.share2.take(self.context)
-        self.s1 = np.where(self.agree, 0, self.share1 * (4096 - self.s2) >> 12)
-        unit = self.range >> U(12)
-        self.width2 = unit * self.s2.astype(U)
-        self.width1 = unit * self.s1.astype(U)
-
-    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """Adapt predictions and shares to the ids of this step.
-
-        Shares move towards 40 or a bound that leaves order 0 at least a 32nd of the interval: with 32 bits at
-        least in the interval, and 27 at most in an order-0 slot's number, no id's share is ever empty.
-        """
-        self.share2[self.context] = self.s2 + (hit2 * 3544 + 40 - self.s2 >> 4)
-        self.share1 += (hit1 * 3032 + 40 - self.share1 >> 4) * ~(hit2 | self.agree)
-        small = ids.astype(np.uint32)
-        self.table1[self.at1] = small
-        self.table2[self.at2] = small
-        self.before, self.last = self.last, ids
+        h = self.last * 0x85EBCA6B + self.before * 0xC2B2AE35 & 0xFFFFFFFF
+        self.at2 = self.base + ((h ^ h >> 15) * 0x2C1B3C6D >> 16 & (1 << TABLE_BITS) - 1)
+        self.entry1 = self.table1.take(self.at1)
+        self.entry2 = self.table2.take(self.at2)
+        self.guess1 = self.entry1 >> 2
+        self.guess2 = self.entry2 >> 2
+        self.at = self.state + ((self.entry2 & 3) * 8 + (self.entry1 & 3) * 2 + (self.guess1 == self.guess2))
+        self.s2 = self.share2.take(self.at)
+        self.s1 = self.share1.take(self.at)
+        self.w2 = self.s2 >> 12 - WEIGHT_BITS
+        self.w1 = self.s1 >> 12 - WEIGHT_BITS
+        self.w0 = (1 << WEIGHT_BITS) - self.w2 - self.w1
+        self.unit = self.range >> U(WEIGHT_BITS + self.bits)
 
-    def count(self, ids: np.ndarray) -> None:
-        """Add the ids of some steps (rows) to order 0 and distribute anew."""
-        at = (ids.astype(np.int64) >> self.low_bits) + np.arange(self.n) * self.bins
-        self.counts += np.bincount(at.ravel(), minlength=self.n * self.bins).reshape(self.n, self.bins).astype(np.int32)
-        self._rebuild()
+    def find(self, code: np.ndarray) -> np.ndarray:
+        """Ids (ranks) whose intervals hold ``code``."""
+        t = np.minimum((code - self.low) // self.unit, U((1 << WEIGHT_BITS + self.bits) - 1)).astype(np.int64)
+        swap = self.guess1 < self.guess2
+        a, b = np.minimum(self.guess1, self.guess2), np.maximum(self.guess1, self.guess2)
+        mass_a = np.where(swap, self.w1, self.w2) << self.bits
+        mass_b = np.where(swap, self.w2, self.w1) << self.bits
+        start_a = self.w0 * self.starts.take(a)
+        end_a = self.w0 * self.starts.take(a + 1) + mass_a
+        start_b = self.w0 * self.starts.take(b) + mass_a
+        end_b = self.w0 * self.starts.take(b + 1) + mass_a + mass_b
+        plain = t - mass_a * (t >= end_a) - mass_b * (t >= end_b)
+        # ends hold; a guess's own interval is wider than its order-0 share, and is told first
+        slot = np.clip(np.floor_divide(plain.astype(np.float64), self.w0), 0, (1 << self.bits) - 1).astype(np.int64)
+        found = self.slots.take(slot)
+        found = np.where((t >= start_b) & (t < end_b), b, found)
+        return np.where((t >= start_a) & (t < end_a), a, found)
 
-    def keep(self, lanes: int) -> None:
-        """Drop all lanes but the first ones."""
-        self.n = lanes
-        for name, each in (("base", 1), ("row", 1), ("lane2", 1), ("share1", 1), ("last", 1), ("before", 1), ("low", 1), ("range", 1), ("share2", 2), ("table1", self.size), ("table2", self.size), ("flat", self.bins + 1)):
-            setattr(self, name, getattr(self, name)[: lanes * each])
-        self.counts = self.counts[:lanes]
-
-    def settle(self) -> np.ndarray:
-        """Lanes whose interval is too small now; cuts straddling ones. The caller moves 32 bits."""
-        small = self.range <= MASK
-        if small.any():
-            at = np.flatnonzero(small)
+    def code(self, ids: np.ndarray, start: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """Narrow the intervals to ``ids`` (ranks) and learn from them; the lanes whose interval is too small now."""
+        hit2, hit1 = self.guess2 == ids, self.guess1 == ids
+        below = self.w2 * (self.guess2 < ids) + self.w1 * (self.guess1 < ids)
+        held = self.w2 * hit2 + self.w1 * hit1
+        self.low += self.unit * (self.w0 * start + (below << self.bits)).astype(U)
+        self.range = self.unit * (self.w0 * share + (held << self.bits)).astype(U)
+        self.share2[self.at] = self.s2 + (hit2 * MOST - self.s2 >> 4)
+        self.share1[self.at] = self.s1 + ((hit1 & ~hit2) * MOST - self.s1 >> 4)
+        fresh = (ids << 2).astype(np.int32)
+        self.table1[self.at1] = np.where(hit1, np.minimum(self.entry1 + 1, fresh + 3), fresh)
+        self.table2[self.at2] = np.where(hit2, np.minimum(self.entry2 + 1, fresh + 3), fresh)
+        self.before, self.last = self.last, ids
+        at = np.flatnonzero(self.range <= MASK)
+        if len(at):
             low, width = self.low[at], self.range[at]
             straddles = (low ^ (low + (width - U(1)))) > MASK
             self.range[at] = np.where(straddles, (MASK - (low & MASK)) + U(1), width)
-            return at
-        return np.empty(0, np.int64)
+        return at
 
     def shift(self, at: np.ndarray) -> None:
         self.low[at] <<= U(32)
         self.range[at] <<= U(32)
 
+    def keep(self, lanes: int) -> None:
+        """Drop all lanes but the first ones."""
+        self.n = lanes
+        for name, each in self.EACH.items():
+            setattr(self, name, getattr(self, name)[: lanes * each])
+
 
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """One self-contained block of bytes per array of ids (none empty)."""
+def _by_length(lengths: list[int]) -> tuple[list[int], np.ndarray, list[int]]:
+    """Blocks from long to short, their lengths, and how many are longer than each step."""
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    sizes = np.array([lengths[i] for i in order])
+    return order, sizes, np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left").tolist()
+
+
+def encode_blocks(blocks: list[np.ndarray], table: IdTable) -> list[bytes]:
+    """One block of bytes per array of ids (none empty), to be decoded with the same table."""
     if not blocks:
         return []
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    lengths = np.array([len(blocks[i]) for i in order])
-    steps = int(lengths[0])
-    top = max(int(b.max()) for b in blocks)
-    if top >= 1 << 18:
-        raise ValueError("ids of 18 bits at most")
-    grid = np.zeros((steps, len(blocks)), np.int64)
+    order, lengths, alive = _by_length([len(b) for b in blocks])
+    grid = np.zeros((len(alive), len(blocks)), np.int64)
     for lane, i in enumerate(order):
-        grid[: lengths[lane], lane] = blocks[i]
-    model = Lanes(len(blocks), top)
-    words = np.zeros((len(blocks), steps + 3), np.uint32)
+        grid[: lengths[lane], lane] = table.ranks[blocks[i]]
+    model = Lanes(len(blocks), table)
+    words = np.zeros((len(blocks), len(alive) + 3), np.uint32)
     used = np.zeros(len(blocks), np.int64)
-    shift = U(SHARE_BITS + model.low_bits)
-    low_mask = (1 << model.low_bits) - 1
-
     lows = np.zeros(len(blocks), U)
-
-    def emit(at: np.ndarray) -> None:
-        words[at, used[at]] = (model.low[at] >> U(32)).astype(np.uint32)
-        used[at] += 1
-
-    ends = np.searchsorted(-lengths, -np.arange(steps), side="left")  # lanes with a longer block than the step
-    for step in range(steps):
-        alive = int(ends[step])
-        if alive < 0.8 * model.n:
-            lows[alive : model.n] = model.low[alive:]
-            model.keep(alive)
-        ids = grid[step, : model.n]
-        if step and step % REBUILD == 0:
-            model.count(grid[step - REBUILD : step, : model.n])
+    for step, n in enumerate(alive):
+        if n < model.n:
+            lows[n : model.n] = model.low[n:]
+            model.keep(n)
+        ids = grid[step, :n]
         model.predict()
-        hit2 = model.p2 == ids
-        hit1 = (model.p1 == ids) & ~hit2
-        part = ids >> model.low_bits
-        start = model.flat.take(model.row + part)
-        share = model.flat.take(model.row + part + 1) - start
-        slot = (start << model.low_bits) + (ids & low_mask) * share
-        both = model.width2 + model.width1
-        unit = (model.range - both) >> shift
-        rest = ~(hit2 | hit1)
-        low = np.where(rest, both + unit * slot.astype(U), np.where(hit1, model.width2, U(0)))
-        width = np.where(rest, unit * share.astype(U), np.where(hit1, model.width1, model.width2))
-        if alive < model.n:  # lanes that have ended keep their state
-            low[alive:] = U(0)
-            width[alive:] = model.range[alive:]
-        model.low += low
-        model.range = width
-        model.learn(ids, hit2, hit1)
-        at = model.settle()
+        at = model.code(ids, table.starts.take(ids), table.shares.take(ids))
         if len(at):
-            emit(at)
+            words[at, used[at]] = (model.low[at] >> U(32)).astype(np.uint32)
+            used[at] += 1
             model.shift(at)
     lows[: model.n] = model.low
     every = np.arange(len(blocks))
@@ -190,7 +209,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     for lane, i in enumerate(order):
         body = words[lane, : used[lane]].astype("<u4").tobytes()
         ids = np.asarray(blocks[i], "<u4").tobytes()
-        out[i] = HEADER.pack(MAGIC, len(blocks[i]), len(body), top, zlib.crc32(ids), zlib.crc32(body)) + body
+        out[i] = HEADER.pack(MAGIC, len(blocks[i]), len(body), zlib.crc32(ids), zlib.crc32(body)) + body
     return out
 
 
@@ -200,7 +219,7 @@ def split_blocks(data: bytes) -> list[bytes]:
     while at < len(data):
         if len(data) - at < HEADER.size:
             raise ValueError("a block's header is cut short")
-        magic, _, size, _, _, _ = HEADER.unpack_from(data, at)
+        magic, _, size, _, _ = HEADER.unpack_from(data, at)
         if magic != MAGIC:
             raise ValueError("not a token block")
         end = at + HEADER.size + size
@@ -211,82 +230,32 @@ def split_blocks(data: bytes) -> list[bytes]:
     return out
 
 
-def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
-    """Ids of each block; checksums are verified. Blocks with different largest ids are decoded apart."""
-    out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(blocks)
-    tops: dict[int, list[int]] = {}
-    for i, block in enumerate(blocks):
-        magic, _, size, top, _, check = HEADER.unpack_from(block)
-        if magic != MAGIC or zlib.crc32(block[HEADER.size :]) != check or len(block) != HEADER.size + size:
-            raise ValueError("a token block is damaged")
-        tops.setdefault(top, []).append(i)
-    for top, some in tops.items():
-        for i, ids in zip(some, _decode_alike([blocks[i] for i in some], top), strict=True):
-            if zlib.crc32(ids.astype("<u4").tobytes()) != HEADER.unpack_from(blocks[i])[4]:
-                raise ValueError("decoded ids differ from those encoded")
-            out[i] = ids
-    return out
-
-
-def _decode_alike(blocks: list[bytes], top: int) -> list[np.ndarray]:
+def decode_blocks(blocks: list[bytes], table: IdTable) -> list[np.ndarray]:
+    """Ids of each block; checksums are verified."""
+    if not blocks:
+        return []
     heads = [HEADER.unpack_from(b) for b in blocks]
-    order = sorted(range(len(blocks)), key=lambda i: -heads[i][1])
-    lengths = np.array([heads[i][1] for i in order])
-    steps = int(lengths[0])
-    model = Lanes(len(blocks), top)
-    n_words = np.array([heads[i][2] // 4 for i in order])
-    words = np.zeros((len(blocks), int(n_words.max()) + 2), np.uint64)
+    for block, (magic, _, size, _, check) in zip(blocks, heads, strict=True):
+        if magic != MAGIC or len(block) != HEADER.size + size or zlib.crc32(block[HEADER.size :]) != check:
+            raise ValueError("a token block is damaged")
+    order, lengths, alive = _by_length([h[1] for h in heads])
+    n_words = [heads[i][2] // 4 for i in order]
+    words = np.zeros((len(blocks), max(n_words) + 2), np.uint64)
     for lane, i in enumerate(order):
         words[lane, : n_words[lane]] = np.frombuffer(blocks[i], "<u4", offset=HEADER.size)
+    model = Lanes(len(blocks), table)
     used = np.full(len(blocks), 2, np.int64)
     code = words[:, 0] << U(32) | words[:, 1]
-    grid = np.zeros((steps, len(blocks)), np.uint32)
-    shift = U(SHARE_BITS + model.low_bits)
-    last_slot = U((1 << (SHARE_BITS + model.low_bits)) - 1)
-    ends = np.searchsorted(-lengths, -np.arange(steps), side="left")
-    halves = 1 << (model.bins - 1).bit_length() >> 1
     last_word = words.shape[1] - 1
-    for step in range(steps):
-        alive = int(ends[step])
-        if alive < 0.8 * model.n:
-            model.keep(alive)
-            code = code[:alive]
-        if step and step % REBUILD == 0:
-            model.count(grid[step - REBUILD : step, : model.n])
+    grid = np.zeros((len(alive), len(blocks)), np.uint32)
+    for step, n in enumerate(alive):
+        if n < model.n:
+            model.keep(n)
+            code = code[:n]
         model.predict()
-        off = code - model.low
-        hit2 = off < model.width2
-        both = model.width2 + model.width1
-        hit1 = (off < both) & ~hit2
-        rest = ~(hit2 | hit1)
-        unit = (model.range - both) >> shift
-        slot = np.minimum(np.where(rest, off - both, U(0)) // np.maximum(unit, U(1)), last_slot).astype(np.int64)
-        fine = slot >> model.low_bits
-        part = np.zeros(model.n, np.int64)
-        jump = halves
-        while jump:
-            ahead = np.minimum(part + jump, model.bins - 1)
-            part = np.where(model.flat.take(model.row + ahead) <= fine, ahead, part)
-            jump >>= 1
-        start = model.flat.take(model.row + part)
-        share = model.flat.take(model.row + part + 1) - start
-        low_part = (slot - (start << model.low_bits)) // share
-        literal = (part << model.low_bits) + low_part
-        ids = np.where(hit2, model.p2, np.where(hit1, model.p1, literal)).astype(np.int64)
-        exact = (start << model.low_bits) + low_part * share
-        low = np.where(rest, both + unit * exact.astype(U), np.where(hit1, model.width2, U(0)))
-        width = np.where(rest, unit * share.astype(U), np.where(hit1, model.width1, model.width2))
-        if alive < model.n:
-            ids[alive:] = 0
-            low[alive:] = U(0)
-            width[alive:] = model.range[alive:]
-            hit2[alive:] = model.p2[alive:] == 0
-            hit1[alive:] = (model.p1[alive:] == 0) & ~hit2[alive:]
-        grid[step, : model.n] = ids
-        model.low += low
-        model.range = width
-        model.learn(ids, hit2, hit1)
-        at = model.settle()
+        ids = model.find(code)
+        grid[step, :n] = table.ids.take(ids)
+        at = model.code(ids, table.starts.take(ids), table.shares.take(ids))
         if len(at):
             model.shift(at)
             code[at] = code[at] << U(32) | words[at, np.minimum(used[at], last_word)]
@@ -294,4 +263,6 @@ def _decode_alike(blocks: list[bytes], top: int) -> list[np.ndarray]:
     out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(blocks)
     for lane, i in enumerate(order):
         out[i] = grid[: lengths[lane], lane].copy()
+        if zlib.crc32(out[i].astype("<u4").tobytes()) != heads[i][3]:
+            raise ValueError("decoded ids differ from those encoded")
     return out

@@ -7,6 +7,7 @@ shard       number of the range of doc_ids; shards ascend
 segment     number of the segment in its shard
 doc_ids     the documents of the segment, ascending
 n_ids       how many ids each document has, its end id included
+table       ids that occur and their shares, which the coder's order 0 starts from (``IdTable``)
 data        blocks of up to ``block_ids`` ids, joined; each is reset, coded and checksummed
             by itself (see ``rangecoder``), so any block decodes alone
 ==========  ===============================================================================
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from workledger.llm.common import python_batches, text_bytes, written
-from workledger.llm.rangecoder import decode_blocks, encode_blocks, split_blocks
+from workledger.llm.rangecoder import IdTable, decode_blocks, encode_blocks, split_blocks
 from workledger.llm.tokens import piece_ids
 
 
@@ -37,11 +38,11 @@ class BlockConfig:
 
     end_id: int = 2
     block_ids: int = 2_048
-    segment_ids: int = 65_536
+    segment_ids: int = 524_288
     lanes: int = 3_072
 
 
-SCHEMA = "segment long, doc_ids array<long>, n_ids array<long>, data binary"
+SCHEMA = "segment long, doc_ids array<long>, n_ids array<long>, table binary, data binary"
 
 
 def _encode(path: str, config: BlockConfig):
@@ -67,6 +68,8 @@ def _encode(path: str, config: BlockConfig):
 
         def flush() -> pa.RecordBatch:
             nonlocal number, blocks
+            # segments coded together share one table; each row has it, so that it decodes alone
+            table = IdTable.of(np.frombuffer(b"".join(data for _, _, data in pending), "<u4"))
             cut: list[np.ndarray] = []
             counts = []
             for _, _, data in pending:
@@ -76,16 +79,17 @@ def _encode(path: str, config: BlockConfig):
                 cut += parts
             coded: list[bytes] = []
             for i in range(0, len(cut), config.lanes):
-                coded += encode_blocks(cut[i : i + config.lanes])
+                coded += encode_blocks(cut[i : i + config.lanes], table)
             at = np.concatenate([[0], np.cumsum(counts)]).tolist()
             batch = pa.RecordBatch.from_arrays(
                 [
                     pa.array(range(number, number + len(pending)), pa.int64()),
                     pa.array([d for d, _, _ in pending], pa.list_(pa.int64())),
                     pa.array([n for _, n, _ in pending], pa.list_(pa.int64())),
+                    pa.array([table.to_bytes()] * len(pending), pa.binary()),
                     pa.array([b"".join(coded[a:b]) for a, b in zip(at, at[1:])], pa.binary()),
                 ],
-                names=["segment", "doc_ids", "n_ids", "data"],
+                names=["segment", "doc_ids", "n_ids", "table", "data"],
             )
             number += len(pending)
             pending.clear()
@@ -116,11 +120,11 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, config:
     """``(doc_id, text)`` -> token files under ``path``.
 
     A null or empty text is its end id alone. Rows without doc_id come first; rows that repeat a doc_id stand
-    together in no given order. No rows give files without segments.
+    together in the order of their texts. No rows give files without segments. Other columns are not read.
     """
     python_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
-    sorted_ = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    sorted_ = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "body")
     coded = sorted_.mapInArrow(_encode(tokenizer_path, config), SCHEMA)
     coded.withColumn("shard", F.spark_partition_id().cast("long")).write.parquet(path)
 
@@ -129,13 +133,14 @@ def token_segments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA + ", shard long").parquet(path)
 
 
-def decode_segment_ids(data: list[bytes], config: BlockConfig) -> list[np.ndarray]:
-    """Ids of several segments, their blocks decoded side by side."""
+def decode_segment_ids(data: list[bytes], table: bytes, config: BlockConfig) -> list[np.ndarray]:
+    """Ids of several segments with one table, their blocks decoded side by side."""
     parts = [split_blocks(d) for d in data]
     flat = [b for p in parts for b in p]
+    order0 = IdTable.from_bytes(table)
     ids: list[np.ndarray] = []
     for i in range(0, len(flat), config.lanes):
-        ids += decode_blocks(flat[i : i + config.lanes])
+        ids += decode_blocks(flat[i : i + config.lanes], order0)
     out, at = [], 0
     for p in parts:
         out.append(np.concatenate(ids[at : at + len(p)]) if p else np.empty(0, np.uint32))
@@ -149,7 +154,7 @@ def _check(config: BlockConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(held: list[dict]) -> pa.RecordBatch:
             columns: list[list] = [[], [], [], [], [], []]
-            for row, ids in zip(held, decode_segment_ids([r["data"] for r in held], config), strict=True):
+            for row, ids in zip(held, decode_segment_ids([r["data"] for r in held], held[0]["table"], config), strict=True):
                 ends = np.cumsum(row["n_ids"])
                 if len(ids) != ends[-1]:
                     raise ValueError(f"segment {row['shard']}/{row['segment']} has {len(ids)} ids, not {ends[-1]}")
@@ -165,10 +170,10 @@ def _check(config: BlockConfig):
         held: list[dict] = []
         for batch in batches:
             for row in batch.to_pylist():
-                held.append(row)
-                if len(held) >= per_call:
+                if held and (len(held) >= per_call or row["table"] != held[0]["table"]):
                     yield rows(held)
                     held = []
+                held.append(row)
         if held:
             yield rows(held)
 
@@ -181,7 +186,7 @@ def read_documents(spark: SparkSession, path: str, config: BlockConfig = BlockCo
     Only totals of segments are summed across a shard and totals of shards across the table.
     """
     segments = token_segments(spark, path)
-    decoded = segments.select("shard", "segment", "doc_ids", "n_ids", "data").mapInArrow(
+    decoded = segments.select("shard", "segment", "doc_ids", "n_ids", "table", "data").mapInArrow(
         _check(config), "shard long, segment long, at long, doc_id long, inner long, ids_crc32 long"
     )
     totals = written(

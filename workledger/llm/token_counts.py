@@ -71,7 +71,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
         source.withColumn("chosen_id", F.coalesce("doc_id", F.lit(0)))
         .join(chosen.hint("shuffle_hash"), "chosen_id")
         .where(F.col("digest") == content_digest(True))
-        .select("digest", text_bytes().alias("body"))
+        .select("chosen_id", "digest", text_bytes().alias("body"))
+        .dropDuplicates(["chosen_id", "digest"])  # repeated rows; lies as the join left it
+        .select("digest", "body")
     )
     counted = misses.mapInArrow(_encode(tokenizer_path), "digest binary, n_tokens long")
     counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
