@@ -6,6 +6,7 @@ import json
 
 
 from workledger.operators.accounting import costs_of, select_costs
+from workledger.operators.report import freshness  # noqa: E402
 from workledger.operators.quality import check_events
 from workledger.operators.report import by_adapter, coverage_gaps
 from workledger.sources import base, receipts, registries, tables, transcripts
@@ -65,11 +66,14 @@ def test_codex_rollout_and_fork(spark, tmp_path):
 
 def test_runner_ledger_under_receipts(spark, tmp_path):
     ledger = lines(
-        tmp_path / "l" / "ledger.jsonl", {"event": "submitted", "job_id": "j1", "ts": "2026-07-17T10:00:00Z", "backend": "codex", "cwd": "/w/r", "tags": {"correlation_id": "k", "session_id": "s"}},
+        tmp_path / "l" / "ledger.jsonl", {"event": "submitted", "job_id": "j1", "ts": "2026-07-17T10:00:00Z", "backend": "codex", "cwd": "/w/r", "tags": {"correlation_id": "k", "session_id": "s", "repair_of": "j0"}},
         {"event": "attempt_finished", "job_id": "j1", "attempt_idx": 0, "ts": "2026-07-17T10:01:00Z", "outcome": "errored"}, {"event": "attempt_finished", "job_id": "j1", "attempt_idx": 1, "ts": "2026-07-17T10:02:00Z", "outcome": "succeeded"},
         {"event": "status_changed", "job_id": "j1", "to": "succeeded", "ts": "2026-07-17T10:03:00Z"},
     )
-    assert kinds(registries.runner(spark, ledger)) == {"session": 1, "outcome": 3}
+    plain = registries.runner(spark, ledger)
+    assert kinds(plain) == {"session": 1, "outcome": 3}
+    links = {(r.left_ns, r.left_val, r.right_ns, r.right_val, r.method) for r in plain.crosswalks.collect()}
+    assert links == {("correlation", v, "fab.job", "j1", "explicit") for v in ("j1", "k", "s")} | {("fab.job", "j0", "fab.job", "j1", "explicit")}
     (tmp_path / "r").mkdir()
     (tmp_path / "r" / "x.json").write_text(json.dumps({
         "receipt_id": "x", "kind": "attempt_finished", "job_id": "j1", "attempt_id": "j1:attempt:0", "attempt_idx": 0, "occurred_at": "2026-07-17T10:01:00Z", "correlation_id": "k", "outcome": {"status": "failed"},
@@ -77,7 +81,7 @@ def test_runner_ledger_under_receipts(spark, tmp_path):
     }))
     got = registries.runner(spark, ledger, receipts=f"file://{tmp_path}/r")
     assert kinds(got) == {"session": 1, "outcome": 3, "cost": 1}
-    assert {(r.left_ns, r.right_ns) for r in got.crosswalks.collect()} == {("correlation", "fab.job"), ("codex.session", "fab.job")}
+    assert {(r.left_ns, r.right_ns) for r in got.crosswalks.collect()} == {("correlation", "fab.job"), ("fab.job", "fab.job")}
     assert [r.predicate for r in got.relations.collect()] == ["produced"]
     assert select_costs(costs_of(got.events)).count() == 0
 
@@ -92,7 +96,25 @@ def test_inbox_entries_and_gates(spark, tmp_path):
     assert kinds(got) == {"outcome": 3, "gate-evidence": 3}
     gates = {r.gate.evidence_kind: r.gate for r in got.events.where("kind = 'gate-evidence'").collect()}
     assert gates["mint"].coordinate == "target=A" and gates["mint"].mint_id == "e1" and gates["consult"].consultation == "not_consulted" and gates["disposition"].status == "resolved"
-    assert {(r.subject_ns, r.predicate, r.object_ns) for r in got.relations.collect()} == {("george.entry", "verifies", "fab.job"), ("george.entry", "verifies", "git.commit"), ("fab.job", "produced", "git.commit"), ("workledger.finding-revision", "refutes", "george.entry")}
+    assert {(r.subject_ns, r.predicate, r.object_ns) for r in got.relations.collect()} == {("george.entry", "verifies", "fab.job"), ("george.entry", "verifies", "git.commit"), ("fab.job", "produced", "git.commit"), ("workledger.finding-revision", "refutes", "george.entry"), ("george.gate-mint", "part_of", "george.gate"), ("george.gate-event", "acts_on", "george.gate")}
+    assert {r.native_id for r in got.events.where("kind = 'gate-evidence' and parent_event_id is not null").collect()} == {"e1", "e2", "e4"}
+    views = {(r.right_ns, r.right_val, len(r.evidence_event_ids)) for r in got.crosswalks.where("right_ns like 'george.gate-%'").collect()}
+    assert views == {("george.gate-mint", "e1", 2), ("george.gate-event", "e2", 2), ("george.gate-event", "e4", 2)}
+
+
+def test_gate_coordinates(spark, tmp_path):
+    base_ = {"kind": "blocker", "ts": "2026-07-17T10:00:00Z", "tags": ["needs:human"]}
+    place = {"repo": "https://github.com/Own/Name.git", "branch": "main", "rule": "Two_Eyes  rule", "target": "T1"}
+    path = lines(
+        tmp_path / "c" / "inbox.jsonl", base_ | {"id": "1", "context": {"triage_coordinate": " a b "}}, base_ | {"id": "2", "context": {"work_coordinate": place}},
+        base_ | {"id": "3", "context": {"triage_coordinate": place | {"target": ""}, "decision": {"coordinate": "d"}}}, base_ | {"id": "4", "edges": [{"type": "blocks", "target": "x"}, {"type": "other", "target": "y"}]},
+        base_ | {"id": "5", "refs": ["x", "y"]}, base_ | {"id": "6"},
+    )
+    got = {r.native_id: (r.gate.coordinate, json.loads(r.attributes)["coordinate_method"]) for r in registries.inbox(spark, path).events.where("kind = 'gate-evidence'").collect()}
+    assert got == {
+        "1": ("context=a b", "explicit-context"), "2": ("repository=own/name|ref=main|policy=two-eyes-rule|target=t1", "explicit-structured"), "3": ("context=d", "decision-context"),
+        "4": ("target=x", "exact-target"), "5": (None, "ambiguous-target"), "6": (None, "unavailable"),
+    }
 
 
 def test_commit_log(spark, tmp_path):
@@ -178,6 +200,12 @@ def test_failing_source_stops_no_other(spark, tmp_path):
     (tmp_path / "log").write_text("\0".join(["abc", "2026-07-17T10:00:00Z", "", "N", "e", "", "s", "b"]) + "\x1e")
     got, runs = base.ingest_all(spark, {"git": f"file://{tmp_path}/log", "hermes": f"file://{tmp_path}/none"}, since="2026-01-01")
     assert {r.adapter: r.status for r in runs.collect()} == {"git": "ok", "hermes": "error"} and got.events.count() == 1
+    assert {r.adapter: r.state for r in freshness(runs).collect()} == {"git": "current", "hermes": "unknown"}
+    # a source that plans well and fails as it runs
+    spark.createDataFrame([("s", "not a time")], "id string, started_at string").write.parquet(f"{tmp_path}/h/sessions.parquet")
+    got, runs = base.ingest_all(spark, {"hermes": f"file://{tmp_path}/h", "git": f"file://{tmp_path}/log"})
+    assert {r.adapter: (r.status, r.n_events) for r in runs.collect()} == {"git": ("ok", 1), "hermes": ("error", 0)} and got.events.count() == 1
+    assert [r.sequence for r in got.crosswalks.collect()] == [0]
 
 
 def test_stream_appends_once(spark, tmp_path):

@@ -126,20 +126,21 @@ def event_families(events: DataFrame) -> DataFrame:
     return skew_join(ids.distinct(), components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def lineage(costs: DataFrame, events: DataFrame, max_depth: int = 32) -> DataFrame:
-    """``(event_id, parent_event_id, session_id)`` costs -> ``cost_id, event_id`` of every stored ancestor."""
+def lineage(costs: DataFrame, events: DataFrame) -> DataFrame:
+    """``(event_id, parent_event_id, session_id)`` costs -> ``cost_id, event_id`` of every stored ancestor.
+
+    As deep as chains go; a cycle ends where it meets what was seen.
+    """
     ups = events.select("event_id", F.explode(F.array_compact(F.array("parent_event_id", "session_id"))).alias("up"))
     known = events.select("event_id")
     start = costs.select(
         F.col("event_id").alias("cost_id"), F.explode(F.array_compact(F.array("parent_event_id", "session_id"))).alias("event_id")
     ).where("cost_id <> event_id")
     seen = frontier = written(start.distinct().join(known, "event_id", "left_semi").select("cost_id", "event_id"), "lineage")
-    for _ in range(max_depth):
+    while not frontier.isEmpty():
         moved = frontier.join(ups, "event_id").select("cost_id", F.col("up").alias("event_id")).where("cost_id <> event_id").distinct()
         fresh = moved.join(known, "event_id", "left_semi").join(seen, ["cost_id", "event_id"], "left_anti")
         frontier = written(fresh.select("cost_id", "event_id"), "lineage")
-        if frontier.isEmpty():
-            break
         seen = seen.unionByName(frontier)
     return seen
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from workledger.operators.accounting import costs_of, select_costs
@@ -51,8 +51,8 @@ def coverage_gaps(events: DataFrame) -> DataFrame:
 
 def latest_runs(runs: DataFrame) -> DataFrame:
     """Each adapter's last run by sequence: its coverage."""
-    last = Window.partitionBy("adapter").orderBy(F.desc("sequence"))
-    return runs.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
+    best = runs.groupBy(F.col("adapter").alias("latest_key")).agg(F.max_by(F.struct("*"), F.struct("sequence")).alias("latest_row"))
+    return best.select("latest_row.*")
 
 
 def freshness(runs: DataFrame) -> DataFrame:

@@ -49,9 +49,13 @@ def native_conflicts(stored: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def latest(records: DataFrame, key: str, order: str = "sequence") -> DataFrame:
-    """The last revision of each id."""
-    last = Window.partitionBy(key).orderBy(F.desc(order))
-    return records.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
+    """The last revision of each id; of equal numbers, the one with the larger record_id where there is one.
+
+    The winner combines before the shuffle, so an id with a long history is no large group.
+    """
+    ties = [c for c in ("record_id", "revision_id") if c in records.columns and c != order]
+    best = records.groupBy(F.col(key).alias("latest_key")).agg(F.max_by(F.struct("*"), F.struct(order, *ties)).alias("latest_row"))
+    return best.select("latest_row.*")
 
 
 def current(records: DataFrame, key: str, order: str = "sequence") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from workledger.functions.ids import col, event_id, iso_text, relation_id, stable_id
@@ -42,7 +42,7 @@ class Ingested:
         outside = []
 
         def cut(df: DataFrame, at: str, name: str) -> DataFrame:
-            inside = F.lit(True)
+            inside = F.lit(True) if since is None and until is None else F.col(at).isNotNull()
             if since is not None:
                 inside = inside & (F.col(at) >= F.lit(since).cast("timestamp"))
             if until is not None:
@@ -97,13 +97,13 @@ def make_events(
     return out.withColumn("coverage", coverage_of(payload, coverage)).select(*EVENTS.names)
 
 
-def make_crosswalks(rows: DataFrame, left_ns: str | Column, left: Column, right_ns: str | Column, right: Column, at: Column, evidence: Column, method: str = "exact") -> DataFrame:
+def make_crosswalks(rows: DataFrame, left_ns: str | Column, left: Column, right_ns: str | Column, right: Column, at: Column, evidence: Column | list[Column], method: str = "exact") -> DataFrame:
     """Asserted identity links; rows with an empty end, or that link a thing to itself, give none."""
     ns = lambda x: F.lit(x) if isinstance(x, str) else x
     ends = rows.select(
         F.struct(ns(left_ns).alias("ns"), left.cast("string").alias("val")).alias("x"),
         F.struct(ns(right_ns).alias("ns"), right.cast("string").alias("val")).alias("y"),
-        at.alias("recorded_at"), F.array(evidence).alias("evidence_event_ids"),
+        at.alias("recorded_at"), F.array_sort(F.array(*evidence if isinstance(evidence, list) else [evidence])).alias("evidence_event_ids"),
     ).where("x.val <> '' and y.val <> '' and x <> y")
     low, high = F.least("x", "y"), F.greatest("x", "y")
     rows = ends.select(
@@ -134,16 +134,23 @@ def make_relations(rows: DataFrame, s_ns: str | Column, s: Column, predicate: st
 def json_lines(spark: SparkSession, path: str, schema: str, modified_after: str | None = None, glob: str = "*.jsonl", skip: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Lines of JSON files with ``file`` and ``line`` (from 1), and a diagnostic for each bad one.
 
-    A file is split whole, which is what gives exact line numbers; bad lines never stop their neighbours.
+    Large files are read in parts. Rows are numbered where they are read; the number of the first row of a part
+    and the sizes of the parts before it, a row a part, give the line. Bad lines never stop their neighbours.
     """
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
-    files = reader.format("text").load(path).select("value", F.col("_metadata.file_path").alias("file"))
+    rows = reader.format("text").load(path).select(
+        F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    parts = rows.groupBy("file", "part").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("at", F.coalesce(ahead, F.lit(0)) - F.col("first") + 1).drop("n", "first")
+    lines = rows.join(parts, ["file", "part"]).where("trim(text) <> ''")
     if skip:
-        files = files.where(~F.element_at(F.split("file", "/"), -1).rlike(skip))
-    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("at", "text")).where("trim(text) <> ''")
-    parsed = lines.select("file", (F.col("at") + 1).alias("line"), "text", F.from_json("text", schema, {"mode": "PERMISSIVE"}).alias("r"), F.expr("try_parse_json(text)").isNotNull().alias("ok"))
+        lines = lines.where(~F.element_at(F.split("file", "/"), -1).rlike(skip))
+    parsed = lines.select("file", (F.col("row") + F.col("at")).cast("int").alias("line"), "text", F.from_json("text", schema, {"mode": "PERMISSIVE"}).alias("r"), F.expr("try_parse_json(text)").isNotNull().alias("ok"))
     object_ = F.col("ok") & F.ltrim("text").startswith("{")
     bad = parsed.where(~object_).select(
         F.lit("warning").alias("level"), F.lit("bad-json").alias("code"), F.lit("line is not a JSON object").alias("message"),
@@ -185,15 +192,42 @@ def source(name: str):
     return add
 
 
-def ingest_all(spark: SparkSession, roots: dict[str, str], since: str | None = None, until: str | None = None, **options) -> tuple[Ingested, DataFrame]:
-    """Run the named sources over their roots; one that fails gives a diagnostic and stops no other."""
+RUNS = (
+    "adapter string, source string, sequence long, status string, message string, sources_failed long, "
+    "sources_outside_window long, n_events long, n_crosswalks long, n_relations long, n_diagnostics long"
+)
+
+
+def numbered(records: DataFrame, start: int = 0) -> DataFrame:
+    """``records`` with a ``sequence`` by (recorded_at, record_id), from ``start``: a total order of revisions."""
+    from workledger.shared import written
+
+    ordered = written(records.drop("sequence").repartitionByRange("recorded_at", "record_id").sortWithinPartitions("recorded_at", "record_id").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "numbered")
+    sizes = ordered.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    placed = ordered.join(F.broadcast(sizes.select("part", "first", "before")), "part")
+    return placed.withColumn("sequence", (F.lit(start) + F.col("before") + F.col("at") - F.col("first")).cast("long")).select(*records.columns)
+
+
+def ingest_all(spark: SparkSession, roots: dict[str, str], since: str | None = None, until: str | None = None, first_sequence: int = 0, **options) -> tuple[Ingested, DataFrame]:
+    """Run the named sources over their roots, and say in ``RUNS`` how each one went.
+
+    A source's rows are written before the next one starts, so one that fails, while it is planned or while
+    it runs, gives a failed run and no rows and stops no other. Links and relations are numbered over all.
+    """
+    from workledger.shared import written
+
     total = Ingested(spark)
     runs = []
-    for name, path in roots.items():
+    for n, (name, path) in enumerate(roots.items(), first_sequence):
         try:
-            found, _ = REGISTRY[name](spark, path, **options).window(since, until)
-            total = total + found
-            runs.append((name, path, "ok", None))
+            kept, outside = REGISTRY[name](spark, path, **options).window(since, until)
+            parts = {k: written(getattr(kept, k), f"ingest-{k}") for k in ("events", "crosswalks", "relations", "diagnostics")}
+            left = sum(r["outside_window"] for r in outside.collect())
+            runs.append((name, path, n, "ok", None, 0, left, *(df.count() for df in parts.values())))
+            total = total + Ingested(spark, **parts)
         except Exception as broken:  # a source's own failure is a result here
-            runs.append((name, path, "error", str(broken)[:500]))
-    return total, spark.createDataFrame(runs, "adapter string, source string, status string, message string")
+            runs.append((name, path, n, "error", str(broken)[:500], 1, 0, 0, 0, 0, 0))
+    total.crosswalks, total.relations = numbered(total.crosswalks), numbered(total.relations)
+    return total, spark.createDataFrame(runs, RUNS)
