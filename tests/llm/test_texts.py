@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("workledger.llm")
-from workledger.llm.html import blocks_of, main_text, neighbours, shared_lines  # noqa: E402
+from workledger.llm.html import ARTICLE, blocks_of, main_blocks, main_text, neighbours, shared_lines  # noqa: E402
 from workledger.llm.mixing import MixConfig, entropy, mix, solve_exponent, weights_at  # noqa: E402
 from workledger.llm.quality import COUNTS, QualityConfig, quality, rule_statistics  # noqa: E402
 from workledger.llm.toxicity import ToxicityConfig, toxicity  # noqa: E402
@@ -32,7 +32,39 @@ PAGE = "page_id long, url string, html string"
     ],
 )
 def test_article_blocks(page, want):
-    assert blocks_of(page)[0] == want
+    blocks, labels = blocks_of(page)
+    assert [b for b, label in zip(blocks, labels, strict=True) if label == ARTICLE] == want
+
+
+@pytest.mark.parametrize("name", ["content no-sidebar", "related-work", "notice-period", "ad-hoc", "has-comments", "shared"])
+def test_names_that_only_look_like_frames(name):
+    assert blocks_of(f"<article class='{name}'><div id='{name}'><p>x</p></div></article>") == (["x"], [ARTICLE])
+
+
+@pytest.mark.parametrize("name", ["sidebar", "post ad", "ad_slot", "cookie-notice", "commentList", "site-footer left", "related-posts"])
+def test_names_of_frames(name):
+    assert blocks_of(f"<main><div class='{name}'><p>x</p></div><svg/><svg-icon>y</svg-icon><p>z</main>") == (["x", "y", "z"], [0, ARTICLE, ARTICLE])
+
+
+def test_whole_pages_equal_brute_force(spark):
+    """Every page against its two neighbours on either side, by plain loops over all pages of its host."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()
+    parsed = {r.page_id: blocks_of(r.html or "") for r in rows}
+    place = {r.page_id: (r.url.split("/")[2], "/" + r.url.split("/", 3)[3].split("?")[0].split("#")[0]) for r in rows}
+    first = {}
+    for i in sorted(place, key=lambda i: (place[i][1], i)):
+        first.setdefault((place[i][0], tuple(parsed[i][0])), i)
+    order = {h: sorted((i for (g, _), i in first.items() if g == h), key=lambda i: (place[i][1], i)) for h in {h for h, _ in place.values()}}
+    want = {}
+    for i, (blocks, labels) in parsed.items():
+        line = order[place[i][0]]
+        k = line.index(first[(place[i][0], tuple(blocks))])
+        near = [parsed[line[j]][0] for j in range(max(0, k - 2), min(len(line), k + 3)) if j != k]
+        want[i] = "\n".join(blocks[j] for j in main_blocks(blocks, bytes(labels), near))
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows)).collect()}
+    assert got == want
+    article = {i: "\n".join(b for b, label in zip(*parsed[i], strict=True) if label == ARTICLE) for i in parsed}
+    assert sum(got[i] == article[i] for i in got) >= 0.99 * len(got)
 
 
 def test_shared_lines_lie_on_a_longest_common_subsequence():
@@ -153,7 +185,7 @@ def brute_counts(text):
             lines += 1
             dup += line in seen
             seen.add(line)
-    return len(words), sum(len(w.decode()) for w in words), sum(c in "#*$%&|<>" for c in text or ""), dup, len(covered), lines
+    return len(words), sum(len(w.decode()) for w in words), sum(c in "#*$%&|<>" for c in text or ""), dup, len(covered), lines, sum(33 <= ord(c) < 127 and not c.isalnum() for c in text or "")
 
 
 def test_rule_statistics_equal_brute_force(spark):
@@ -162,6 +194,14 @@ def test_rule_statistics_equal_brute_force(spark):
     assert got == {i: brute_counts(t) for i, t in enumerate(texts)}
 
 
+def test_forest_rejects_what_the_base_rules_pass(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = quality(spark.read.parquet(f"{sf}/documents.parquet"), labels := spark.read.parquet(f"{sf}/labels.parquet"))
+    judged = rows.join(labels, "doc_id").where("not base_failed").select("kept", F.col("quality").alias("q")).collect()
+    rejected = [r.q for r in judged if not r.kept]
+    assert len(rejected) >= 0.5 * sum(r.q == 0 for r in judged) and sum(rejected) <= 0.1 * len(rejected)
+
+
 def test_quality_rejects_what_labels_call_bad(spark):
     draw = random.Random(4)
     rows, labels = [], []

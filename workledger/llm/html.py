@@ -1,11 +1,12 @@
-"""HTML main text: structural labels, and page differencing against the nearest URLs of the same host.
+"""HTML main text: page differencing against the nearest URLs of the same host, then structural labels.
 
-A page becomes blocks of text. Blocks inside an article or main element are the article's, less what the
-markup names as something else (menus, forms, adverts, notices, reader comments). On a page without such an
-element no label says what is text and what is frame; there, pages are compared with their neighbours in the
-order of URL paths within the host, the blocks of both are aligned by longest common subsequence, and
-blocks that two different neighbours share are deleted as frame. Pages of a host with equal blocks are one page
-there, so copies delete nothing of each other.
+A page becomes blocks of text in page order. Every page is compared with its neighbours in the order of URL
+paths within the host: the blocks of both are aligned by longest common subsequence, and blocks that all
+neighbours but at most one share are frame and go. Labels come second. Of what is left they take blocks that
+the markup names as something else (menus, forms, adverts, notices, reader comments) and, on pages with an
+article or main element, blocks outside it. And they give back a shared block that stands between two blocks
+of one article which are the page's own: a frame does not interrupt an article, a quoted passage does. Pages
+of a host with equal blocks are one page, so copies delete nothing of each other.
 
 Neighbours are found by a range partition over (host, path) whose edges are stitched, so no host is gathered
 into one task; alignment takes four neighbours a page, two on either side.
@@ -27,7 +28,8 @@ from workledger.llm.common import python_batches, skew_join, text_bytes, written
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg|iframe|select|object|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style)(?=[\s/>])(?:[^>]*[^/>])?>.*?(?:</\1\s*>|\Z)"
+    r"|<(noscript|template|textarea|svg|iframe|select)(?=[\s/>])(?:[^>]*[^/>])?>.*?</\2\s*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -53,25 +55,44 @@ FRAME_WORDS = frozenset(
 CONTENT_TAGS = frozenset(("article", "main"))
 
 
+# Words that go with one of FRAME_WORDS in a name, and beginnings that negate it.
+FRAME_PARTS = frozenset(
+    "area bar block body box container content footer form header inner item items link links list main panel "
+    "posts section slot top unit wrap wrapper zone articles bottom left right".split()
+)
+NEGATIONS = frozenset("no has with without not hide hidden".split())
+
+
+def _names_frame(value: str) -> bool:
+    """Whether one name (``site-footer``, ``ad_slot``, ``commentList``) means a frame: it ends in such a word,
+    or begins with one and goes on with words for parts of a page only."""
+    parts = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
+    if not parts or parts[0] in NEGATIONS:
+        return False
+    return parts[-1] in FRAME_WORDS or parts[0] in FRAME_WORDS and FRAME_PARTS.issuperset(parts[1:])
+
+
 def _is_frame(tag: str, attributes: str, inside: bool) -> bool:
     if tag in FRAME_TAGS or tag == "header" and not inside:
         return True
-    if "=" in attributes and tag not in ("html", "body"):
+    if "=" in attributes and tag not in ("html", "body", "article", "main"):
         for found in _NAMED.finditer(attributes):
-            value = found[1] or found[2] or found[3] or ""
-            if FRAME_WORDS.intersection(re.split(r"[^a-z]+", value.lower())):
+            if any(map(_names_frame, (found[1] or found[2] or found[3] or "").split())):
                 return True
     return False
 
 
-def blocks_of(page: str) -> tuple[list[str], list[str], list[str], bool]:
-    """Blocks inside articles, unlabelled ones, those labelled as frame, and whether there is an article."""
-    article: list[str] = []
-    loose: list[str] = []
-    frame: list[str] = []
+#: What the markup says of a block: inside an article, nothing, or that it is frame.
+ARTICLE, LOOSE, FRAME = 2, 1, 0
+
+
+def blocks_of(page: str) -> tuple[list[str], list[int]]:
+    """Blocks of text in page order, and the label of each."""
+    blocks: list[str] = []
+    labels: list[int] = []
     parts: list[str] = []
     depth = 0  # open article or main elements
-    seen = ended = False
+    ended = False
     skip, skip_depth = "", 0
     at = 0
 
@@ -80,24 +101,25 @@ def blocks_of(page: str) -> tuple[list[str], list[str], list[str], bool]:
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                (frame if skip else article if depth else loose).append(text)
+                blocks.append(text)
+                labels.append(FRAME if skip else ARTICLE if depth else LOOSE)
 
     for token in _TOKEN.finditer(page):
         if token.start() > at:
             parts.append(page[at : token.start()])
         at = token.end()
-        name = token[3]
+        name = token[4]
         if name is None:
             continue
-        tag, closing = name.lower(), token[2] == "/"
+        tag, closing = name.lower(), token[3] == "/"
         if tag == "br":
             parts.append(" ")
         if tag not in BLOCK_TAGS and not (skip == tag):
-            if skip or closing or not _is_frame(tag, token[4], depth > 0):
+            if skip or closing or not _is_frame(tag, token[5], depth > 0):
                 continue
         flush()
         if skip:
-            opens_article = tag in CONTENT_TAGS and not closing and not ended and not _is_frame(tag, token[4], False)
+            opens_article = tag in CONTENT_TAGS and not closing and not ended and not _is_frame(tag, token[5], False)
             if opens_article and depth == 0 and skip != tag or tag == "body" and skip == "head":
                 skip, skip_depth = "", 0  # the frame element was never closed
             else:
@@ -110,16 +132,15 @@ def blocks_of(page: str) -> tuple[list[str], list[str], list[str], bool]:
             if tag in CONTENT_TAGS and depth:
                 depth -= 1
                 ended = ended or depth == 0
-        elif _is_frame(tag, token[4], depth > 0):
-            if not token[4].rstrip().endswith("/"):
+        elif _is_frame(tag, token[5], depth > 0):
+            if not token[5].rstrip().endswith("/"):
                 skip, skip_depth = tag, 1
         elif tag in CONTENT_TAGS:
             depth += 1
-            seen = True
     if at < len(page):
         parts.append(page[at:])
     flush()
-    return article, loose, frame, seen
+    return blocks, labels
 
 
 def shared_lines(mine: list[int], other: list[int]) -> set[int]:
@@ -150,10 +171,10 @@ def shared_lines(mine: list[int], other: list[int]) -> set[int]:
     return found
 
 
-#: Neighbours on either side that a page is compared with, and how many of all must share a block that is frame.
-NEAR, SHARED_BY = 2, 2
+#: Neighbours on either side that a page is compared with.
+NEAR = 2
 
-_PARSED = "page_id long, url string, host string, path string, text string, loose array<string>, outside array<long>"
+_PARSED = "page_id long, url string, host string, path string, blocks array<string>, labels binary, hashes array<long>"
 
 
 def _hash(line: str) -> int:
@@ -161,24 +182,18 @@ def _hash(line: str) -> int:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())]
+    kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.binary(), pa.list_(pa.int64())]
     for batch in batches:
         columns: list[list] = [[] for _ in kinds]
         for url, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            article, loose, frame, seen = blocks_of(body.decode("utf-8", "replace"))
+            blocks, labels = blocks_of(body.decode("utf-8", "replace"))
             place = _URL.match(url or "")
-            row = (
-                place[1].lower() if place else "",
-                place[2] if place else url or "",
-                "\n".join(article) if seen else None,
-                None if seen else loose,
-                [_hash(x) for x in (*loose, *frame)],
-            )
+            row = (place[1].lower() if place else "", place[2] if place else url or "", blocks, bytes(labels), [*map(_hash, blocks)])
             for column, value in zip(columns, row, strict=True):
                 column.append(value)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), *map(pa.array, columns, kinds)],
-            names=["page_id", "url", "host", "path", "text", "loose", "outside"],
+            names=["page_id", "url", "host", "path", "blocks", "labels", "hashes"],
         )
 
 
@@ -204,13 +219,30 @@ def neighbours(pages: DataFrame) -> DataFrame:
     return rows.where("o.host = host").select("page", F.col("o.page").alias("near")).distinct()
 
 
+def main_blocks(hashes: list[int], labels: bytes, others: list[list[int]]) -> list[int]:
+    """Places of the blocks that are the page's main text, given the blocks of its different neighbours."""
+    times = Counter(i for other in others for i in shared_lines(hashes, other))
+    most = max(2, len(others) - 1)
+    own = [times[i] < most for i in range(len(hashes))]
+    least = ARTICLE if ARTICLE in labels else LOOSE
+    kept, open_, waiting = [], False, []
+    for i, label in enumerate(labels):
+        if label < least:
+            if label == LOOSE:
+                open_, waiting = False, []  # another article may follow
+        elif own[i]:
+            kept += [*waiting, i]
+            open_, waiting = least == ARTICLE, []
+        elif open_:
+            waiting.append(i)
+    return kept
+
+
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for lines, others in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            mine = [_hash(x) for x in lines]
-            times = Counter(i for other in others or () for i in shared_lines(mine, other))
-            texts.append("\n".join(x for i, x in enumerate(lines) if times[i] < SHARED_BY))
+        for blocks, labels, hashes, others in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+            texts.append("\n".join(blocks[i] for i in main_blocks(hashes, labels, others or [])))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -218,28 +250,22 @@ def main_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, html)`` -> ``page_id, url, text, n_chars``, one row per input row.
 
     A null or empty html gives the empty text. Without a url the host is empty; without a page_id a page is
-    compared with no other. On unlabelled pages a block is deleted if two of the nearest pages that differ
-    from it and from each other share it; pages of a host with equal blocks stand at the first of their paths.
-    A host with fewer than three different pages loses nothing. No rows give no rows.
+    compared with no other. Pages of a host with equal blocks stand at the first of their paths. A page with
+    fewer than two different neighbours is judged by its labels alone. Repeated rows repeat; the smaller
+    page_id comes first among equal paths. No rows give no rows; other columns are not read.
     """
     python_batches(pages.sparkSession)
     parsed = written(
         pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), text_bytes("html").alias("body"))
         .mapInArrow(_parse, _PARSED)
-        .withColumn("page", F.xxhash64("host", "text", "outside")),
+        .withColumn("page", F.xxhash64("host", "hashes")),
         "pages-parsed",
     )
-    labelled = parsed.where("text is not null").select("page_id", "url", "text")
-    open_ = parsed.where("loose is not null")
-    # pages of a host with the same blocks are one page; those of pages that differ only within articles are not
     contents = parsed.where("page_id is not null").groupBy("page", "host").agg(F.min(F.struct("path", "page_id")).alias("at"))
-    wanted = open_.where("page_id is not null").select("page").distinct()
-    near = neighbours(contents.select("page", "host", "at.path", "at.page_id")).join(wanted, "page", "left_semi")
-    pairs = written(near, "page-pairs")
-    needed = pairs.select(F.col("near").alias("page")).distinct()
-    outside = parsed.join(needed, "page", "left_semi").groupBy(F.col("page").alias("near")).agg(F.first("outside").alias("outside"))
-    others = skew_join(pairs, outside, "near").groupBy("page").agg(F.collect_list("outside").alias("others"))
+    pairs = written(neighbours(contents.select("page", "host", "at.path", "at.page_id")), "page-pairs")
+    hashes = parsed.where("page_id is not null").groupBy(F.col("page").alias("near")).agg(F.first("hashes").alias("other"))
+    others = skew_join(pairs, hashes, "near").groupBy("page").agg(F.collect_list("other").alias("others"))
     alone = F.when(F.col("page_id").isNotNull(), F.col("page"))
-    left = skew_join(open_.withColumn("page", alone), others, "page", "left").select("page_id", "url", "loose", "others")
-    texts = labelled.unionByName(left.mapInArrow(_difference, "page_id long, url string, text string"))
+    whole = skew_join(parsed.withColumn("page", alone), others, "page", "left").select("page_id", "url", "blocks", "labels", "hashes", "others")
+    texts = whole.mapInArrow(_difference, "page_id long, url string, text string")
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))

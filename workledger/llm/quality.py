@@ -15,20 +15,23 @@ from workledger.llm.common import mix64, python_batches, text_bytes, word_hashes
 
 @dataclass(frozen=True)
 class QualityConfig:
-    """``sample_rows`` bounds the rows that trees are drawn from (in expectation, chosen by hash).
+    """``sample_rows`` bounds the labelled rows that trees are drawn from (in expectation, chosen by hash).
 
-    A rejected good document weighs ``reject_cost`` times a kept bad one when the threshold is set.
+    Bad documents resemble one another, so trees are small: a tree of many rows holds a cluster of them, which
+    takes as many splits to isolate as good rows do. A rejected good document weighs ``reject_cost`` times a kept bad one when the threshold is set.
     """
 
     sample_rows: int = 8192
-    trees: int = 200
-    tree_rows: int = 256
+    trees: int = 400
+    tree_rows: int = 16
     seed: int = 17
     bins: int = 2000
     reject_cost: float = 3.0
 
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks")
+_SYMBOLS = b"#*$%&|<>"
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 def statistics(text: bytes) -> tuple[int, ...]:
@@ -36,10 +39,11 @@ def statistics(text: bytes) -> tuple[int, ...]:
     words = text.split()
     n = len(words)
     if not n:
-        return 0, 0, len(text) - len(text.translate(None, b"#*$%&|<>")), 0, 0, 0
+        return (0,) * len(COUNTS)
     spaces = len(text) - sum(map(len, words))
     points = len(text.decode("utf-8", "replace")) - spaces
-    symbols = len(text) - len(text.translate(None, b"#*$%&|<>"))
+    symbols = len(text) - len(text.translate(None, _SYMBOLS))
+    marks = len(text) - len(text.translate(None, _MARKS))
     seen: set[bytes] = set()
     lines = repeated = 0
     for line in text.split(b"\n"):
@@ -59,7 +63,7 @@ def statistics(text: bytes) -> tuple[int, ...]:
             for i in range(3):
                 mark[i : n - 2 + i] |= twice
             covered = int(mark.sum())
-    return n, points, symbols, repeated, covered, lines
+    return n, points, symbols, repeated, covered, lines, marks
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +86,8 @@ def rule_statistics(docs: DataFrame) -> DataFrame:
 
 #: What the forest sees: shares, so that long and short documents compare.
 SHARES = (
-    "ln(1 + 1000.0 * n_symbols / greatest(word_chars, 1))",
+    "1.0 * n_symbols / greatest(word_chars, 1)",
+    "1.0 * n_marks / greatest(word_chars, 1)",
     "1.0 * n_dup_lines / greatest(n_lines, 1)",
     "1.0 * n_repeat_words / greatest(n_words, 1)",
     "1.0 * word_chars / greatest(n_words, 1)",
@@ -158,13 +163,18 @@ def _threshold(histogram: list, config: QualityConfig) -> float:
 def quality(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
     """``doc_id``, the counts, ``base_failed, anomaly, kept``, one row per input row.
 
-    A null or empty text has zero counts and fails the base rules. The forest is drawn from rows that pass
-    them. Labels that are null, or whose document is missing, are not used; without labels of both kinds the
+    A null or empty text has zero counts and fails the base rules. The forest is drawn from labelled rows that
+    pass them; equal anomalies get equal verdicts. Labels that are null, or whose document is missing, are not used; without labels of both kinds the
     forest rejects nothing. Repeated rows repeat; no rows give no rows.
     """
     stats = written(rule_statistics(docs), "statistics")
     shares = [F.expr(s).cast("double").alias(f"x{i}") for i, s in enumerate(SHARES)]
-    passing = stats.where("not base_failed")
+    known = (
+        labels.where("doc_id is not null and quality is not null")
+        .groupBy("doc_id")
+        .agg(F.min("quality").alias("quality"))
+    )
+    passing = stats.where("not base_failed").join(known.select("doc_id"), "doc_id", "left_semi")
     total = passing.count()
     share = min(1.0, config.sample_rows / max(total, 1))
     sample = passing.where(
@@ -190,11 +200,6 @@ def quality(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityC
         ),
         "rated",
     )
-    known = (
-        labels.where("doc_id is not null and quality is not null")
-        .groupBy("doc_id")
-        .agg(F.min("quality").alias("quality"))
-    )
     histogram = (
         rated.where("not base_failed")
         .join(known, "doc_id")

@@ -27,7 +27,13 @@ def content_digest(squeeze: bool) -> Column:
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = word_counts(path)
+        seen: set[bytes] = set()  # repeated rows lie in one task, as the join left them
         for batch in batches:
+            fresh = []
+            for digest in batch.column(0).to_pylist():
+                fresh.append(digest not in seen)
+                seen.add(digest)
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
             n = count(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
 
@@ -71,9 +77,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
         source.withColumn("chosen_id", F.coalesce("doc_id", F.lit(0)))
         .join(chosen.hint("shuffle_hash"), "chosen_id")
         .where(F.col("digest") == content_digest(True))
-        .select("chosen_id", "digest", text_bytes().alias("body"))
-        .dropDuplicates(["chosen_id", "digest"])  # repeated rows; lies as the join left it
-        .select("digest", "body")
+        .select("digest", text_bytes().alias("body"))
     )
     counted = misses.mapInArrow(_encode(tokenizer_path), "digest binary, n_tokens long")
     counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)

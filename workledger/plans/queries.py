@@ -11,6 +11,7 @@ from workledger.functions.coerce import procedure_class
 from workledger.functions.text import sha256_text
 from workledger.operators import accounting, attribution, effectiveness, evaluation, findings, gates, graph, memory, motifs, revisions
 from workledger.plans import workbench as wb
+from workledger.plans.edge import edge
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,17 +22,6 @@ def query(f: Query) -> Query:
     return f
 
 
-def edge(df: DataFrame, *columns: str) -> DataFrame:
-    """Common result types: money to six decimals, whole numbers to BIGINT."""
-    out = []
-    for f in df.schema:
-        kind = f.dataType.typeName()
-        c = F.col(f.name)
-        out.append(c.cast("decimal(38,6)").alias(f.name) if kind == "decimal" else c.cast("bigint").alias(f.name) if kind in ("integer", "long") else c)
-    shown = df.select(*out)
-    return shown.select(*columns) if columns else shown
-
-
 @query
 def accounting_by_kind(spark, sf):
     return edge(accounting.by_kind(wb.costs(spark, sf)))
