@@ -14,8 +14,19 @@ from workledger.llm.token_blocks import read_documents, write_token_blocks
 from workledger.llm.toxicity import toxicity
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """``name``, made longer until no column of ``docs`` has it."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject."""
+    """Documents that the toxicity model does not reject.
+
+    Rows without doc_id stay; a doc_id of which any row is rejected goes with all its rows. Null and empty
+    texts score as the intercept alone; equal scores get equal verdicts; other columns pass through.
+    """
     rejected = (
         toxicity(docs.select("doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic"))
         .where("predicted = 1")
@@ -26,28 +37,47 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each near-duplicate group: five-word shingles at 0.8."""
+    """One document, the smallest doc_id, of each near-duplicate group: five-word shingles at 0.8.
+
+    Rows that share a doc_id are one document and stay or go together; rows without one, and texts without
+    words, are in no group and stay. Other columns pass through.
+    """
     gone = near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item.
+
+    Rows without doc_id stay; rows that share one are judged together. Null and empty texts contain nothing;
+    without items all stay. Other columns pass through.
+    """
     pairs = contaminated_pairs(docs.select("doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
     return docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the temperature mix uses them, within the tokens there are."""
+    """Documents as often as the temperature mix uses them, within the tokens there are, in the order of the mix.
+
+    A row without doc_id takes part, and rows that share one are used each by itself; a null source is a source
+    of its own. Rows lie in files by (pass, position), so that files read one after the other give the schedule.
+    """
     # rows may share a doc_id or have none, so each gets a key; it is written, as it must not change between two reads
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
-    uses = mix(rows.select("doc_id", "source", "text", "__row"), MixConfig(entropy_share=0.95), "__row")
-    times = uses.groupBy("__row").agg(F.count("*").alias("__uses"))
-    return rows.join(times, "__row").withColumn("__use", F.explode(F.expr("sequence(1L, __uses)"))).select(docs.columns)
+    key, use = _free("row_key", docs), _free("row_use", docs)
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "mix-rows")
+    uses = mix(rows.select("doc_id", "source", "text", key), MixConfig(entropy_share=0.95), key)
+    times = uses.groupBy(key).agg(F.collect_list(F.struct("pass", "position")).alias(use))
+    placed = rows.join(times, key).withColumn(use, F.explode(use))
+    order = [F.col(f"{use}.pass"), F.col(f"{use}.position"), F.col(key)]
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).select(docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document written as coded blocks, and read back."""
+    """Ids of every document written as coded blocks, and read back.
+
+    Blocks are in ascending doc_id order, rows without one first; rows that share one in the order of their
+    texts. A null or empty text is its end id alone; no rows give no rows.
+    """
     path = shared_dir(spark, "token-blocks")
     write_token_blocks(docs.select("doc_id", "text"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return read_documents(spark, path)

@@ -242,14 +242,16 @@ met AS (SELECT use.* FROM use JOIN ans USING (conv_id, call) WHERE ans.at > use.
 """
 LOG = """
 m AS (
-    SELECT l_orderkey, l_suppkey, min(l_shipdate) AS at, count(*) AS n, concat(l_orderkey, '-', l_suppkey) AS sha FROM lineitem GROUP BY 1, 2)
+    SELECT l_orderkey, l_suppkey, min(l_shipdate) AS made, count(*) AS n, concat(l_orderkey, '-', l_suppkey) AS sha FROM lineitem GROUP BY 1, 2)
 """
 N = "CAST({} AS BIGINT)".format
 D = "CAST({} AS DECIMAL(38,6))".format
 
 ORACLES = {
     "scan_gates": f"""WITH {BASE},
-        w AS (SELECT * FROM g WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-31'),
+        i AS (SELECT * FROM g WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-31'),
+        w AS (SELECT i.* REPLACE (coalesce(t.coordinate, i.coordinate) AS coordinate) FROM i
+            LEFT JOIN i t ON i.evidence <> 'mint' AND t.evidence = 'mint' AND t.coordinate IS NOT NULL AND i.coordinate = concat('target=', t.id)),
         d AS (SELECT coordinate, max(n) AS size FROM (SELECT coordinate, count(*) OVER (PARTITION BY coordinate ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) AS n
             FROM w WHERE evidence = 'mint' AND coordinate IS NOT NULL) GROUP BY 1),
         f AS (SELECT coordinate, count_if(evidence = 'mint') AS mints, count_if(evidence = 'decision') AS solved, count_if(evidence = 'consult') AS consults,
@@ -276,21 +278,21 @@ ORACLES = {
             to_timestamp(1700000000 + any_value(hi)) AS last_at, {D("sum(usd)")} AS selected_usd, {N("sum(usd.n)")} AS input_tokens, {N("sum(top)")} AS output_tokens,
             {N("0")} AS cached_input_tokens, {N("2 * count(*)")} AS cache_write_tokens, {N("0")} AS reasoning_tokens FROM usd, n""",
     "scan_session_events": f"""WITH {C} SELECT 'session' AS kind, {N("count(*)")} AS n_events FROM s UNION ALL SELECT 'cost', count(*) FROM s
-        UNION ALL SELECT 'turn', count(*) FROM c WHERE said <> 'tool' AND text <> '' UNION ALL SELECT 'model-call', count(*) FROM c WHERE said = 'assistant' UNION ALL SELECT 'tool-call', count(*) FROM met""",
+        UNION ALL SELECT 'turn', count(*) FROM c WHERE said <> 'tool' AND text <> '' UNION ALL SELECT 'model-call', count(*) FROM c WHERE said = 'assistant' UNION ALL SELECT 'tool-call', count(*) FROM met HAVING count(*) > 0""",
     "scan_coverage_gaps": f"""WITH {C}, k AS (
             SELECT unnest(['session.project', 'session.working_directory', 'cost.cached_input_tokens', 'cost.reasoning_tokens']) AS field, 'unavailable' AS status, (SELECT count(*) FROM s) AS n
             UNION ALL SELECT 'turn.content', 'redacted', count(*) FROM c WHERE said <> 'tool' AND text <> ''
             UNION ALL SELECT 'model-call.provider', 'unavailable', count(*) FROM c WHERE said = 'assistant'
             UNION ALL SELECT unnest(['tool-call.input', 'tool-call.output']), 'redacted', (SELECT count(*) FROM met)
             UNION ALL SELECT 'tool-call.error', 'unavailable', (SELECT count(*) FROM met))
-        SELECT 'hermes' AS adapter, field, status, {N("n")} AS n FROM k""",
+        SELECT 'hermes' AS adapter, field, status, {N("n")} AS n FROM k WHERE n > 0""",
     "scan_session_costs": f"""WITH {C} SELECT CASE WHEN conv_id % 3 = 0 THEN 'reported' ELSE 'computed' END AS basis, CASE WHEN conv_id % 3 = 0 THEN 'actual' ELSE 'estimated' END AS accuracy,
             CASE WHEN conv_id % 2 = 0 THEN 'marginal' ELSE 'notional' END AS kind, 'source' AS accounting_key_scope, {N("count(*)")} AS n, {D("sum(usd)")} AS amount_usd FROM usd GROUP BY ALL""",
     "scan_tool_calls": f"""WITH {C} SELECT tool AS tool_name, 'succeeded' AS status, {N("count(*)")} AS n FROM met GROUP BY ALL
         UNION ALL SELECT 'orphan-tool-result', 'info', count(*) FROM ans ANTI JOIN met USING (conv_id, call) HAVING count(*) > 0
         UNION ALL SELECT 'open-tool-call', 'info', count(*) FROM use ANTI JOIN met USING (conv_id, call) HAVING count(*) > 0""",
     "scan_commits": f"""WITH {LOG}, ok AS (SELECT * FROM m WHERE l_suppkey % 17 <> 0)
-        SELECT strftime(at, '%Y') AS what, {N("count(*)")} AS n, {N("sum(length(concat('ships ', n)) + 6)")} AS chars FROM ok GROUP BY 1
+        SELECT strftime(made, '%Y') AS what, {N("count(*)")} AS n, {N("sum(length(concat('ships ', n)) + 6)")} AS chars FROM ok GROUP BY 1
         UNION ALL SELECT 'git.commit git.commit-instance', count(*), sum(length(sha)) FROM ok
         UNION ALL SELECT 'bad-commit', count(*), 0 FROM m WHERE l_suppkey % 17 = 0 HAVING count(*) > 0""",
     "scan_runner_links": """WITH x AS (
@@ -307,9 +309,9 @@ ORACLES = {
         UNION ALL SELECT 'cost', concat('computed unknown ', CASE WHEN o_orderkey % 2 = 0 THEN 'shared' ELSE 'source' END), count(*), {D("sum(CAST(o_totalprice AS DECIMAL(18,2)))")}, min(o_orderdate) FROM orders GROUP BY ALL""",
     "scan_report": f"""WITH {LOG}, {C}, ok AS (SELECT * FROM m WHERE l_suppkey % 17 <> 0),
         h AS (SELECT count(*) + (SELECT 2 * count(*) FROM s) + (SELECT count(*) FROM met) + count_if(said = 'assistant') AS n FROM c WHERE said <> 'tool' AND text <> '')
-        SELECT 'git' AS adapter, 'ok' AS status, CASE WHEN count_if(at < TIMESTAMP '1996-01-01') = 0 THEN 'current' ELSE 'unknown' END AS state, {N("0")} AS sources_failed,
-            {N("2 * count_if(at < TIMESTAMP '1996-01-01')")} AS sources_outside_window, {N("count_if(at >= TIMESTAMP '1996-01-01')")} AS n_events, {N("count_if(at >= TIMESTAMP '1996-01-01')")} AS n_crosswalks,
-            {N("count_if(at >= TIMESTAMP '1996-01-01')")} AS stored FROM ok
+        SELECT 'git' AS adapter, 'ok' AS status, CASE WHEN count_if(made < TIMESTAMP '1996-01-01') = 0 THEN 'current' ELSE 'unknown' END AS state, {N("0")} AS sources_failed,
+            {N("2 * count_if(made < TIMESTAMP '1996-01-01')")} AS sources_outside_window, {N("count_if(made >= TIMESTAMP '1996-01-01')")} AS n_events, {N("count_if(made >= TIMESTAMP '1996-01-01')")} AS n_crosswalks,
+            {N("count_if(made >= TIMESTAMP '1996-01-01')")} AS stored FROM ok
         UNION ALL SELECT 'hermes', 'ok', 'current', 0, 0, n, 0, n FROM h
         UNION ALL SELECT 'opencode', 'error', 'unknown', 1, 0, 0, 0, 0""",
     "scan_numbered_links": f"""WITH {LOG} SELECT {N("count(*)")} AS n, {N("count(*)")} AS n_numbers, {N("0")} AS least, {N("count(*) - 1")} AS most, {N("count(*)")} AS n_current FROM m WHERE l_suppkey % 17 <> 0""",
