@@ -131,16 +131,16 @@ def lineage(costs: DataFrame, events: DataFrame) -> DataFrame:
 
     As deep as chains go; a cycle ends where it meets what was seen.
     """
-    ups = events.select("event_id", F.explode(F.array_compact(F.array("parent_event_id", "session_id"))).alias("up"))
     known = events.select("event_id")
+    exploded = events.select("event_id", F.explode(F.array_compact(F.array("parent_event_id", "session_id"))).alias("up"))
+    ups = written(exploded.join(known.select(F.col("event_id").alias("up")), "up", "left_semi").select("event_id", "up"), "ups")
     start = costs.select(
         F.col("event_id").alias("cost_id"), F.explode(F.array_compact(F.array("parent_event_id", "session_id"))).alias("event_id")
     ).where("cost_id <> event_id")
     seen = frontier = written(start.distinct().join(known, "event_id", "left_semi").select("cost_id", "event_id"), "lineage")
     while not frontier.isEmpty():
         moved = frontier.join(ups, "event_id").select("cost_id", F.col("up").alias("event_id")).where("cost_id <> event_id").distinct()
-        fresh = moved.join(known, "event_id", "left_semi").join(seen, ["cost_id", "event_id"], "left_anti")
-        frontier = written(fresh.select("cost_id", "event_id"), "lineage")
+        frontier = written(moved.join(seen, ["cost_id", "event_id"], "left_anti"), "lineage")
         seen = seen.unionByName(frontier)
     return seen
 
