@@ -259,6 +259,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
         for block, total, digest, kind, complete in zip(blocks, totals, stated, kinds, whole, strict=True):
             payload = error = None
+            block = b"".join(block)  # its segments, in order
             if not complete:
                 error = "missing segment"
             elif total is not None and total != len(block):
@@ -288,14 +289,14 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Archives under ``path`` -> ``record_id, page_id, url, kind, refers_to, payload, payload_digest, error``.
 
-    One row per logical record, its segments joined. ``payload`` is null for revisits and for records with an
+    One row per logical record, its segments joined; a segment that is there twice counts once. ``payload`` is null for revisits and for records with an
     ``error``. Only cut records are shuffled. An archive is parsed whole by one task, so archives should be
     of bounded size, as ``write_archives`` makes them.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
     records = files.select("content").mapInArrow(_parse, RECORD_SCHEMA)
     columns = ["record_id", "page_id", "url", "kind", "digest", "refers_to", "total", "block"]
-    plain = records.where("number is null").select(*columns, F.lit(True).alias("whole"))
+    plain = records.where("number is null").select(*columns[:-1], F.array("block").alias("block"), F.lit(True).alias("whole"))
     parts = records.where("number is not null").withColumn("origin", F.coalesce("origin", "record_id"))
     of_first = {c: F.max(F.when(F.col("number") == 1, F.col(c))).alias(c) for c in ("page_id", "url", "kind", "digest", "refers_to")}
     joined = (
@@ -304,11 +305,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             *of_first.values(),
             F.max("total").alias("total"),
             F.max("number").alias("last"),
-            F.array_sort(F.collect_list(F.struct("number", "block"))).alias("parts"),
+            F.array_distinct(F.array_sort(F.collect_list(F.struct("number", "block")))).alias("parts"),
         )
         .select(
             "record_id", "page_id", "url", "kind", "digest", "refers_to", "total",
-            F.expr("aggregate(parts, cast(x'' as binary), (a, p) -> concat(a, p.block))").alias("block"),
+            F.col("parts.block").alias("block"),
             F.expr("kind is not null and total is not null and size(parts) = last").alias("whole"),
         )
     )
