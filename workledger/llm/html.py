@@ -173,6 +173,8 @@ def shared_lines(mine: list[int], other: list[int]) -> set[int]:
 
 #: Neighbours on either side that a page is compared with.
 NEAR = 2
+#: Pages that differencing changes up to which these are sent to all executors; beyond, the join shuffles.
+BROADCAST_ROWS = 500_000
 
 _PARSED = "page_id long, url string, host string, path string, blocks array<string>, labels binary, hashes array<long>"
 
@@ -239,10 +241,23 @@ def main_blocks(hashes: list[int], labels: bytes, others: list[list[int]]) -> li
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places of main blocks, of pages where they are others than without neighbours."""
+    for batch in batches:
+        pages, places = [], []
+        for page, labels, hashes, others in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            kept = main_blocks(hashes, labels, others)
+            if kept != main_blocks(hashes, labels, []):
+                pages.append(page)
+                places.append(kept)
+        yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(places, pa.list_(pa.int32()))], names=["page", "kept"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for blocks, labels, hashes, others in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
-            texts.append("\n".join(blocks[i] for i in main_blocks(hashes, labels, others or [])))
+        for blocks, labels, kept in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+            places = main_blocks([0] * len(blocks), labels, []) if kept is None else kept
+            texts.append("\n".join(blocks[i] for i in places))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -258,14 +273,20 @@ def main_text(pages: DataFrame) -> DataFrame:
     parsed = written(
         pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), text_bytes("html").alias("body"))
         .mapInArrow(_parse, _PARSED)
-        .withColumn("page", F.xxhash64("host", "hashes")),
+        .withColumn("page", F.xxhash64("host", "hashes", "labels")),
         "pages-parsed",
     )
     contents = parsed.where("page_id is not null").groupBy("page", "host").agg(F.min(F.struct("path", "page_id")).alias("at"))
     pairs = written(neighbours(contents.select("page", "host", "at.path", "at.page_id")), "page-pairs")
-    hashes = parsed.where("page_id is not null").groupBy(F.col("page").alias("near")).agg(F.first("hashes").alias("other"))
-    others = skew_join(pairs, hashes, "near").groupBy("page").agg(F.collect_list("other").alias("others"))
+    known = parsed.where("page_id is not null").groupBy("page").agg(F.first("hashes").alias("hashes"), F.first("labels").alias("labels"))
+    known = written(known, "page-hashes")
+    near = skew_join(pairs, known.select(F.col("page").alias("near"), F.col("hashes").alias("other")), "near")
+    others = near.groupBy("page").agg(F.collect_list("other").alias("others"))
+    # pages without two different neighbours lose nothing; of the others, only those that change go on
+    compared = skew_join(known, others.where("size(others) > 1"), "page").select("page", "labels", "hashes", "others")
+    changed = written(compared.mapInArrow(_difference, "page long, kept array<int>"), "page-changes")
+    few = changed.count() <= BROADCAST_ROWS
     alone = F.when(F.col("page_id").isNotNull(), F.col("page"))
-    whole = skew_join(parsed.withColumn("page", alone), others, "page", "left").select("page_id", "url", "blocks", "labels", "hashes", "others")
-    texts = whole.mapInArrow(_difference, "page_id long, url string, text string")
+    whole = parsed.withColumn("page", alone).join(F.broadcast(changed) if few else changed, "page", "left")
+    texts = whole.select("page_id", "url", "blocks", "labels", "kept").mapInArrow(_texts, "page_id long, url string, text string")
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
