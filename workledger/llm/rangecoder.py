@@ -41,11 +41,11 @@ class IdTable:
     def __init__(self, ids: np.ndarray, shares: np.ndarray):
         if len(ids) and int(ids[-1]) >= 1 << 18:
             raise ValueError("ids of 18 bits at most")
-        self.ids, self.shares = ids.astype(np.int64), shares.astype(np.int64)
+        self.ids, self.shares = ids.astype(np.int64), shares.astype(np.int32)
         self.bits = int(self.shares.sum()).bit_length() - 1
-        self.starts = np.concatenate([[0], np.cumsum(self.shares)])
-        self.slots = np.repeat(np.arange(len(ids)), self.shares)
-        self.ranks = np.zeros(int(ids[-1]) + 1 if len(ids) else 0, np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.shares)]).astype(np.int32)
+        self.slots = np.repeat(np.arange(len(ids), dtype=np.int32), self.shares)
+        self.ranks = np.zeros(int(ids[-1]) + 1 if len(ids) else 0, np.int32)
         self.ranks[self.ids] = np.arange(len(ids))
 
     @classmethod
@@ -72,7 +72,7 @@ class IdTable:
 
 def _first_shares() -> tuple[np.ndarray, np.ndarray]:
     """Weights of both guesses before anything is learned, by (held 2, held 1, agree)."""
-    two, one = np.zeros((4, 4, 2), np.int64), np.zeros((4, 4, 2), np.int64)
+    two, one = np.zeros((4, 4, 2), np.int32), np.zeros((4, 4, 2), np.int32)
     for held in range(4):
         two[held, :, 0] = 400 + 600 * held
         two[held, :, 1] = 1000 + 700 * held
@@ -98,17 +98,17 @@ class Lanes:
         self.share2 = np.tile(two, lanes)
         self.share1 = np.tile(one, lanes)
         self.state = np.arange(lanes, dtype=np.int64) * self.STATES
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
+        self.last = np.zeros(lanes, np.uint32)
+        self.before = np.zeros(lanes, np.uint32)
         self.low = np.zeros(lanes, U)
         self.range = np.full(lanes, U(0xFFFFFFFFFFFFFFFF))
 
     def predict(self) -> None:
         """Guesses and weights at this step."""
-        h = self.last * 0x9E3779B1 & 0xFFFFFFFF
-        self.at1 = self.base + (h >> (32 - TABLE_BITS))
-        h = self.last * 0x85EBCA6B + self.before * 0xC2B2AE35 & 0xFFFFFFFF
-        self.at2 = self.base + ((h ^ h >> 15) * 0x2C1B3C6D >> 16 & (1 << TABLE_BITS) - 1)
+        # unsigned 32-bit products wrap
+        self.at1 = self.base + (self.last * np.uint32(0x9E3779B1) >> 32 - TABLE_BITS)
+        h = self.last * np.uint32(0x85EBCA6B) + self.before * np.uint32(0xC2B2AE35)
+        self.at2 = self.base + ((h ^ h >> 15) * np.uint32(0x2C1B3C6D) >> 16 & (1 << TABLE_BITS) - 1)
         self.entry1 = self.table1.take(self.at1)
         self.entry2 = self.table2.take(self.at2)
         self.guess1 = self.entry1 >> 2
@@ -123,7 +123,7 @@ class Lanes:
 
     def find(self, code: np.ndarray) -> np.ndarray:
         """Ids (ranks) whose intervals hold ``code``."""
-        t = np.minimum((code - self.low) // self.unit, U((1 << WEIGHT_BITS + self.bits) - 1)).astype(np.int64)
+        t = np.minimum((code - self.low) // self.unit, U((1 << WEIGHT_BITS + self.bits) - 1)).astype(np.int32)
         swap = self.guess1 < self.guess2
         a, b = np.minimum(self.guess1, self.guess2), np.maximum(self.guess1, self.guess2)
         mass_a = np.where(swap, self.w1, self.w2) << self.bits
@@ -134,8 +134,7 @@ class Lanes:
         end_b = self.w0 * self.starts.take(b + 1) + mass_a + mass_b
         plain = t - mass_a * (t >= end_a) - mass_b * (t >= end_b)
         # ends hold; a guess's own interval is wider than its order-0 share, and is told first
-        slot = np.clip(np.floor_divide(plain.astype(np.float64), self.w0), 0, (1 << self.bits) - 1).astype(np.int64)
-        found = self.slots.take(slot)
+        found = self.slots.take((plain / self.w0).astype(np.intp), mode="clip")  # quotients of small integers floor exactly
         found = np.where((t >= start_b) & (t < end_b), b, found)
         return np.where((t >= start_a) & (t < end_a), a, found)
 
@@ -146,12 +145,12 @@ class Lanes:
         held = self.w2 * hit2 + self.w1 * hit1
         self.low += self.unit * (self.w0 * start + (below << self.bits)).astype(U)
         self.range = self.unit * (self.w0 * share + (held << self.bits)).astype(U)
-        self.share2[self.at] = self.s2 + (hit2 * MOST - self.s2 >> 4)
-        self.share1[self.at] = self.s1 + ((hit1 & ~hit2) * MOST - self.s1 >> 4)
-        fresh = (ids << 2).astype(np.int32)
+        self.share2[self.at] = self.s2 + (hit2 * np.int32(MOST) - self.s2 >> 4)
+        self.share1[self.at] = self.s1 + ((hit1 & ~hit2) * np.int32(MOST) - self.s1 >> 4)
+        fresh = ids << 2
         self.table1[self.at1] = np.where(hit1, np.minimum(self.entry1 + 1, fresh + 3), fresh)
         self.table2[self.at2] = np.where(hit2, np.minimum(self.entry2 + 1, fresh + 3), fresh)
-        self.before, self.last = self.last, ids
+        self.before, self.last = self.last, ids.view(np.uint32)
         at = np.flatnonzero(self.range <= MASK)
         if len(at):
             low, width = self.low[at], self.range[at]
@@ -182,7 +181,7 @@ def encode_blocks(blocks: list[np.ndarray], table: IdTable) -> list[bytes]:
     if not blocks:
         return []
     order, lengths, alive = _by_length([len(b) for b in blocks])
-    grid = np.zeros((len(alive), len(blocks)), np.int64)
+    grid = np.zeros((len(alive), len(blocks)), np.int32)
     for lane, i in enumerate(order):
         grid[: lengths[lane], lane] = table.ranks[blocks[i]]
     model = Lanes(len(blocks), table)
@@ -240,12 +239,12 @@ def decode_blocks(blocks: list[bytes], table: IdTable) -> list[np.ndarray]:
             raise ValueError("a token block is damaged")
     order, lengths, alive = _by_length([h[1] for h in heads])
     n_words = [heads[i][2] // 4 for i in order]
-    words = np.zeros((len(blocks), max(n_words) + 2), np.uint64)
+    words = np.zeros((len(blocks), max(n_words) + 2), np.uint32)
     for lane, i in enumerate(order):
         words[lane, : n_words[lane]] = np.frombuffer(blocks[i], "<u4", offset=HEADER.size)
     model = Lanes(len(blocks), table)
     used = np.full(len(blocks), 2, np.int64)
-    code = words[:, 0] << U(32) | words[:, 1]
+    code = words[:, 0].astype(U) << U(32) | words[:, 1]
     last_word = words.shape[1] - 1
     grid = np.zeros((len(alive), len(blocks)), np.uint32)
     for step, n in enumerate(alive):

@@ -39,7 +39,7 @@ class BlockConfig:
     end_id: int = 2
     block_ids: int = 2_048
     segment_ids: int = 524_288
-    lanes: int = 3_072
+    lanes: int = 4_096
 
 
 SCHEMA = "segment long, doc_ids array<long>, n_ids array<long>, table binary, data binary"

@@ -24,13 +24,16 @@ from tokenizers import Tokenizer  # noqa: E402
 
 #: Pieces of one generation of what a worker remembers; two generations bound its memory.
 REMEMBER = 200_000
+#: Pieces whose ids a worker remembers; about 200 bytes each.
+REMEMBERED_IDS = 600_000
 
 _PIECE = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
 # letters, or others with the letters after them (a contraction's apostrophe), with the white space before
 _FINE_PIECE = re.compile(
     rb"[\x20\x09-\x0d]*(?:[A-Za-z\x80-\xff]+|[^A-Za-z\x80-\xff\x20\x09-\x0d]+[A-Za-z\x80-\xff]*)|[\x20\x09-\x0d]+"
 )
-_ASCII, _CONTROLS = bytes(range(128)), re.compile(rb"[\x1c-\x1f]")
+# what is neither a letter beyond ASCII nor white space that only some libraries know
+_PLAIN = bytes(sorted({*range(128)} - {*range(0x1C, 0x20)}))
 _ODD_CODES = (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)
 _ODD_SPACE = re.compile("[" + "".join(map(chr, _ODD_CODES)) + "]")
 
@@ -63,10 +66,6 @@ class _Remembered(dict):
             self.update(zip(missing, self.encode(missing), strict=True))
 
 
-def packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
-
-
 class WordCounts:
     """Token counts of texts under a tokenizer that drops white space."""
 
@@ -93,52 +92,115 @@ def _byte_lengths(tokenizer: Tokenizer) -> np.ndarray:
     return out
 
 
+class _Rows(dict):
+    """Row numbers of pieces; pieces met for the first time get the next ones and are listed as new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, piece: bytes) -> int:
+        row = self[piece] = len(self)
+        self.new.append(piece)
+        return row
+
+
 class PieceIds:
-    """Ids of texts, as packed little-endian unsigned 32-bit integers, under a byte-level tokenizer."""
+    """Ids of texts, as packed little-endian unsigned 32-bit integers, under a byte-level tokenizer.
+
+    Ids of remembered pieces stand joined in one array, so that a batch of texts is one look-up a piece and one
+    gather. Beyond ``REMEMBERED_IDS`` pieces the half that was used last stays.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.lengths = _byte_lengths(self.tokenizer)
-        self.known = _Remembered(self._ids)
-
-    def _ids(self, pieces: list[bytes]) -> list[bytes]:
-        # a piece without white space in front may only stand at the start of a text, else its first token changes
-        free = [p for p in pieces if p[0] > 32]
-        out = {p: packed(self.tokenizer.encode(p.decode(), add_special_tokens=False).ids) for p in free}
-        # white space alone only ends a text; within one it would join the next piece
-        blank = [p for p in pieces if p.isspace()]
-        out |= {p: packed(self.tokenizer.encode(p.decode(), add_special_tokens=False).ids) for p in blank}
-        rest = [p for p in pieces if p not in out]
-        if rest:
-            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(rest).decode()], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum(self.lengths[ids])
-            stops = np.cumsum(np.fromiter(map(len, rest), np.int64, len(rest)))
-            at = np.searchsorted(ends, stops)
-            if not np.array_equal(ends[at], stops):
-                raise ValueError("a token crosses the place between two pieces")
-            data = ids.tobytes()
-            cuts = [0, *((at + 1) * 4).tolist()]
-            out |= zip(rest, (data[a:b] for a, b in zip(cuts, cuts[1:])), strict=True)
-        return [out[p] for p in pieces]
+        self.rows = _Rows()
+        self.size, self.start, self.used = (np.zeros(0, np.int64) for _ in range(3))
+        self.ids = np.zeros(0, "<u4")
+        self.held = self.batch = 0
+
+    def _whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4")
+
+    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different pieces, joined in some order, and where each piece's ids start and how many they are."""
+        # a piece without white space in front may only stand at the start of a text, else its first token changes;
+        # white space alone only ends a text, within one it would join the next piece
+        free = np.fromiter((not p[:1].isspace() or p[-1:].isspace() for p in pieces), bool, len(pieces))
+        alone = [self._whole(pieces[i]) for i in np.flatnonzero(free)]
+        rest = [pieces[i] for i in np.flatnonzero(~free)]
+        # texts of moderate length: the library slows down on long ones
+        joined = [b"".join(rest[i : i + 256]).decode() for i in range(0, len(rest), 256)]
+        found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        ids = np.array(list(chain.from_iterable(e.ids for e in found)), "<u4")
+        ends = np.cumsum(self.lengths[ids])
+        stops = np.cumsum(np.fromiter(map(len, rest), np.int64, len(rest)))
+        at = np.searchsorted(ends, stops)
+        if not np.array_equal(ends[np.minimum(at, len(ends) - 1)], stops):
+            raise ValueError("a token crosses the place between two pieces")
+        sizes = np.zeros(len(pieces), np.int64)
+        starts = np.zeros(len(pieces), np.int64)
+        sizes[free] = [len(own) for own in alone]
+        starts[free] = np.cumsum(sizes[free]) - sizes[free]
+        sizes[~free] = np.diff(at, prepend=-1)
+        starts[~free] = np.cumsum(sizes[~free]) - sizes[~free] + sizes[free].sum()
+        return np.concatenate([*alone, ids]), starts, sizes
+
+    def _learn(self) -> None:
+        ids, starts, sizes = self._encode(self.rows.new)
+        self.rows.new = []
+        self.start = np.concatenate([self.start, self.held + starts])
+        self.size = np.concatenate([self.size, sizes])
+        self.used = np.concatenate([self.used, np.zeros(len(sizes), np.int64)])
+        end = self.held + len(ids)
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.held], np.zeros(self.held + 2 * len(ids), "<u4")])
+        self.ids[self.held : end] = ids
+        self.held = end
+
+    def _gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some rows, joined, and where each row's ids end."""
+        sizes = self.size[rows]
+        ends = np.cumsum(sizes)
+        return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[rows] - ends + sizes, sizes)], ends
+
+    def _forget(self) -> None:
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: REMEMBERED_IDS // 2])
+        ids, ends = self._gather(keep)
+        pieces = list(self.rows)
+        self.rows = _Rows()
+        self.rows.update((pieces[i], row) for row, i in enumerate(keep.tolist()))
+        self.ids, self.size, self.used = ids, self.size[keep], self.used[keep]
+        self.start, self.held = ends - self.size, len(ids)
 
     def _cut(self, text: bytes) -> list[bytes] | None:
-        if any(s in text for s in self.special) or _CONTROLS.search(text):
+        if any(s in text for s in self.special):
             return None
-        others = text.translate(None, _ASCII).decode()
-        if not others or others.isalpha():
+        others = text.translate(None, _PLAIN)
+        if not others or others.decode().isalpha():
             return _FINE_PIECE.findall(text)
-        return None if _ODD_SPACE.search(others) else _PIECE.findall(text)
+        return None if _ODD_SPACE.search(others.decode()) else _PIECE.findall(text)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         pieces = [self._cut(t) for t in texts]
-        self.known.learn([p for p in pieces if p])
-        return [
-            packed(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids)
-            if p is None
-            else b"".join(map(self.known.__getitem__, p))
-            for t, p in zip(texts, pieces, strict=True)
-        ]
+        flat = list(chain.from_iterable(filter(None, pieces)))
+        if len(self.rows) > REMEMBERED_IDS:
+            self._forget()
+        rows = np.fromiter(map(self.rows.__getitem__, flat), np.int64, len(flat))
+        if self.rows.new:
+            self._learn()
+        self.batch += 1
+        self.used[rows] = self.batch
+        ids, ends = self._gather(rows)
+        data = ids.tobytes()
+        stops = np.concatenate([[0], ends])[np.cumsum([len(p or ()) for p in pieces])] * 4
+        out, at = [], 0
+        for text, cut, stop in zip(texts, pieces, stops.tolist(), strict=True):
+            out.append(self._whole(text).tobytes() if cut is None else data[at:stop])
+            at = stop
+        return out
 
 
 @functools.cache
