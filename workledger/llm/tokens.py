@@ -25,7 +25,7 @@ from tokenizers import Tokenizer  # noqa: E402
 #: Pieces of one generation of what a worker remembers; two generations bound its memory.
 REMEMBER = 200_000
 #: Pieces whose ids a worker remembers; about 200 bytes each.
-REMEMBERED_IDS = 600_000
+REMEMBERED_IDS = 1_000_000
 
 _PIECE = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
 # letters, or others with the letters after them (a contraction's apostrophe), with the white space before
