@@ -37,9 +37,9 @@ class BlockConfig:
     """``lanes`` blocks are coded side by side; memory is in proportion to ``lanes * block_ids``."""
 
     end_id: int = 2
-    block_ids: int = 1_024
+    block_ids: int = 2_048
     segment_ids: int = 524_288
-    lanes: int = 8_192
+    lanes: int = 4_096
 
 
 SCHEMA = "segment long, doc_ids array<long>, n_ids array<long>, table binary, data binary"
