@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,23 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -
     return (
         left.withColumn("__spread", spread).join(right.withColumn("__spread", spread), ["__spread", key], how).drop("__spread")
     )
+
+
+def in_order(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """``df`` with ``place``, the number of each row (from 0) in the order of the columns ``order``.
+
+    Rows are dealt by range and numbered where they lie; a row a partition gives the rest. Rows equal in all of
+    ``order`` go to one task, so the last column should tell them apart where there may be many.
+    """
+    ordered = written(
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("__part", F.spark_partition_id())
+        .withColumn("__at", F.monotonically_increasing_id()),
+        name,
+    )
+    sizes = ordered.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    sizes = sizes.select("__part", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    placed = ordered.join(F.broadcast(sizes), "__part")
+    return placed.select(*df.columns, (F.col("__before") + F.col("__at") - F.col("__first")).alias("place"))
