@@ -247,10 +247,10 @@ def late_lines(lines: DataFrame, config: LineConfig = LineConfig()) -> DataFrame
         {"line_id": "one", "length": "one_length", "counts": "one_counts"}
     )
     probes = _keys(lines, _probe_places(config), "line_id", "counts").withColumnsRenamed({"line_id": "two", "counts": "two_counts"})
-    sizes = index.groupBy("probe").agg(F.count("*").alias("members"))
-    rare = skew_join(index, sizes.where(F.col("members") <= config.few), "probe").drop("members")
+    # written first, so that while they are few the index need not be moved to leave them out
+    crowded = written(index.groupBy("probe").agg(F.count("*").alias("members")).where(F.col("members") > config.few).select("probe"), "line-segments")
     none = [F.lit(None).cast("long").alias(c) for c in ("one", "one_counts")]
-    marks = rare.unionByName(sizes.where(F.col("members") > config.few).select("probe", *none, F.lit(None).cast("int").alias("one_length")))
+    marks = index.join(crowded, "probe", "left_anti").unionByName(crowded.select("probe", *none, F.lit(None).cast("int").alias("one_length")))
     reach = F.when(F.col("one_length") >= config.least_chars, 2 * config.distance).otherwise(2 * config.short_distance)
     pair = (F.col("one") != F.col("two")) & (_counts_differ("one_counts", "two_counts") <= reach)
     met = marks.join(probes, "probe").where(F.col("one").isNull() | pair)
