@@ -1,0 +1,186 @@
+"""The store: appends against a sequential reference, commits, and scans that read only what changed."""
+
+from __future__ import annotations
+
+import json
+import os
+import random
+import time
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from workledger.operators.store import TABLES, Store
+from workledger.schema import GRADES
+from workledger.sources.base import REGISTRY
+from workledger.sources.scan import own_failure, scan
+
+START = datetime(2024, 1, 1)
+LADDER = {g: i for i, g in enumerate(GRADES[:3])}
+
+
+def row(name, **values):
+    return tuple(values.get(f.name) for f in TABLES[name][0])
+
+
+def revision(name, key, record, at, supersedes, **values):
+    _, record_name, key_name = TABLES[name]
+    return row(name, **{key_name: key, record_name: record, "recorded_at": START + timedelta(minutes=at), "supersedes": supersedes}, **values)
+
+
+class Sequential:
+    """What one append after the other would keep."""
+
+    def __init__(self):
+        self.kept = {name: [] for name in ("crosswalks", "relations", "findings")}
+
+    def head(self, name, key):
+        mine = [r for r in self.kept[name] if r[TABLES[name][2]] == key]
+        return mine[-1] if mine else None
+
+    def append(self, name, batch):
+        schema, record, key = TABLES[name]
+        rows = [dict(zip(schema.names, r, strict=True)) for r in batch]
+        for r in sorted(rows, key=lambda r: (r["recorded_at"], r[record])):
+            if all(x[record] != r[record] for x in self.kept[name]) and self.follows(name, r, self.head(name, r[key])):
+                self.kept[name].append(r)
+
+    def follows(self, name, r, head):
+        if name == "crosswalks":
+            return r["supersedes"] == (head and head["record_id"])
+        if name == "findings":
+            if head is None:
+                return r["supersedes"] is None
+            forward = r["grade"] == "refuted" or (head["grade"] != "refuted" and LADDER[r["grade"]] >= LADDER[head["grade"]])
+            return r["supersedes"] == head["revision_id"] and r["kind"] == head["kind"] and r["recorded_at"] > head["recorded_at"] and forward
+        if head is None:
+            return r["state"] == "asserted" and r["supersedes"] is None
+        asserted = [x for x in self.kept[name] if x["relation_id"] == r["relation_id"] and x["state"] == "asserted"]
+        if head["state"] == "refuted":
+            return False
+        if r["state"] == "asserted":
+            return bool(set(r["evidence_event_ids"]) - {e for x in asserted for e in x["evidence_event_ids"]})
+        return r["supersedes"] == head["record_id"] and r["recorded_at"] > max(x["recorded_at"] for x in asserted)
+
+
+def drawn_batch(draw, part, reference, n=50):
+    """Revisions that now follow their history, now another record, now none."""
+    out = {"crosswalks": [], "relations": [], "findings": []}
+    for i in range(n):
+        for name, rows in out.items():
+            key, record = f"{name}{draw.randrange(5)}", f"{part}-{i}"
+            head = reference.head(name, key)
+            near = [f"{part}-{j}" for j in range(max(0, i - 4), i)]
+            supersedes = draw.choice([None, *near, *([head[TABLES[name][1]]] * 4 if head else [])])
+            extra = {"state": draw.choice(["asserted"] * 4 + ["refuted"]), "kind": draw.choice("kkkj"), "grade": draw.choice(GRADES), "evidence_event_ids": draw.sample("abcdefgh", draw.randrange(3))}
+            rows.append(revision(name, key, record, part * 40 + draw.randrange(60), supersedes, **extra))
+    return out
+
+
+def test_batches_onto_stored_heads(spark, tmp_path):
+    draw, reference, store = random.Random(5), Sequential(), Store(spark, f"file://{tmp_path}/store", buckets=3)
+    for part in range(2):
+        batch = drawn_batch(draw, part, reference)
+        store.append({name: spark.createDataFrame(rows, TABLES[name][0]) for name, rows in batch.items()})
+        for name, rows in batch.items():
+            reference.append(name, rows)
+            found = store.read(name).orderBy("sequence").collect()
+            assert [r[TABLES[name][1]] for r in found] == [r[TABLES[name][1]] for r in reference.kept[name]]
+            assert [r["sequence"] for r in found] == list(range(len(found))) and found
+    again = {name: spark.createDataFrame(rows, TABLES[name][0]) for name, rows in batch.items()}
+    before = {r["table"]: r["n"] for r in store.commits().where("number = 2").select("table", F.col("inserted").alias("n")).collect()}
+    store.append(again)
+    third = {r["table"]: r for r in store.commits().where("number = 3").collect()}
+    assert all(third[name]["inserted"] == 0 and third[name]["replayed"] == before[name] for name in batch)
+
+
+def test_events_that_conflict_go_to_quarantine(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    event = lambda id_, native, location="x": row("events", event_id=id_, kind="turn", adapter="a", native_id=native, location=location, recorded_at=START)
+    events = lambda *rows: {"events": spark.createDataFrame(list(rows), TABLES["events"][0])}
+    store.append(events(event("e1", "1"), event("e1", "1"), event("e2", "2"), event("e2", "2", "y")))
+    assert sorted(r.event_id for r in store.read("events").collect()) == ["e1", "e2"]
+    store.append(events(event("e1", "1"), event("e1", "1", "z"), event("e3", "1"), event("e4", "4"), event(None, "5")))
+    assert sorted(r.event_id for r in store.read("events").where("event_id is not null").collect()) == ["e1", "e2", "e4"]
+    refused = sorted((r.id, r.verdict) for r in store.read("quarantine").collect())
+    assert refused == [("e1", "conflict"), ("e2", "conflict"), ("e3", "conflict")]
+
+
+def test_a_batch_without_its_commit_is_not_seen(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    link = spark.createDataFrame([revision("crosswalks", "k", "r1", 0, None)], TABLES["crosswalks"][0])
+    assert store.read("crosswalks").count() == 0 and store.manifest().count() == 0
+    store.append({"crosswalks": link})
+    link.withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(f"{store.path}/crosswalks/batch=died")
+    assert [r.record_id for r in store.read("crosswalks").collect()] == ["r1"]
+    store.append({"crosswalks": spark.createDataFrame([], TABLES["crosswalks"][0])})
+    assert [r.sequence for r in store.read("crosswalks").collect()] == [0]
+
+
+ENTRY = {"kind": "blocker", "ts": "2024-01-02T00:00:00Z", "content": "c", "tags": ["needs:human"], "refs": ["u"]}
+
+
+def put(folder, name, *ids):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("".join(json.dumps(ENTRY | {"id": i}) + "\n" for i in ids))
+
+
+def runs_of(found):
+    (run,) = found.collect()
+    return {c: run[c] for c in ("status", "sources_discovered", "sources_read", "sources_unchanged", "sources_outside_window", "sources_failed")} | {"message": run["message"]}
+
+
+def test_scans_read_what_changed(spark, tmp_path):
+    inbox, store = tmp_path / "inbox", Store(spark, f"file://{tmp_path}/store")
+    roots = {"george": f"file://{inbox}"}
+    inbox.mkdir()
+    assert runs_of(scan(store, roots))["status"] == "empty"
+    put(inbox, "a.jsonl", "1", "2")
+    put(inbox, "b.jsonl", "3")
+    first = runs_of(scan(store, roots))
+    assert (first["sources_discovered"], first["sources_read"], first["sources_unchanged"]) == (2, 2, 0)
+    stored = store.read("events").count()
+    second = runs_of(scan(store, roots))
+    assert (second["sources_read"], second["sources_unchanged"]) == (0, 2) and store.read("events").count() == stored
+    put(inbox, "b.jsonl", "3", "4")  # a grown file is read again, its old records are replays
+    third = runs_of(scan(store, roots))
+    assert (third["sources_read"], third["sources_unchanged"]) == (1, 1)
+    assert store.read("events").count() > stored
+    last = {r["table"]: r for r in store.commits().where("number = 4").collect()}
+    assert last["events"]["replayed"] == last["events"]["inserted"] > 0
+    numbers = sorted(r.sequence for r in store.read("crosswalks").collect())
+    assert numbers == list(range(len(numbers))) and numbers
+    # another window or policy is another question
+    assert runs_of(scan(store, roots, until="2024-01-01T00:00:00Z"))["sources_read"] == 2
+    assert runs_of(scan(store, roots, policy="full"))["sources_read"] == 2
+    assert runs_of(scan(store, roots, policy="full"))["sources_read"] == 0
+    assert runs_of(scan(store, roots, policy="full", force=True))["sources_read"] == 2
+    old = time.time() - 10_000_000
+    os.utime(inbox / "a.jsonl", (old, old))
+    since = datetime.fromtimestamp(old + 1000).isoformat()
+    assert runs_of(scan(store, roots, since=since))["sources_outside_window"] == 1
+
+
+def test_a_failing_source_is_read_again_and_stops_no_other(spark, tmp_path, monkeypatch):
+    store, inbox = Store(spark, f"file://{tmp_path}/store"), tmp_path / "inbox"
+    put(inbox, "a.jsonl", "1")
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "x").write_text("x")
+
+    def broken(spark, path, **options):
+        raise ValueError("no such layout")
+
+    monkeypatch.setitem(REGISTRY, "broken", broken)
+    for _ in range(2):
+        runs = {r.adapter: r for r in scan(store, {"broken": f"file://{tmp_path}/other", "george": f"file://{inbox}"}).collect()}
+        assert runs["broken"]["status"] == "error" and "no such layout" in runs["broken"]["message"] and runs["broken"]["sources_failed"] == 1
+    assert runs["george"]["status"] == "ok" and runs["george"]["sources_unchanged"] == 1
+
+    def lost(spark, path, **options):
+        raise OSError("disk full")
+
+    monkeypatch.setitem(REGISTRY, "broken", lost)
+    with pytest.raises(OSError, match="disk full"):
+        scan(store, {"broken": f"file://{tmp_path}/other"})
+    assert not own_failure(OSError("x")) and own_failure(KeyError("x"))
