@@ -70,6 +70,39 @@ def test_attribution_states_and_conservation(spark):
     won = {r.event_id: (r.outcome_node, len(r.steps)) for r in got.where("state = 'attributed'").collect()}
     assert won == {"x0": (f"git.commit{SEP}g0", 2), "x2": (f"fab.job{SEP}j2", 1)}
     assert attribution.path_evidence(got).count() == 2
+    steps = {r.event_id: [(s.source, s.target) for s in r.steps] for r in got.where("state = 'attributed'").collect()}
+    assert steps["x0"] == [(f"somm.call{SEP}c0", f"fab.job{SEP}j0"), (f"fab.job{SEP}j0", f"git.commit{SEP}g0")]
+
+
+def test_proposals_of_another_snapshot_model_or_floor_are_refused(spark):
+    config = motifs.MotifConfig("2024-01-01", "2024-02-01")
+    rows = [("s1", "codex", 1), ("s2", "codex", 2), ("s2", "codex", 2)]
+    facets = lambda r: spark.createDataFrame(r, "session_id string, adapter string, n int")
+    snapshot = motifs.facet_snapshot(facets(rows), config)
+    assert snapshot == motifs.facet_snapshot(facets(rows[::-1]).repartition(3), config)
+    assert snapshot != motifs.facet_snapshot(facets(rows[1:]), config)
+    assert snapshot != motifs.facet_snapshot(facets(rows), motifs.MotifConfig("2024-01-01", "2024-02-02"))
+    said = {"source_snapshot": snapshot, "model": "m", "harness": "h", "parameters_digest": "p"}
+    known = {"generator": "failure-motif", "model": "m", "harness": "h", "parameters_digest": "p", "recurrence_floor": 3, "aggregation_floor": 2}
+    motifs.check_synthesis(snapshot, said, None, config)
+    motifs.check_synthesis(snapshot, said, known, config)
+    for change, reason in (({"generator": "gates"}, "generator"), ({"model": "n"}, "model"), ({"recurrence_floor": 4}, "floors"), ({"aggregation_floor": 3}, "floors")):
+        with pytest.raises(ValueError, match=reason):
+            motifs.check_synthesis(snapshot, said, known | change, config)
+    with pytest.raises(ValueError, match="snapshot"):
+        motifs.check_synthesis("other", said, None, config)
+
+
+def test_families_are_found_from_their_seeds(spark):
+    """Through parents that are not stored, up and down, in a cycle, and nothing that no root asks for."""
+    rows = [("a", None, "s"), ("b", "lost", None), ("c", "lost", "s"), ("d", "b", None), ("x", "y", None), ("y", "x", None), ("z", None, None), ("self", "self", None)]
+    events = spark.createDataFrame(rows, "event_id string, parent_event_id string, session_id string")
+    seeds = spark.createDataFrame([("r1", "a"), ("r2", "x"), ("r3", "z"), ("r4", "nowhere"), ("r4", "self"), ("r5", "d")], "root string, node string")
+    got = {}
+    for r in graph.family_closure(seeds, events).collect():
+        got.setdefault(r.root, set()).add(r.node)
+    whole = {"a", "s", "c", "lost", "b", "d"}
+    assert got == {"r1": whole, "r2": {"x", "y"}, "r3": {"z"}, "r4": {"nowhere", "self"}, "r5": whole}
 
 
 def test_components_and_depth(spark):

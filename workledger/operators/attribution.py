@@ -103,9 +103,26 @@ def attribute(
     ``costs`` are selected observations; crosswalks and relations are current states. Of the eligible outcomes
     those of the strongest type compete: one wins, several are ambiguous.
     """
+    judged, _, edges = judge(costs, events, outcomes, crosswalks, relations, types, max_depth)
+    shown = graph.steps_of(judged.where("path is not null"), edges)  # only of what won
+    return judged.join(shown, "path", "left").drop("path")
+
+
+def judge(
+    costs: DataFrame,
+    events: DataFrame,
+    outcomes: DataFrame,
+    crosswalks: DataFrame,
+    relations: DataFrame,
+    types: tuple[str, ...] = OUTCOME_TYPES,
+    max_depth: int = 8,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``attribute``, with the winner's ``path`` for its steps; the candidates of every cost (``event_id, node,
+    outcome_type, rank, eligible, path``); and the placed edges that paths are numbers of.
+    """
     costs = graph.written(costs, "costs")  # both are read several times below
     candidates = graph.written(outcome_candidates(outcomes, types), "candidates")
-    edges = graph.attribution_graph(crosswalks, relations, outcomes)
+    edges = graph.placed_edges(graph.attribution_graph(crosswalks, relations, outcomes))
     rooted = graph.written(cost_roots(costs, events).withColumn("start", F.sha2(F.array_join("roots", "\0").cast("binary"), 256)), "roots")
     starts = rooted.select("start", "roots").dropDuplicates(["start"]).select("start", F.explode("roots").alias("node"))
     found = graph.walks(starts, edges, max_depth).join(candidates.select("node", "outcome_type", "rank"), "node")
@@ -115,21 +132,22 @@ def attribute(
         found.groupBy("start", "node", "outcome_type", "rank")
         .agg(
             F.max("used").alias("by_relation"),
-            F.min_by("steps", F.when(F.col("used"), 0).otherwise(1)).alias("steps"),
+            F.min_by("path", F.when(F.col("used"), 0).otherwise(1)).alias("path"),
         )
         .withColumn("eligible", F.col("by_relation") & ~receipt)
     )
-    per_cost = rooted.select("event_id", "start").join(options, "start").select("event_id", "node", "outcome_type", "rank", "steps", "eligible")
+    per_cost = rooted.select("event_id", "start").join(options, "start").select("event_id", "node", "outcome_type", "rank", "path", "eligible")
     direct = receipt_links(costs, events, relations, candidates)
     rank = OUTCOME_TYPES.index(RECEIPT_OUTCOME) + 1
     direct = direct.select(
         "event_id", "node", F.lit(RECEIPT_OUTCOME).alias("outcome_type"), F.lit(rank).cast("long").alias("rank"),
-        F.lit(None).cast(options.schema["steps"].dataType).alias("steps"), F.lit(True).alias("eligible"),
+        F.lit(None).cast("array<long>").alias("path"), F.lit(True).alias("eligible"),
     )
-    every = (
+    every = graph.written(
         per_cost.unionByName(direct)
         .groupBy("event_id", "node", "outcome_type", "rank")
-        .agg(F.max("eligible").alias("eligible"), F.first("steps", ignorenulls=True).alias("steps"))
+        .agg(F.max("eligible").alias("eligible"), F.first("path", ignorenulls=True).alias("path")),
+        "options",
     )
     verdict = every.groupBy("event_id").agg(
         F.count("*").alias("n_candidates"),
@@ -141,7 +159,7 @@ def attribute(
         .join(verdict.select("event_id", "best"), "event_id")
         .where("rank = best")
         .groupBy("event_id")
-        .agg(F.count("*").alias("n_best"), F.first("steps", ignorenulls=True).alias("steps"))
+        .agg(F.count("*").alias("n_best"), F.first("path", ignorenulls=True).alias("path"))
     )
     reason = (
         F.when(F.col("start").isNull(), "no-root-reference")
@@ -153,7 +171,7 @@ def attribute(
     states = F.create_map(*(F.lit(v) for pair in REASON_STATE.items() for v in pair))
     won = F.col("reason") == "exact-directed-path"
     named = candidates.select(F.col("node").alias("outcome_node"), F.col("outcome_type").alias("outcome_type"), F.col("status").alias("outcome_status"), F.col("event_id").alias("outcome_event_id"))
-    return (
+    judged = (
         costs.join(rooted.select("event_id", "start"), "event_id", "left")
         .join(verdict, "event_id", "left")
         .join(at_best, "event_id", "left")
@@ -161,10 +179,11 @@ def attribute(
         .withColumn("state", F.element_at(states, F.col("reason")))
         .withColumn("outcome_node", F.when(won, F.col("winner.node")))
         .withColumn("outcome_type", F.when(won, F.col("winner.outcome_type")))
-        .withColumn("steps", F.when(won, F.col("steps")))
+        .withColumn("path", F.when(won, F.col("path")))
         .join(named, ["outcome_node", "outcome_type"], "left")
         .drop("start", "best", "winner", "n_best")
     )
+    return graph.written(judged, "attributed"), every, edges
 
 
 def path_evidence(attributed: DataFrame) -> DataFrame:

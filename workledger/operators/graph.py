@@ -6,12 +6,12 @@ Minima and distinct combine before the shuffle; no node's neighbours are gathere
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from workledger.functions.ids import ref
 from workledger.schema import SUPPORTING
-from workledger.shared import skew_join, written
+from workledger.shared import in_order, skew_join, written
 
 MAX_ROUNDS = 60
 
@@ -126,6 +126,24 @@ def event_families(events: DataFrame) -> DataFrame:
     return skew_join(ids.distinct(), components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
+def family_closure(seeds: DataFrame, events: DataFrame) -> DataFrame:
+    """``(root, node)`` -> ``root, node`` of every id in the families of a root's seeds: up and down ancestry, through sessions
+    and through parents that are not stored.
+
+    The search starts from what is asked and each level takes only ids that are new to their root, so what no
+    root asks for is never walked; a session of very many events is split among tasks.
+    """
+    up = F.array_compact(F.array("parent_event_id", "session_id"))
+    one = events.select(F.col("event_id").alias("node"), F.explode(up).alias("other")).where("node <> other").distinct()
+    ways = written(one.unionByName(one.select(F.col("other").alias("node"), F.col("node").alias("other"))), "ancestry")
+    seen = frontier = written(seeds.select("root", "node").distinct(), "family")
+    while not frontier.isEmpty():
+        moved = skew_join(frontier, ways, "node").select("root", F.col("other").alias("node")).distinct()
+        frontier = written(moved.join(seen, ["root", "node"], "left_anti"), "family")
+        seen = seen.unionByName(frontier)
+    return seen
+
+
 def lineage(costs: DataFrame, events: DataFrame) -> DataFrame:
     """``(event_id, parent_event_id, session_id)`` costs -> ``cost_id, event_id`` of every stored ancestor.
 
@@ -145,34 +163,50 @@ def lineage(costs: DataFrame, events: DataFrame) -> DataFrame:
     return seen
 
 
-def walks(roots: DataFrame, edges: DataFrame, max_depth: int = 8) -> DataFrame:
-    """``(start, node)`` -> ``start, node, used, depth, steps`` of the first walk to each (node, used).
+#: What a step of a walk is shown as.
+STEP = ("kind", "source", "target", "edge_id", "revision_id", "predicate", "direction", "evidence_event_ids")
+
+
+def placed_edges(edges: DataFrame) -> DataFrame:
+    """``edges`` with ``edge``, their number in the order (target, kind, edge_id, direction, source)."""
+    rows = edges.select(*STEP, "establishes")
+    order = ("target", "kind", "edge_id", "direction", "source")
+    return written(in_order(rows, "edges", *order).withColumnRenamed("place", "edge"), "placed-edges")
+
+
+def walks(roots: DataFrame, placed: DataFrame, max_depth: int = 8) -> DataFrame:
+    """``(start, node)`` over ``placed_edges`` -> ``start, node, used, depth, path`` of the first walk to each (node, used).
 
     ``used`` tells whether the walk has passed an edge that establishes a relation. Among walks of equal
-    length the first in the order of breadth-first search from sorted roots over sorted edges is kept.
+    length the first in the order of breadth-first search from sorted roots over sorted edges is kept: that of the
+    smallest ``path``, the root's number and those of the edges. So the search carries a long a step, and nothing is
+    ranked between levels; ``steps_of`` says what the numbers stand for.
     """
-    step = F.struct("kind", "source", "target", "edge_id", "revision_id", "predicate", "direction", "evidence_event_ids")
-    steps = written(edges.withColumn("step", step).select("source", "target", "kind", "edge_id", "direction", "establishes", "step"), "edges")
-    order = Window.partitionBy("start")
-    none = F.filter(F.array(F.struct(*(F.lit(None).cast("string").alias(c) for c in ("kind", "source", "target", "edge_id", "revision_id", "predicate", "direction")), F.array().cast("array<string>").alias("evidence_event_ids"))), lambda x: F.lit(False))
-    first = roots.select("start", "node").distinct().withColumn("rk", F.row_number().over(order.orderBy("node")))
+    fewest = placed.groupBy("source", "target", "establishes").agg(F.min("edge").alias("edge"))
+    steps = written(fewest.withColumnRenamed("source", "node"), "steps")
+    numbers = in_order(roots.select("node").distinct(), "roots", "node")
+    first = skew_join(roots.select("start", "node").distinct(), numbers, "node")
     seen = frontier = written(
-        first.select("start", "node", F.lit(False).alias("used"), F.col("rk").cast("long").alias("rk"), F.lit(0).alias("depth"), none.alias("steps")),
-        "walks",
-    )
+        first.select("start", "node", F.lit(False).alias("used"), F.lit(0).alias("depth"), F.array("place").alias("path")), "walks"
+    )
     for depth in range(1, max_depth + 1):
-        moved = frontier.join(steps, frontier["node"] == steps["source"]).select(
-            "start",
-            F.col("target").alias("node"),
-            (F.col("used") | F.col("establishes")).alias("used"),
-            F.struct("rk", "target", "kind", "edge_id", "direction").alias("key"),
-            F.concat("steps", F.array("step")).alias("steps"),
+        moved = skew_join(frontier, steps, "node").select(
+            "start", F.col("target").alias("node"), (F.col("used") | F.col("establishes")).alias("used"), F.array_append("path", F.col("edge")).alias("path")
         )
-        best = moved.groupBy("start", "node", "used").agg(F.min_by("steps", "key").alias("steps"), F.min("key").alias("key"))
-        fresh = best.join(seen, ["start", "node", "used"], "left_anti")
-        ranked = fresh.withColumn("rk", F.row_number().over(order.orderBy("key")).cast("long")).withColumn("depth", F.lit(depth))
-        frontier = written(ranked.select("start", "node", "used", "rk", "depth", "steps"), "walks")
+        fresh = moved.join(seen.select("start", "node", "used"), ["start", "node", "used"], "left_anti")
+        best = fresh.groupBy("start", "node", "used").agg(F.min("path").alias("path"))
+        frontier = written(best.select("start", "node", "used", F.lit(depth).alias("depth"), "path"), "walks")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-    return seen.drop("rk")
+    return seen
+
+
+def steps_of(paths: DataFrame, placed: DataFrame) -> DataFrame:
+    """``path`` -> ``path, steps`` of each distinct one, its edges in order; a path is at most as long as the search is deep."""
+    distinct = paths.select("path").distinct()
+    edges = placed.select(F.col("edge"), F.struct(*STEP).alias("step"))
+    passed = distinct.where(F.size("path") > 1).select("path", F.posexplode(F.slice("path", F.lit(2), F.size("path") - 1)).alias("at", "edge"))
+    rows = skew_join(passed, edges, "edge").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("at", "step"))).alias("rows"))
+    none = F.filter(F.array(F.struct(*(F.lit(None).cast(placed.schema[c].dataType).alias(c) for c in STEP))), lambda x: F.lit(False))
+    return distinct.join(rows, "path", "left").select("path", F.coalesce(F.transform("rows", lambda r: r["step"]), none).alias("steps"))

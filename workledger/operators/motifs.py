@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from workledger.functions.coerce import error_category, failed_action
-from workledger.functions.ids import stable_id
+from workledger.functions.ids import ref, stable_id
+from workledger.operators import graph
+from workledger.operators.activity import family_events, reference_events
 
 TERMINAL = ("failed", "reverted", "abandoned")
 
@@ -69,6 +71,61 @@ def failure_facets(sessions: DataFrame, tools: DataFrame, outcomes: DataFrame, e
     )
 
 
+#: Adapters whose sessions other sources may refer to, and by which namespace.
+SESSION_NAMESPACES = {
+    "claude-code": "claude-code.session", "codex": "codex.session", "fab": "fab.job", "hermes": "hermes.session", "opencode": "opencode.session",
+}
+
+
+def corroborating_receipts(facets: DataFrame, own: DataFrame, events: DataFrame, crosswalks: DataFrame, relations: DataFrame, cutoff: str, max_depth: int = 4) -> DataFrame:
+    """``session_id, event_id`` of outcomes that vouch for sessions without a receipt of their own.
+
+    ``facets``: session_id, adapter, native_id. ``own``: session_id, event_id. From a session's reference current links
+    and relations are walked; every stored event that a reached reference names brings its family, and the family's
+    outcomes before the cutoff count. Adapters whose sessions nothing refers to have none.
+    """
+    known = F.create_map(*(F.lit(v) for pair in SESSION_NAMESPACES.items() for v in pair))
+    asked = facets.join(own.select("session_id"), "session_id", "left_anti").select("session_id", ref(F.try_element_at(known, "adapter"), "native_id").alias("node"))
+    roots = asked.where("node is not null").select(F.col("session_id").alias("root"), "node")
+    edges = graph.crosswalk_edges(crosswalks).unionByName(graph.relation_edges(relations))
+    seeds = reference_events(graph.reachable(roots, edges, max_depth), events).select("root", F.col("event_id").alias("node"))
+    family = family_events(seeds, events)
+    vouching = family.where("kind = 'outcome'").where(F.col("occurred_at") < F.lit(cutoff).cast("timestamp"))
+    return vouching.select(F.col("asked").alias("session_id"), "event_id").distinct()
+
+
+def session_receipts(facets: DataFrame, own: DataFrame, corroborating: DataFrame) -> DataFrame:
+    """``session_id, event_id``: the union of each known session's own and corroborating receipts, a row each."""
+    both = own.select("session_id", "event_id").unionByName(corroborating.select("session_id", "event_id")).distinct()
+    return both.join(facets.select("session_id").distinct(), "session_id", "left_semi")
+
+
+def facet_snapshot(facets: DataFrame, config: MotifConfig) -> str:
+    """An id of a window's facets as a set: the same for the same rows in any order, without gathering them."""
+    one = F.xxhash64(*sorted(facets.columns))
+    bounds = (config.since, config.cutoff, config.recurrence_floor, config.receipt_floor, config.aggregation_floor)
+    whole = facets.agg(F.count("*").alias("n"), F.sum(one.cast("decimal(38,0)")).alias("s"), F.bit_xor(one).alias("x"))
+    return whole.select(stable_id("mfs", *(F.lit(str(b)) for b in bounds), "n", "s", "x").alias("id")).head()["id"]
+
+
+def check_synthesis(snapshot: str, synthesis: dict, evaluation: dict | None, config: MotifConfig) -> None:
+    """Refuse proposals that were not made of this snapshot, or that the evaluation at hand says nothing about.
+
+    ``synthesis``: source_snapshot, model, harness, parameters_digest. ``evaluation``: generator, model, harness,
+    parameters_digest, recurrence_floor, aggregation_floor. A scan may tighten the floors that were measured, not weaken them.
+    """
+    if synthesis["source_snapshot"] != snapshot:
+        raise ValueError("the proposals were made of another snapshot")
+    if evaluation is None:
+        return
+    if evaluation["generator"] != "failure-motif":
+        raise ValueError("the evaluation is of another generator")
+    if any(evaluation[k] != synthesis[k] for k in ("model", "harness", "parameters_digest")):
+        raise ValueError("the evaluation is of another model, harness or set of parameters")
+    if config.recurrence_floor < evaluation["recurrence_floor"] or config.aggregation_floor < evaluation["aggregation_floor"]:
+        raise ValueError("the floors are below those that were measured")
+
+
 def supports(motif: Column) -> Column:
     """Whether a facet row supports a motif."""
     drift = (F.col("scope_changes") > 0) & F.arrays_overlap("outcome_statuses", F.array(*(F.lit(t) for t in TERMINAL)))
@@ -84,7 +141,8 @@ def supports(motif: Column) -> Column:
 def assess_proposals(proposals: DataFrame, facets: DataFrame, receipts: DataFrame, decision: str, config: MotifConfig) -> DataFrame:
     """``motif_id, state, reason, sessions, supported, with_receipt, grade`` for each proposal.
 
-    ``proposals``: motif_id, session_ids. ``receipts``: session_id of sessions with at least one receipt.
+    ``proposals``: motif_id, session_ids. ``receipts``: session_id of sessions with at least one receipt, as
+    ``session_receipts`` finds them.
     ``decision``: what the evaluation allows (surface, narrow or offline).
     """
     rows = proposals.select("motif_id", F.explode(F.array_distinct("session_ids")).alias("session_id"))
