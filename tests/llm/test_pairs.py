@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,6 +154,21 @@ def test_short_lines_are_near_copies_at_one_edit(spark):
     assert {r.doc_id: tuple(r)[1:] for r in line_report(docs).collect()} == {1: (2, 0, 0, 2), 2: (2, 0, 1, 1)}
 
 
+def test_lines_of_one_template(spark):
+    """Lines that share most segments are told apart by what is rare in them; texts of all kinds of difference."""
+    draw = random.Random(6)
+    lines = {"session id " + "".join(draw.choice("0123456789abcdef") for _ in range(10)) + " closed by the remote peer after a timeout" for _ in range(300)}
+    for line in sorted(lines)[:60]:
+        k = draw.randrange(11, 21)
+        lines.add(draw.choice([line[:k] + line[k + 1 :], line[:k] + "z" + line[k:], line[:k] + "yz" + line[k + 2 :], line[:3] + "!" + line[4:k] + line[k + 1 :], line + "é."]))
+    lines = sorted(lines)
+    counts = [Counter(x) for x in lines]
+    alike = lambda i, j: (counts[i] - counts[j]).total() <= 2 and (counts[j] - counts[i]).total() <= 2
+    want = {j for j, y in enumerate(lines) if any(alike(i, j) and distance(lines[i], y) <= 2 for i in range(j))}
+    assert late(spark, lines, LineConfig()) == want and len(want) >= 50
+    assert late(spark, lines, LineConfig(common=2)) == want
+
+
 def test_line_report_and_texts(spark):
     base = "the quick brown fox jumps over the lazy dog again"
     rows = [(1, f"{base}\nshort\n\n{base}"), (2, f"{base}s\nshort\nother"), (3, None), (4, ""), (None, base), (5, f"{base}s")]

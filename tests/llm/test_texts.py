@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ pytest.importorskip("workledger.llm")
 from workledger.llm.html import ARTICLE, blocks_of, main_blocks, main_text, neighbours, shared_lines  # noqa: E402
 from workledger.llm.mixing import MixConfig, entropy, mix, solve_exponent, weights_at  # noqa: E402
 from workledger.llm.quality import COUNTS, QualityConfig, quality, rule_statistics  # noqa: E402
-from workledger.llm.toxicity import ToxicityConfig, toxicity  # noqa: E402
+from workledger.llm.toxicity import ToxicityConfig, cross_validated, held_out, toxicity  # noqa: E402
 from workledger.llm.warc import WarcConfig, archived, dechunk, read_archives, records_in, write_archives  # noqa: E402
 
 PAGE = "page_id long, url string, html string"
@@ -99,6 +100,15 @@ def test_copies_and_passages_of_two_pages_survive_differencing(spark):
     assert {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, PAGE)).collect()} == want
 
 
+def test_articles_keep_what_others_say_too(spark):
+    """Opening and closing lines that neighbours share are text where the article has a line of its own."""
+    page = lambda *x: "<div>Site name</div><article>" + "".join(f"<p>{y}</p>" for y in x) + "</article><p>All rights</p>"
+    rows = [(i, f"http://h.example/p/{i}", page("Dear readers", f"own {i}", "See you tomorrow")) for i in range(6)]
+    rows += [(10 + i, f"http://k.example/p/{i}", "<article><p>Only this</p></article><p>Between</p>" + f"<article><p>own {i}</p></article>") for i in range(5)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, PAGE)).collect()}
+    assert got == {i: f"Dear readers\nown {i}\nSee you tomorrow" for i in range(6)} | {10 + i: f"own {i}" for i in range(5)}
+
+
 def test_neighbours_over_the_edges_of_partitions(spark):
     rows = [(i, "a" if i < 30 else "b", f"/{i:03}", i) for i in range(50)]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
@@ -194,6 +204,19 @@ def test_rule_statistics_equal_brute_force(spark):
     assert got == {i: brute_counts(t) for i, t in enumerate(texts)}
 
 
+def test_l1_is_chosen_without_held_out_labels(spark):
+    draw = random.Random(3)
+    rows = [(i, " ".join(draw.choice("abcdefghij") * 3 for _ in range(12)) + (" vile wretch" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    wrong = labels.withColumn("toxic", F.when(held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    found = {r.l1: r for r in cross_validated(docs, labels, choices=(1.0, 400.0)).collect()}
+    assert found == {r.l1: r for r in cross_validated(docs, wrong, choices=(1.0, 400.0)).collect()}
+    assert found[1.0].log_loss < found[400.0].log_loss and found[1.0].found == found[1.0].toxic > 0 and found[1.0].wrong == 0
+    assert found[1.0].rows == sum(zlib.crc32(str(r[0]).encode()) % 5 != 0 for r in rows)
+    assert cross_validated(docs, labels.limit(0)).count() == 0
+
+
 def test_forest_rejects_what_the_base_rules_pass(spark):
     sf = "/root/testdata/sf0.01"
     rows = quality(spark.read.parquet(f"{sf}/documents.parquet"), labels := spark.read.parquet(f"{sf}/labels.parquet"))
@@ -251,3 +274,17 @@ def test_schedule_meets_budgets_to_within_a_document(spark):
         uses.setdefault((r.source, r.doc_id), []).append(r["pass"])
     assert all(sorted(p) == list(range(1, len(p) + 1)) for p in uses.values())
     assert mix(docs.limit(0), config).count() == 0
+
+
+def test_every_stretch_of_the_schedule_holds_the_target_shares(spark):
+    """Nineteen to one, also with rows that share a doc_id or have none."""
+    rows = [(None if i % 7 == 0 else i % 500, "small" if i % 20 == 0 else "big", "w " * (1 + i % 9)) for i in range(8000)]
+    config = MixConfig(entropy_share=0.95, block_tokens=2000)
+    got = sorted(mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), config).collect(), key=lambda r: (r.place, r.source))
+    assert all(0 <= r.place < 1 for r in got) and {r["pass"] for r in got if r.source == "small"} > {1, 2, 3}
+    total = {s: sum(r.n_tokens for r in got if r.source == s) for s in ("small", "big")}
+    share = total["small"] / sum(total.values())
+    for start in range(0, len(got) - 1000, 250):
+        part = got[start : start + 1000]
+        small = sum(r.n_tokens for r in part if r.source == "small")
+        assert abs(small / sum(r.n_tokens for r in part) - share) < 0.04

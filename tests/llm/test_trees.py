@@ -15,7 +15,8 @@ import xxhash  # noqa: E402
 
 from workledger.llm.manifest import ManifestConfig, manifest  # noqa: E402
 from workledger.llm.simhash import SimHashConfig, print_groups, simhash_groups  # noqa: E402
-from workledger.llm.trie import TrieConfig, bases, prefix_trie, products  # noqa: E402
+from workledger.llm.prefix import products  # noqa: E402
+from workledger.llm.trie import TrieConfig, bases, prefix_trie  # noqa: E402
 
 CONVERSATION = "conv_id long, turn long, role string, text string"
 DOCUMENT = "doc_id long, source string, lang string, n_chars long, text string"

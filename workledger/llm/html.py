@@ -227,16 +227,19 @@ def main_blocks(hashes: list[int], labels: bytes, others: list[list[int]]) -> li
     most = max(2, len(others) - 1)
     own = [times[i] < most for i in range(len(hashes))]
     least = ARTICLE if ARTICLE in labels else LOOSE
-    kept, open_, waiting = [], False, []
-    for i, label in enumerate(labels):
+    kept: list[int] = []
+    article: list[int] = []
+    for i, label in enumerate([*labels, LOOSE]):
         if label < least:
-            if label == LOOSE:
-                open_, waiting = False, []  # another article may follow
+            if label == LOOSE:  # an article ends; another may follow
+                kept += article if any(own[k] for k in article) else []
+                article = []
+        elif i == len(labels):
+            break
+        elif least == ARTICLE:
+            article.append(i)
         elif own[i]:
-            kept += [*waiting, i]
-            open_, waiting = least == ARTICLE, []
-        elif open_:
-            waiting.append(i)
+            kept.append(i)
     return kept
 
 

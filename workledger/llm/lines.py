@@ -301,7 +301,7 @@ def rare_grams(lines: DataFrame, edits: int, width: int) -> DataFrame:
     keep = width * edits + 1
     chars = F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0))
     cut = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - width), lambda i: F.xxhash64(*(F.get(c, i + k) for k in range(width))))
-    dealt = lines.where(F.col("length") >= keep + width - 1).repartition("line_id")  # a line becomes as many rows as it has characters
+    dealt = lines.where(F.col("length") >= keep + width - 1).hint("rebalance")  # a line becomes as many rows as it has characters
     grams = dealt.select("line_id", F.explode(_let(chars, cut)).alias("gram"))
     grams = written(grams, "line-grams")
     uses = grams.groupBy("gram").agg(F.count("*").alias("uses"))

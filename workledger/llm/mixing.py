@@ -4,10 +4,14 @@ Shares p become weights proportional to ``p ** exponent``. The exponent (1: as i
 bisection: the largest at which the entropy reaches its target, or else the smallest at which no source is
 repeated more often than allowed. Only one row a source meets in the driver.
 
-Weights are realised without a global sort. Every source is dealt by hash into blocks of about
+Weights are realised without a global sort of documents. Every source is dealt by hash into blocks of about
 ``block_tokens`` tokens, so a large source has many blocks; blocks are permuted by hash, whole passes repeat
 them, and a last, partial pass takes blocks in permuted order until the budget is met. Only the block in
-which the budget ends is cut, document by document, within itself.
+which the budget ends is cut, document by document, within itself. What lies before a block is a running sum over
+range partitions, so no source's blocks meet in one task.
+
+A use's ``place`` is the share of its source's budget that was used before it. Every source is spread over [0, 1) in
+proportion to its weight, so the order of places is one mixture: any stretch of it holds about the target shares.
 """
 
 from __future__ import annotations
@@ -19,18 +23,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from workledger.llm.common import skew_join, written
+from workledger.llm.prefix import products
 
 
 @dataclass(frozen=True)
 class MixConfig:
     """``budget`` tokens in all (null: as many as the input has). ``entropy_share`` is the target entropy as a
-    share of that of equal weights; ``max_repeats`` limits how often a source may be passed over.
+    share of that of equal weights; ``max_repeats`` limits how often a source may be passed over. A block has about
+    ``block_tokens`` tokens and ``block_rows`` rows at most.
     """
 
     budget: int | None = None
     entropy_share: float | None = None
     max_repeats: float | None = 2.0
     block_tokens: int = 200_000
+    block_rows: int = 20_000
     seed: int = 5
     steps: int = 80
 
@@ -96,13 +103,14 @@ def source_budgets(tokens: dict, config: MixConfig) -> dict:
 
 def mix(docs: DataFrame, config: MixConfig = MixConfig(), *carry: str) -> DataFrame:
     """``(doc_id, source, text)`` -> one row per use of a document: ``doc_id, source, n_tokens, pass, block,
-    position``; ordered by (pass, position, doc_id) a source's uses are its schedule. ``carry`` names further
-    columns of the rows to be shown with each use.
+    position, place``; in the order of ``place`` (ties by source and doc_id) the uses are the schedule. ``carry``
+    names further columns of the rows to be shown with each use.
 
     A document is used in every whole pass, and in the last pass if it starts before the budget ends, so a
     source gets its budget to within one document. A null source is a source of its own, shown as null.
     Documents without words have no tokens: they are used in whole passes and cost nothing. Repeated rows are
-    used as often as they occur. Rows without doc_id take part. No rows give no rows.
+    used as often as they occur. Rows without doc_id take part; they, and rows that share one, are dealt by where they
+    lie in the input. No rows give no rows. Names of ``carry`` must differ from the columns made here.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -110,49 +118,39 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig(), *carry: str) -> DataFr
         F.col("source").cast("string").alias("source"),
         F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit(""))).alias("key"),
         word_tokens().alias("n_tokens"),
+        F.monotonically_increasing_id().alias("row"),
         *carry,
     )
     sized = written(rows, "mix-tokens")
-    totals = {r["key"]: r["t"] for r in sized.groupBy("key").agg(F.sum("n_tokens").alias("t")).collect()}
-    wanted = source_budgets(totals, config)
-    plan = [
-        (k, t, max(1, -(-t // config.block_tokens)), wanted.get(k, 0) // t if t else 1, wanted.get(k, 0) % t if t else 0)
-        for k, t in totals.items()
-    ]
+    found = {r["key"]: r for r in sized.groupBy("key").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()}
+    wanted = source_budgets({k: r["t"] for k, r in found.items()}, config)
+    plan = []
+    for k, r in found.items():
+        t, w = r["t"], wanted.get(k, 0)
+        blocks = max(1, -(-t // config.block_tokens), -(-r["n"] // config.block_rows))
+        plan.append((k, t, w, blocks, w // t if t else 1, w % t if t else 0))
     if not plan:
         return sized.select(
-            "doc_id", "source", "n_tokens", *(F.lit(0).cast("long").alias(c) for c in ("pass", "block", "position")), *carry
+            "doc_id", "source", "n_tokens", *(F.lit(0).cast("long").alias(c) for c in ("pass", "block", "position")), F.lit(0.0).alias("place"), *carry
         )
-    sources = spark.createDataFrame(plan, "key string, total long, blocks long, passes long, rest long")
+    sources = spark.createDataFrame(plan, "key string, total long, wanted long, blocks long, passes long, rest long")
     seed = F.lit(config.seed)
-    dealt = sized.join(F.broadcast(sources), "key").withColumn(
-        "block", F.pmod(F.xxhash64("doc_id", seed), F.col("blocks"))
-    )
-    blocks = dealt.groupBy("key", "block").agg(F.sum("n_tokens").alias("tokens"), F.first("rest").alias("rest"))
-    order = Window.partitionBy("key").orderBy(F.xxhash64("block", "key", seed), "block")
-    ranked = (
-        blocks.withColumn("position", F.row_number().over(order).cast("long"))
-        .withColumn("before", F.sum("tokens").over(order) - F.col("tokens"))
-        .select("key", "block", "position", "before", "tokens")
+    dealt = skew_join(sized, sources, "key").withColumn("block", F.pmod(F.xxhash64("doc_id", "row", seed), F.col("blocks")))
+    blocks = dealt.groupBy("key", "block").agg(F.sum("n_tokens").alias("tokens")).withColumn("drawn", F.xxhash64("block", "key", seed))
+    ranked = products(blocks, "mix-blocks", "key", ["drawn", "block"], ["tokens"], [None]).select(
+        F.concat_ws(":", "block", "key").alias("kb"), F.col("n").alias("position"), (F.col("sum_tokens") - F.col("tokens")).alias("before"), "tokens"
     )
+    # a block is bounded, so its documents may be ordered in one task
+    within = Window.partitionBy("kb").orderBy(F.xxhash64("doc_id", "row", F.lit(config.seed + 1)), "row")
     placed = written(
-        skew_join(
-            dealt.withColumn("kb", F.concat_ws(":", "block", "key")),
-            ranked.select(F.concat_ws(":", "block", "key").alias("kb"), "position", "before", "tokens"),
-            "kb",
+        skew_join(dealt.withColumn("kb", F.concat_ws(":", "block", "key")), ranked, "kb").withColumn(
+            "ahead", F.col("before") + F.coalesce(F.sum("n_tokens").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         ),
         "mix-placed",
     )
-    whole = placed.where("passes > 0").select(
-        "doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes"))).alias("pass"), "block", "position", *carry
-    )
-    last = placed.where("rest > before").withColumn("pass", F.col("passes") + 1)
-    full = last.where("rest >= before + tokens")
-    within = Window.partitionBy("kb").orderBy(F.xxhash64("doc_id", F.lit(config.seed + 1)), "doc_id", "n_tokens", *carry)
-    cut = (
-        last.where("rest < before + tokens")
-        .withColumn("start", F.sum("n_tokens").over(within.rowsBetween(Window.unboundedPreceding, -1)))
-        .where(F.col("before") + F.coalesce("start", F.lit(0)) < F.col("rest"))
-    )
-    shown = ["doc_id", "source", "n_tokens", "pass", "block", "position", *carry]
-    return whole.select(*shown).union(full.select(*shown)).union(cut.select(*shown))
+    whole = placed.where("passes > 0").withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes"))))
+    last = placed.where("rest > ahead").withColumn("pass", F.col("passes") + 1)
+    share = ((F.col("pass") - 1) * F.col("total") + F.col("ahead")) / F.greatest("wanted", F.lit(1))
+    # without tokens there is no budget to be a share of
+    place = F.when(F.col("total") > 0, share).otherwise(F.pmod(F.xxhash64("row", seed), F.lit(1 << 30)) / F.lit(1 << 30)).cast("double")
+    return whole.union(last.select(*whole.columns)).select("doc_id", "source", "n_tokens", "pass", "block", "position", place.alias("place"), *carry)

@@ -116,15 +116,16 @@ def _encode(path: str, config: BlockConfig):
     return run
 
 
-def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, config: BlockConfig = BlockConfig()) -> None:
-    """``(doc_id, text)`` -> token files under ``path``.
+def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, config: BlockConfig = BlockConfig(), order: tuple[str, ...] = ()) -> None:
+    """``(doc_id, text)`` -> token files under ``path``, in the order of the columns ``order``, else of doc_id.
 
     A null or empty text is its end id alone. Rows without doc_id come first; rows that repeat a doc_id stand
     together in the order of their texts. No rows give files without segments. Other columns are not read.
     """
     python_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
-    sorted_ = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "body")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"), *(F.col(c).alias(f"order_{i}") for i, c in enumerate(order)))
+    keys = [f"order_{i}" for i in range(len(order))] or ["doc_id"]
+    sorted_ = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "doc_id", "body").select("doc_id", "body")
     coded = sorted_.mapInArrow(_encode(tokenizer_path, config), SCHEMA)
     coded.withColumn("shard", F.spark_partition_id().cast("long")).write.parquet(path)
 

@@ -11,7 +11,7 @@ most ``2 ** bits`` entries however large the corpus is, and is in practice a few
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -90,12 +90,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> dict[int, float]:
-    """``(doc_id, text)`` and ``(doc_id, toxic)`` -> non-zero weights by coordinate (``2 ** bits``: intercept).
-
-    Rows without id or label are not learned from; of repeated labels the larger counts. Without any row to
-    learn from there are no weights, and every score is 0.5.
-    """
+def _learnable(docs: DataFrame, labels: DataFrame, config: ToxicityConfig) -> DataFrame | None:
+    """``doc_id, body, toxic`` of the sample that may be learned from; none without any label."""
     usable = (
         labels.where("doc_id is not null and toxic is not null")
         .where(~held_out())
@@ -104,15 +100,52 @@ def learn(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
     )
     total = usable.count()
     if not total:
-        return {}
+        return None
     share = min(1.0, config.sample_rows / total)
     sample = usable.where(F.pmod(F.xxhash64("label_id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    chosen = docs.select("doc_id", text_bytes().alias("body")).join(
-        F.broadcast(sample), F.col("doc_id") == F.col("label_id")
-    )
+    rows = docs.select("doc_id", text_bytes().alias("body"))
+    return rows.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("doc_id", "body", "toxic")
+
+
+def cross_validated(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig(), choices: tuple[float, ...] = (1.0, 2.0, 4.0, 8.0), folds: int = 4) -> DataFrame:
+    """``l1, rows, log_loss, toxic, found, wrong`` for each L1 of ``choices``, over rows that may be learned from only.
+
+    The sample is dealt into ``folds`` by hash; each is scored by what the others teach. ``found`` and ``wrong`` count
+    rows scored at the threshold or above that are labelled toxic, and that are not. No held-out label is looked at.
+    """
+    chosen = _learnable(docs, labels, config)
+    if chosen is None:
+        return docs.sparkSession.createDataFrame([], "l1 double, rows long, log_loss double, toxic long, found long, wrong long")
+
+    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        l1, number = key
+        frame = frame.sort_values(["order", "body"])
+        rows = [features(body, config.bits) for body in frame["body"]]
+        y, test = frame["toxic"].to_numpy(float), frame["fold"].to_numpy() == number
+        w = ftrl([r for r, t in zip(rows, test, strict=True) if not t], y[~test], replace(config, l1=l1))
+        p = np.array([1 / (1 + np.exp(-np.clip(w[r].sum() + w[-1], -35, 35))) for r, t in zip(rows, test, strict=True) if t])
+        y, found = y[test], p >= config.threshold
+        loss = -np.log(np.maximum(np.where(y > 0, p, 1 - p), 1e-15)).sum()
+        return pd.DataFrame({"l1": [l1], "n": [len(y)], "loss": [loss], "toxic": [int(y.sum())], "found": [int((found & (y > 0)).sum())], "wrong": [int((found & (y == 0)).sum())]})
+
+    dealt = chosen.select("body", "toxic", F.xxhash64("doc_id", F.lit(11)).alias("order"), F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(folds)).alias("fold"))
+    tasks = dealt.withColumn("l1", F.explode(F.array(*map(F.lit, choices)))).withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    done = tasks.groupBy("l1", "task").applyInPandas(fold, "l1 double, n long, loss double, toxic long, found long, wrong long")
+    return done.groupBy("l1").agg(F.sum("n").alias("rows"), (F.sum("loss") / F.sum("n")).alias("log_loss"), *(F.sum(c).alias(c) for c in ("toxic", "found", "wrong")))
+
+
+def learn(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> dict[int, float]:
+    """``(doc_id, text)`` and ``(doc_id, toxic)`` -> non-zero weights by coordinate (``2 ** bits``: intercept).
+
+    Rows without id or label are not learned from; of repeated labels the larger counts. Without any row to
+    learn from there are no weights, and every score is 0.5.
+    """
+    chosen = _learnable(docs, labels, config)
+    if chosen is None:
+        return {}
 
     def shard(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("order")
+        frame = frame.sort_values(["order", "body"])  # rows may share a doc_id, and so their order
         rows = [features(body, config.bits) for body in frame["body"]]
         w = ftrl(rows, frame["toxic"].to_numpy(float), config)
         at = np.flatnonzero(w)
