@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,26 +61,38 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the temperature mix uses them, within the tokens there are, in the order of the mix.
 
     A row without doc_id takes part, and rows that share one are used each by itself; a null source is a source
-    of its own. Rows lie in files by (pass, position), so that files read one after the other give the schedule.
+    of its own. Rows lie in files by their places, so that files read one after the other give the schedule, in which
+    every stretch holds about the target shares.
     """
     # rows may share a doc_id or have none, so each gets a key; it is written, as it must not change between two reads
     key, use = _free("row_key", docs), _free("row_use", docs)
     rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "mix-rows")
     uses = mix(rows.select("doc_id", "source", "text", key), MixConfig(entropy_share=0.95), key)
-    times = uses.groupBy(key).agg(F.collect_list(F.struct("pass", "position")).alias(use))
+    times = uses.groupBy(key).agg(F.collect_list("place").alias(use))
     placed = rows.join(times, key).withColumn(use, F.explode(use))
-    order = [F.col(f"{use}.pass"), F.col(f"{use}.position"), F.col(key)]
-    return placed.repartitionByRange(*order).sortWithinPartitions(*order).select(docs.columns)
+    return placed.repartitionByRange(use, key).sortWithinPartitions(use, key).select(docs.columns)
+
+
+def _as_written(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """``docs`` with columns that tell where in its files each row lies, and their names; none if it is no file scan."""
+    try:
+        placed = docs.select("doc_id", "text", F.expr("try_cast(regexp_extract(_metadata.file_name, 'part-([0-9]+)', 1) AS bigint)").alias("file_part"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("file_row"))
+    except AnalysisException as absent:
+        if not str(absent.getCondition()).startswith(("UNRESOLVED_COLUMN", "FIELD_NOT_FOUND")):
+            raise
+        return docs.select("doc_id", "text"), ()
+    return placed, ("file_part", "file_name", "file_row")
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document written as coded blocks, and read back.
 
-    Blocks are in ascending doc_id order, rows without one first; rows that share one in the order of their
-    texts. A null or empty text is its end id alone; no rows give no rows.
+    Blocks are in the order in which the rows lie in the files before, which is that of the mix; rows that are not read
+    from files are in ascending doc_id order. A null or empty text is its end id alone; no rows give no rows.
     """
     path = shared_dir(spark, "token-blocks")
-    write_token_blocks(docs.select("doc_id", "text"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    placed, order = _as_written(docs)
+    write_token_blocks(placed, path, public_tokenizers.path("byte_bpe_50k.json"), order=order)
     return read_documents(spark, path)
 
 
