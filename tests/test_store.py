@@ -15,6 +15,7 @@ from workledger.operators.store import TABLES, Store
 from workledger.schema import GRADES
 from workledger.sources.base import REGISTRY
 from workledger.sources.scan import own_failure, scan
+from workledger.streaming.incremental import held_calls, stream_into
 
 START = datetime(2024, 1, 1)
 LADDER = {g: i for i, g in enumerate(GRADES[:3])}
@@ -184,3 +185,45 @@ def test_a_failing_source_is_read_again_and_stops_no_other(spark, tmp_path, monk
     with pytest.raises(OSError, match="disk full"):
         scan(store, {"broken": f"file://{tmp_path}/other"})
     assert not own_failure(OSError("x")) and own_failure(KeyError("x"))
+
+
+def test_a_stream_into_the_store_adds_each_event_once(spark, tmp_path):
+    store, schema = Store(spark, f"file://{tmp_path}/store"), TABLES["events"][0]
+    source = f"file://{tmp_path}/in"
+    event = lambda i, location="x": row("events", event_id=f"e{i}", kind="turn", adapter="a", native_id=str(i), location=location, recorded_at=START)
+    spark.createDataFrame([event(1), event(2)], schema).write.mode("append").parquet(source)
+    stream_into(spark.readStream.schema(schema).parquet(source), store, f"file://{tmp_path}/c")
+    spark.createDataFrame([event(2), event(3), event(1, "y")], schema).write.mode("append").parquet(source)
+    stream_into(spark.readStream.schema(schema).parquet(source), store, f"file://{tmp_path}/c")
+    assert sorted(r.event_id for r in store.read("events").collect()) == ["e1", "e2", "e3"]
+    assert [(r.id, r.verdict) for r in store.read("quarantine").collect()] == [("e1", "conflict")]
+    # a checkpoint that was lost reads everything again and adds nothing
+    stream_into(spark.readStream.schema(schema).parquet(source), store, f"file://{tmp_path}/other")
+    assert store.read("events").count() == 3
+
+
+def test_open_calls_are_held_over_a_restart(spark, tmp_path):
+    use, result = "session string, call_id string, at timestamp, name string", "session string, call_id string, at timestamp, content string"
+    at = lambda minutes: START + timedelta(minutes=minutes)
+
+    def put(name, kind, *rows):
+        spark.createDataFrame(list(rows), kind).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/{name}")
+
+    def run():
+        stream = lambda name, kind: spark.readStream.schema(kind).parquet(f"file://{tmp_path}/{name}")
+        rows = held_calls(stream("uses", use), stream("results", result), "1 hour")
+        query = rows.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return sorted((r.call_id, r.status, r.name, r.content) for r in spark.read.parquet(f"file://{tmp_path}/out").collect())
+
+    put("uses", use, ("s", "c1", at(0), "t1"), ("s", "c2", at(1), "t2"), ("s", "c2", at(2), "again"))
+    put("results", result, ("s", "c3", at(3), "early"))
+    assert run() == []
+    put("results", result, ("s", "c1", at(20), "r1"))
+    put("uses", use, ("s", "c3", at(2), "t3"))
+    first = [("c1", "paired", "t1", "r1"), ("c3", "paired", "t3", "early")]
+    assert run() == first
+    put("uses", use, ("s", "far", at(600), "t"))  # time goes on
+    run()
+    put("uses", use, ("s", "farther", at(1200), "t"))
+    assert run()[:3] == [*first[:1], ("c2", "open", "t2", None), first[1]]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from workledger.functions.ids import iso_text, stable_id
@@ -144,29 +144,75 @@ def list_findings(activity: DataFrame, kind: str | None = None, grade: str | Non
     return out
 
 
-def candidate_documents(findings: DataFrame) -> DataFrame:
-    """Export of current findings as documents; the coordinate falls back to the finding's own."""
-    now = latest(findings, "finding_id")
-    coordinate = F.coalesce(F.get_json_object("details", "$.coordinate"), F.concat(F.lit("workledger.finding="), "finding_id"))
-    return now.select(
-        "finding_id",
-        F.to_json(F.struct(coordinate.alias("coordinate"), "evidence", "finding_id", "grade", "kind", "revision_id", "subject", "summary")).alias("document"),
+#: Names of the exported documents' layouts; a reader that does not know one must not guess.
+CANDIDATE_LAYOUT, PROCEDURE_LAYOUT, CUSTODY_LAYOUT = (f"workledger.{x}/v1" for x in ("finding-candidate", "procedure-candidate", "finding-custody"))
+_TAINT = {"classification": "derived-untrusted-data", "instruction_authority": "none", "content_policy": "structured-metadata"}
+
+
+def _words(fields: dict[str, str]) -> Column:
+    return F.struct(*(F.lit(v).alias(k) for k, v in fields.items()))
+
+
+def _detail(name: str) -> Column:
+    """A text of a finding's details, null where it is blank."""
+    value = F.get_json_object("details", f"$.{name}")
+    return F.when(F.trim(value) != "", value)
+
+
+def candidate_documents(findings: DataFrame, project: str = "registry") -> DataFrame:
+    """Export of current findings as advisory documents: ``finding_id, export_id, document``.
+
+    The coordinate is that of the scope, else of the details, else the finding's own. The export's id follows from the
+    revision, the project, the coordinate and what is suggested, so that the same finding exported again is the same document.
+    """
+    scope = F.get_json_object("details", "$.scope.coordinate")
+    coordinate = F.coalesce(F.when(F.trim(scope) != "", scope), _detail("coordinate"), F.concat(F.lit("workledger.finding="), "finding_id"))
+    rule = _detail("rule")
+    stale = (F.col("kind") == "stale-gate") | F.coalesce(rule == "condition-resolved", F.lit(False))
+    suggestion = F.when(stale, "review-stale-gate").when(rule == "re-minted", "review-re-mint").otherwise("review-finding")
+    now = latest(findings, "finding_id").withColumns({"coordinate": coordinate, "suggestion": suggestion})
+    now = now.withColumn("export_id", stable_id("fcx", F.lit(CANDIDATE_LAYOUT), "finding_id", "revision_id", F.lit(project), "coordinate", "suggestion"))
+    document = F.struct(
+        F.lit(CANDIDATE_LAYOUT).alias("schema"), "export_id", F.concat(F.lit("workledger.finding-export="), "export_id").alias("export_coordinate"),
+        "coordinate", "evidence", "finding_id", "grade", "kind", "revision_id", "subject", "summary",
+        F.struct(F.lit(project).alias("project"), "coordinate").alias("target"),
+        F.struct(F.col("suggestion").alias("kind"), F.lit(True).alias("advisory_only")).alias("suggestion"), _words(_TAINT).alias("taint"),
     )
+    return now.select("finding_id", "export_id", F.to_json(document).alias("document"))
 
 
 def procedure_documents(findings: DataFrame) -> DataFrame:
-    """Export for procedure authors: findings that are not refuted, with occurrence references."""
+    """Export for procedure authors: ``finding_id, export_id, document`` of findings that are not refuted, with references.
+
+    Occurrences fall back to the evidence; blank references count for nothing. The candidate's id follows from the
+    finding and stays as it is revised, the export's id from the revision.
+    """
     now = latest(findings, "finding_id").where("grade <> 'refuted'")
-    given = F.from_json(F.get_json_object("details", "$.occurrences"), "array<string>")
-    own = F.transform("evidence", lambda e: e["event_id"])
-    refs = F.array_sort(F.array_distinct(F.when(F.size(F.coalesce(given, F.array())) > 0, given).otherwise(own)))
-    return now.select("finding_id", F.to_json(F.struct("finding_id", "kind", refs.alias("occurrence_refs"), "revision_id", "summary")).alias("document"))
+    shown = lambda refs: F.array_sort(F.array_distinct(F.filter(refs, lambda r: F.trim(r) != "")))
+    given = lambda name: F.coalesce(F.from_json(F.get_json_object("details", f"$.{name}"), "array<string>"), F.array().cast("array<string>"))
+    stated = shown(given("occurrences"))
+    refs = F.when(F.size(stated) > 0, stated).otherwise(shown(F.transform("evidence", lambda e: e["event_id"])))
+    now = now.withColumn("candidate_id", stable_id("pcd", F.lit(PROCEDURE_LAYOUT), "finding_id"))
+    now = now.withColumn("export_id", stable_id("pcx", F.lit(PROCEDURE_LAYOUT), "revision_id", "candidate_id")).withColumn("occurrence_refs", refs)
+    document = F.struct(
+        F.lit(PROCEDURE_LAYOUT).alias("schema"), "export_id", "candidate_id", "finding_id", "kind", "occurrence_refs", F.size("occurrence_refs").alias("count"),
+        shown(F.concat(given("counterexample_refs"), given("negative_fixture_refs"))).alias("counterexample_refs"),
+        shown(F.concat(given("fixture_refs"), given("exception_fixture_refs"))).alias("fixture_refs"), "revision_id", "summary", _words(_TAINT).alias("taint"),
+    )
+    return now.select("finding_id", "export_id", F.to_json(document).alias("document"))
 
 
 def custody_documents(findings: DataFrame, receipts: DataFrame) -> DataFrame:
-    """Whole history of each finding with its receipts, in order."""
+    """Whole history of each finding with its receipts, in order: ``finding_id, export_id, document``.
+
+    The id follows from the revisions and the receipts' relations, in their order. A document is one finding's history, and
+    as large as that is.
+    """
     history = findings.groupBy("finding_id").agg(
         F.array_sort(F.collect_list(F.struct("sequence", "revision_id", "grade", "summary", "recorded_at"))).alias("history")
     )
     acts = receipts.groupBy("finding_id").agg(F.array_sort(F.collect_list(F.struct("relation_id", "predicate", "active", "validity"))).alias("receipts"))
-    return history.join(acts, "finding_id", "left").select("finding_id", F.to_json(F.struct("finding_id", "history", "receipts")).alias("document"))
+    ids = F.concat(F.transform("history", lambda r: r["revision_id"]), F.coalesce(F.transform("receipts", lambda r: r["relation_id"]), F.array().cast("array<string>")))
+    rows = history.join(acts, "finding_id", "left").withColumn("export_id", stable_id("fcu", F.lit(CUSTODY_LAYOUT), F.array_join(ids, "\0")))
+    document = F.struct(F.lit(CUSTODY_LAYOUT).alias("schema"), "export_id", "finding_id", "history", "receipts")
+    return rows.select("finding_id", "export_id", F.to_json(document).alias("document"))

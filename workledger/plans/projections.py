@@ -303,6 +303,34 @@ def procedure_exports(spark, sf):
     return d.select(F.get_json_object("document", "$.occurrence_refs").alias("refs"), F.get_json_object("document", "$.summary").alias("summary"))
 
 
+_ID = "concat('{}_', left(sha256(concat_ws(chr(0), {})), 24))".format
+_FOUND = _ID("fnd", "'stale-gate', concat('part:', p_partkey)")
+
+
+@query(f"WITH {DOCS} SELECT 'custody' AS what, {N('sum(1 + (p_partkey % 3 = 0)::INT + (p_partkey % 5 = 0)::INT)')} AS revisions, {N('sum((p_partkey % 4 = 0)::INT)')} AS receipts, {N('count(*)')} AS n, {N('count(*)')} AS n_ids, {N('0')} AS n_blank FROM p "
+       f"UNION ALL SELECT 'candidate', NULL, NULL, count(*), count(*), 0 FROM p UNION ALL SELECT 'procedure', NULL, NULL, count(*), count(*), 0 FROM p WHERE NOT refuted")
+def export_ids(spark, sf):
+    """Exported documents carry their layout and an id that is their own; receipts stand in the custody of their finding."""
+    rows = _findings(spark, sf)
+    acted = rows.where("sequence = 1 and p_partkey % 4 = 0").select("finding_id", F.concat(F.lit("r"), "p_partkey").alias("relation_id"), F.lit("acts_on").alias("predicate"), F.lit(True).alias("active"), F.lit("valid").alias("validity"))
+    documents = {"custody": findings.custody_documents(rows, acted), "candidate": findings.candidate_documents(rows), "procedure": findings.procedure_documents(rows)}
+    out = None
+    for what, d in documents.items():
+        size = lambda name: F.sum(F.json_array_length(F.get_json_object("document", f"$.{name}"))).cast("long")
+        own = F.get_json_object("document", "$.export_id") == F.col("export_id")
+        named = F.get_json_object("document", "$.schema").endswith("/v1")
+        part = d.agg(F.lit(what).alias("what"), size("history").alias("revisions"), size("receipts").alias("receipts"), F.count("*").alias("n"), F.countDistinct("export_id").alias("n_ids"), F.count_if(~(own & named)).alias("n_blank"))
+        out = part if out is None else out.unionByName(part)
+    return edge(out)
+
+
+@query(f"WITH {DOCS}, e AS (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN concat('target=', p_partkey) END AS given, {_FOUND} AS id FROM p) SELECT id AS finding_id, coalesce(given, concat('workledger.finding=', id)) AS coordinate, 'review-stale-gate' AS suggestion FROM e")
+def candidate_suggestions(spark, sf):
+    d = findings.candidate_documents(_findings(spark, sf))
+    at = lambda path: F.get_json_object("document", path)
+    return d.select("finding_id", at("$.target.coordinate").alias("coordinate"), at("$.suggestion.kind").alias("suggestion"))
+
+
 @query(f"SELECT 1 + (p_partkey % 3 = 0)::INT + (p_partkey % 5 = 0)::INT AS n_revisions, {N('count(*)')} AS n FROM part GROUP BY 1")
 def custody_exports(spark, sf):
     rows = _findings(spark, sf)

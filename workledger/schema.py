@@ -68,6 +68,9 @@ FINDINGS = T.StructType(
         T.StructField("sequence", T.LongType()),
     ]
 )
+# judgements of findings and of promoted procedures: rows that are added and never revised
+LABELS = _struct(label_id="s", finding_id="s", revision_id="s", label="s", labelled_by="s", note="s", recorded_at="t")
+CALIBRATIONS = _struct(result_id="s", promotion_id="s", revision_id="s", classification="s", delta="d", recorded_at="t")
 DIAGNOSTICS = _struct(level="s", code="s", message="s", source="s", line="i")
 
 # Closed vocabularies of the data model.
