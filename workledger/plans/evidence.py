@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from workledger.functions.ids import event_id, relation_id, stable_id
-from workledger.operators import accounting, activity, attribution, motifs
+from workledger.operators import accounting, activity, attribution, evaluation, motifs, surfacing
 from workledger.plans import workbench as wb
 from workledger.plans.edge import edge
-from workledger.plans.scans import N
+from workledger.plans.scans import N, lines_file
 
 QUERIES, ORACLES = {}, {}
 CUTOFF = "1997-01-01"
@@ -222,3 +222,40 @@ def tuple_breakdown(spark, sf):
     parts = activity.tuple_parts(observed).groupBy(F.concat_ws(" ", "part", "name").alias("part")).agg(F.sum("n").alias("n"), F.sum("amount_usd").alias("amount_usd"))
     rest = missing.agg(F.count("*").alias("n")).select(F.lit("missing").alias("part"), "n", F.lit(None).cast("decimal(38,18)").alias("amount_usd"))
     return edge(parts.unionByName(rest))
+
+
+@query(f"""WITH c AS (
+        SELECT p_partkey AS i, 'r' || i % 3 AS rule, i % 2 = 0 AS good,
+            CASE WHEN i % 2 = 0 THEN i % 11 <> 0 WHEN i % 3 = 1 THEN i % 5 = 1 WHEN i % 3 = 2 THEN i % 5 < 3 ELSE false END AS hit FROM part),
+    m AS (SELECT rule, round(count_if(good AND hit) / count_if(hit), 6) AS precision FROM c WHERE i % 4 <> 0 GROUP BY 1)
+    SELECT rule, precision, CASE WHEN precision >= 0.9 THEN 'surface' WHEN precision >= 0.7 THEN 'narrow' ELSE 'offline' END AS decision,
+        {N("CASE WHEN precision >= 0.9 THEN (SELECT count_if(hit) FROM c WHERE c.rule = m.rule) ELSE 0 END")} AS shown FROM m""")
+def cases_to_candidates(spark, sf):
+    """A corpus read strictly, rules measured on its held-out part, and the candidates of those that may surface."""
+    i = F.col("p_partkey")
+    p = wb.table(spark, sf, "part").select(i, F.concat(F.lit("r"), i % 3).alias("rule"))
+    label, name = F.when(i % 2 == 0, "supported").otherwise("unsupported"), lambda c: F.concat(F.lit(c), i)
+    corpus = p.select(name("c").alias("case_id"), F.when(i % 4 == 0, "tuning").otherwise("held-out").alias("partition"), "rule", label.alias("label"), F.array(name("t")).alias("coordinates"), F.array(name("e")).alias("evidence"))
+    cases = surfacing.read_cases(spark, lines_file(corpus, "cases"))
+    hit = F.when(i % 2 == 0, i % 11 != 0).when(i % 3 == 1, i % 5 == 1).when(i % 3 == 2, i % 5 < 3).otherwise(False)
+    assessed = p.select(name("c").alias("case_id"), "rule", F.when(hit, "detected").otherwise("not-detected").alias("state"))
+    decided = evaluation.evaluate_gate_cases(cases, assessed, evaluation.Floors(narrow=0.7))
+    shown = surfacing.to_append(assessed.where("state = 'detected'"), decided)
+    counts = surfacing.state_counts(shown, "rule").select("rule", "n")
+    return edge(decided.join(counts, "rule", "left").select("rule", "precision", "decision", F.coalesce("n", F.lit(0)).alias("shown")))
+
+
+@query(f"""WITH c AS (
+        SELECT c_custkey AS i, lpad(CAST(i AS VARCHAR), 9, '0') AS id, i % 3 = 0 AS again, i % 2 = 0 AS failed FROM customer),
+    p AS (SELECT * FROM c WHERE again ORDER BY id LIMIT 40), a AS (SELECT * FROM p WHERE i % 4 <> 0 UNION ALL (SELECT * FROM c WHERE failed AND NOT again ORDER BY id LIMIT 2)),
+    f AS (SELECT (SELECT count(*) FROM a) AS assigned, (SELECT count(*) FROM a WHERE again) AS correct, (SELECT count(*) FROM p WHERE i % 4 = 0) AS missed)
+    SELECT {N("assigned")} AS assigned, {N("correct")} AS correct, {N("missed")} AS missed, round(correct / assigned, 6) AS precision, round(correct / (correct + missed), 6) AS recall,
+        correct / assigned >= 0.9 AND abs(round(correct / (correct + missed), 6) - 0.85) <= 0.15 AS within_tolerance FROM f""")
+def live_motif_check(spark, sf):
+    """The first sessions with and without repeated failures, and how well assignments meet them."""
+    i = F.col("c_custkey")
+    id_ = F.lpad(i.cast("string"), 9, "0")
+    facets = wb.table(spark, sf, "customer").select(i, id_.alias("session_id"), F.when(i % 3 == 0, "f").alias("repeated_failure_fingerprint"), F.when(i % 2 == 0, 1).otherwise(0).alias("failed_tool_attempts"))
+    sample = surfacing.live_sample(facets, 40, 2)
+    assigned = sample.where(~F.col("positive") | (F.col("session_id").cast("long") % 4 != 0))
+    return edge(surfacing.live_metrics(sample, assigned, 0.85))
