@@ -11,6 +11,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from workledger.operators import surfacing
 from workledger.operators.store import TABLES, Store
 from workledger.schema import GRADES
 from workledger.sources.base import REGISTRY
@@ -227,3 +228,72 @@ def test_open_calls_are_held_over_a_restart(spark, tmp_path):
     run()
     put("uses", use, ("s", "farther", at(1200), "t"))
     assert run()[:3] == [*first[:1], ("c2", "open", "t2", None), first[1]]
+
+
+def test_reads_of_the_store(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store", buckets=2)
+    event = lambda i, adapter, session: row("events", event_id=f"e{i}", kind="turn", adapter=adapter, native_id=str(i), session_id=session, occurred_at=START + timedelta(hours=i), recorded_at=START)
+    links = [revision("crosswalks", "k", "r1", 0, None, state="asserted"), revision("crosswalks", "k", "r2", 1, "r1", state="refuted"), revision("crosswalks", "m", "r3", 1, None, state="asserted")]
+    store.append({"events": spark.createDataFrame([event(i, "ab"[i % 2], f"s{i // 3}") for i in range(6)], TABLES["events"][0]), "crosswalks": spark.createDataFrame(links, TABLES["crosswalks"][0])})
+    ids = lambda df: sorted(r.event_id for r in df.collect())
+    assert ids(store.events()) == [f"e{i}" for i in range(6)] and ids(store.events(adapter="a", session_id="s0")) == ["e0", "e2"]
+    assert ids(store.events(since="2024-01-01T02:00:00", until="2024-01-01T04:00:00")) == ["e2", "e3"]
+    assert ids(store.events_of(spark.createDataFrame([("e1",), ("gone",), ("e1",)], "event_id string"))) == ["e1"]
+    assert ids(store.events_of(spark.createDataFrame([("a", "turn", "4"), ("b", "turn", "4")], "adapter string, kind string, native_id string"))) == ["e4"]
+    assert sorted(r.record_id for r in store.history("crosswalks", spark.createDataFrame([("k",)], "link_id string")).collect()) == ["r1", "r2"]
+    assert [r.record_id for r in store.current("crosswalks").collect()] == ["r3"]
+
+
+def test_attempts_without_a_receipt_name_their_session(spark, tmp_path):
+    def attempt(job, n, *lines, backend="codex", receipt=False, spec=True):
+        at = tmp_path / "jobs" / job / "attempts" / str(n)
+        at.mkdir(parents=True)
+        (at / "stdout").write_text("\n".join(line if isinstance(line, str) else json.dumps(line) for line in lines))
+        if spec:
+            (tmp_path / "jobs" / job / "spec.json").write_text(json.dumps({"id": f"id-{job}", "backend": backend, "created_at": "2024-01-01T00:00:00Z"}))
+        if receipt:
+            (tmp_path / "jobs" / job / "receipts").mkdir(exist_ok=True)
+            (tmp_path / "jobs" / job / "receipts" / f"attempt-{n}-finished.json").write_text("{}")
+
+    started = lambda i: {"type": "thread.started", "thread_id": i}
+    attempt("a", 0, "no json", {"type": "x", "thread_id": "not"}, started("t1"), started("t2"), "late")
+    attempt("a", 1, started("t3"), receipt=True)
+    attempt("b", 0, {"session_id": ""}, {"conversation_id": "c1"}, backend="claude-cli")
+    attempt("c", 0, {"part": {"sessionID": "o1"}}, backend="opencode")
+    attempt("d", 0, started("t4"), backend="other")
+    attempt("e", 0, started("t5"), spec=False)
+    attempt("f", "retry", "", {"type": "y"})
+    found = REGISTRY["fab-attempts"](spark, f"file://{tmp_path}/jobs")
+    assert sorted((r.left_ns, r.left_val, r.right_ns, r.right_val) for r in found.crosswalks.collect()) == [
+        ("claude-code.session", "c1", "fab.job", "id-b"), ("codex.session", "t1", "fab.job", "id-a"), ("fab.job", "id-c", "opencode.session", "o1"),
+    ]
+    assert sorted((r.code, r.source.split("/")[-4]) for r in found.diagnostics.collect()) == [("malformed-receipt-record", "a"), ("session-id-unavailable", "f")]
+
+
+CASE = {"case_id": "c1", "partition": "tuning", "rule": "r", "label": "supported", "coordinates": ["x"], "evidence": ["e"]}
+
+
+@pytest.mark.parametrize(
+    ("change", "reason"),
+    [({"case_id": "c1", "evidence": []}, "twice"), ({"partition": "held-out"}, "coordinates"), ({"partition": "held-out", "coordinates": []}, "evidence"), ({"case_id": None}, "lack")],
+)
+def test_corpora_are_read_whole_or_not_at_all(spark, tmp_path, change, reason):
+    path = tmp_path / "cases.jsonl"
+    path.write_text(json.dumps(CASE) + "\n" + json.dumps(CASE | {"case_id": "c2"} | change) + "\n")
+    with pytest.raises(ValueError, match=reason):
+        surfacing.read_cases(spark, f"file://{path}")
+
+
+def test_nothing_is_appended_without_an_approved_rule(spark, tmp_path):
+    path = tmp_path / "cases.jsonl"
+    path.write_text(json.dumps(CASE) + "\n")
+    assert surfacing.read_cases(spark, f"file://{path}").count() == 1
+    path.write_text("")
+    with pytest.raises(ValueError, match="empty"):
+        surfacing.read_cases(spark, f"file://{path}")
+    candidates = spark.createDataFrame([("r", 1), ("s", 2), (None, 3)], "rule string, n int")
+    decided = spark.createDataFrame([("r", "surface"), ("s", "narrow")], "rule string, decision string")
+    assert [r.n for r in surfacing.to_append(candidates, decided).collect()] == [1]
+    for bad in (None, decided.where("rule = 's'")):
+        with pytest.raises(ValueError):
+            surfacing.to_append(candidates, bad)

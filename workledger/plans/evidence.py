@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from workledger.functions.ids import event_id, relation_id, stable_id
-from workledger.operators import accounting, activity, attribution, evaluation, motifs, surfacing
+from workledger.functions.ids import event_id, ref, relation_id, stable_id
+from workledger.operators import accounting, activity, attribution, evaluation, motifs, research, surfacing
+from workledger.plans import oracles
 from workledger.plans import workbench as wb
 from workledger.plans.edge import edge
+from workledger.plans.queries import _receipt_costs
 from workledger.plans.scans import N, lines_file
+from workledger.schema import RECEIPT_OUTCOME
 
 QUERIES, ORACLES = {}, {}
 CUTOFF = "1997-01-01"
@@ -259,3 +262,46 @@ def live_motif_check(spark, sf):
     sample = surfacing.live_sample(facets, 40, 2)
     assigned = sample.where(~F.col("positive") | (F.col("session_id").cast("long") % 4 != 0))
     return edge(surfacing.live_metrics(sample, assigned, 0.85))
+
+
+def research_events(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Conversations' receipts as stored events, some with attributes of a wrong type, and the costs attributed to them."""
+    r = wb.receipts(spark, sf)
+    text = lambda **fields: F.struct(*(F.col(v).alias(k) for k, v in fields.items()))
+    parts = {
+        "attempt": F.struct(F.lit("a").alias("namespace"), F.col("attempt").alias("attempt_id")), "authority": text(namespace="authority_namespace"),
+        "domain_object": text(namespace="domain_namespace", object_type="domain_object_type", object_id="domain"), "treatment_manifest": text(namespace="treatment_namespace", manifest_sha256="manifest_sha256"),
+        "outcome": text(kind="outcome_kind", judgment="judgment", error_kind="error_kind"), "supersedes_event_id": F.col("predecessor"),
+    }
+
+    def event(rows, native, workload, calls):
+        attributes = F.to_json(F.struct(*(c.alias(k) for k, c in parts.items()), workload.alias("workload"), calls.alias("somm_calls")), {"ignoreNullFields": "false"})
+        outcome = F.struct(F.lit(RECEIPT_OUTCOME).alias("outcome_type"), F.lit("succeeded").alias("status"), native.alias("reference"))
+        return rows.select(_id("barnowl-research-outcome", "outcome", native).alias("event_id"), F.lit("outcome").alias("kind"), "occurred_at", attributes.alias("attributes"), outcome.alias("outcome"))
+
+    calls = F.transform("call_ids", lambda c: F.struct(c.alias("call_id")))
+    good = event(r, F.col("coordinate"), F.col("workload"), calls)
+    first = r.where("predecessor is null")
+    number = event(first, F.concat(F.lit("number-"), "coordinate"), F.lit(7), calls)
+    blank = event(first.where("workload = 'w0'"), F.concat(F.lit("blank-"), "coordinate"), F.lit(None).cast("string"), calls)
+    named = event(first.where("workload = 'w1'"), F.concat(F.lit("calls-"), "coordinate"), F.col("workload"), F.transform("call_ids", lambda c: F.struct(F.lit(1).alias("call_id"))))
+    plain = event(first.where("workload = 'w2'"), F.concat(F.lit("plain-"), "coordinate"), F.col("workload"), F.col("workload"))
+    events = good.unionByName(number).unionByName(blank).unionByName(named).unionByName(plain)
+    costs = _receipt_costs(r).select(F.lit("attributed").alias("state"), F.lit(RECEIPT_OUTCOME).alias("outcome_type"), ref(RECEIPT_OUTCOME, "coordinate").alias("outcome_node"), "amount_usd")
+    return events, costs
+
+
+@query(oracles.ORACLES["semantic_funnel"])
+def research_funnel(spark, sf):
+    """The funnel of the whole report, from events and attributed costs."""
+    events, costs = research_events(spark, sf)
+    calls = spark.createDataFrame([], "call_id string, coordinate string")
+    return edge(research.report(events, costs, calls, wb.SINCE, "2025-01-01")["funnel"])
+
+
+@query(f"""WITH f AS (SELECT conv_id % 4 AS w FROM conversations WHERE turn = 0)
+    SELECT 'workload' AS reason, {N("count(*) + count_if(w = 0)")} AS n FROM f UNION ALL SELECT 'somm_calls', count_if(w IN (1, 2)) FROM f""")
+def research_failing(spark, sf):
+    """Receipts that do not parse, by the first thing that is wrong with them."""
+    events, _ = research_events(spark, sf)
+    return edge(research.receipts_of(events)[1].groupBy("reason").agg(F.count("*").alias("n")))
