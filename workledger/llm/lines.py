@@ -21,6 +21,7 @@ document is one row of the join; the join sees distinct lines only.
 from __future__ import annotations
 
 import functools
+import json
 import operator
 from dataclasses import dataclass
 
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from workledger.llm.common import skew_join, written
 
 
+#: Bins in which grams are counted: a bound of what is collected and of the table that ranks them.
+GRAM_BINS = 1 << 14
 #: Line ids up to which they are sent to all executors; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -296,17 +299,21 @@ def rare_grams(lines: DataFrame, edits: int, width: int) -> DataFrame:
     as many, in one order for all lines.
 
     ``edits`` edits break at most ``width * edits`` grams of a line, so near lines keep all others in common, and one of
-    them is among these of both.
+    them is among these of both. Any order of grams is right; this one is by how many grams of all lines share a gram's bin.
+    There are ``GRAM_BINS`` bins however many lines there are, so that a line ranks its grams by itself.
     """
     keep = width * edits + 1
     chars = F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0))
     cut = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - width), lambda i: F.xxhash64(*(F.get(c, i + k) for k in range(width))))
-    dealt = lines.where(F.col("length") >= keep + width - 1).hint("rebalance")  # a line becomes as many rows as it has characters
-    grams = dealt.select("line_id", F.explode(_let(chars, cut)).alias("gram"))
-    grams = written(grams, "line-grams")
-    uses = grams.groupBy("gram").agg(F.count("*").alias("uses"))
-    rows = skew_join(grams, uses, "gram").groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("uses", "gram"))).alias("rows"))
-    return rows.select("line_id", F.explode(F.array_distinct(F.slice("rows", 1, keep))).alias("r")).select("line_id", F.col("r.gram").alias("gram"))
+    dealt = lines.where(F.col("length") >= keep + width - 1).hint("rebalance")  # a line has as many grams as characters
+    grams = dealt.select("line_id", _let(chars, cut).alias("grams"))
+    bin_of = lambda g: F.pmod(g, F.lit(GRAM_BINS)).cast("int")
+    counts = grams.select(F.explode("grams").alias("gram")).groupBy(bin_of(F.col("gram")).alias("bin")).agg(F.count("*").alias("n"))
+    uses = dict.fromkeys(range(GRAM_BINS), 0) | {r["bin"]: r["n"] for r in counts.collect()}
+    table = F.from_json(F.lit(json.dumps([uses[i] for i in range(GRAM_BINS)])), "array<long>")
+    ranked = F.array_sort(F.transform("grams", lambda g: F.struct(F.get(table, bin_of(g)).alias("uses"), g.alias("gram"))))
+    rarest = F.array_distinct(F.transform(F.slice(ranked, 1, keep), lambda r: r["gram"]))
+    return grams.select("line_id", F.explode(rarest).alias("gram"))
 
 
 def crowd_pairs(crowd: DataFrame, config: LineConfig) -> DataFrame:
