@@ -210,13 +210,15 @@ def numbered(records: DataFrame, start: int = 0) -> DataFrame:
     return placed.withColumn("sequence", (F.lit(start) + F.col("before") + F.col("at") - F.col("first")).cast("long")).select(*records.columns)
 
 
-def ingest_all(spark: SparkSession, roots: dict[str, str], since: str | None = None, until: str | None = None, first_sequence: int = 0, **options) -> tuple[Ingested, DataFrame]:
+def ingest_all(spark: SparkSession, roots: dict[str, str], since: str | None = None, until: str | None = None, first_sequence: int = 0, first_revision: int = 0, **options) -> tuple[Ingested, DataFrame]:
     """Run the named sources over their roots, and say in ``RUNS`` how each one went.
 
     A source's rows are written before the next one starts, so one that fails, while it is planned or while
-    it runs, gives a failed run and no rows and stops no other. Links and relations are numbered over all.
+    it runs, gives a failed run and no rows and stops no other. Links and relations are numbered over all, from
+    ``first_revision``; a ``store`` numbers them on by itself.
     """
     from workledger.shared import written
+    from workledger.sources.scan import own_failure
 
     total = Ingested(spark)
     runs = []
@@ -227,7 +229,9 @@ def ingest_all(spark: SparkSession, roots: dict[str, str], since: str | None = N
             left = sum(r["outside_window"] for r in outside.collect())
             runs.append((name, path, n, "ok", None, 0, left, *(df.count() for df in parts.values())))
             total = total + Ingested(spark, **parts)
-        except Exception as broken:  # a source's own failure is a result here
+        except Exception as broken:  # a source's own failure is a result here; a full disk or a lost folder is not
+            if not own_failure(broken):
+                raise
             runs.append((name, path, n, "error", str(broken)[:500], 1, 0, 0, 0, 0, 0))
-    total.crosswalks, total.relations = numbered(total.crosswalks), numbered(total.relations)
+    total.crosswalks, total.relations = numbered(total.crosswalks, first_revision), numbered(total.relations, first_revision)
     return total, spark.createDataFrame(runs, RUNS)
