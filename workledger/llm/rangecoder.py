@@ -29,10 +29,12 @@ MASK = U(0xFFFFFFFF)
 TABLE_BITS = 10
 #: Weights are in units of 2 ** -WEIGHT_BITS, and learned in units of 2 ** -12.
 WEIGHT_BITS = 6
-#: What the learned shares move towards when a guess holds: leaves order 0 a weight of its own.
-MOST = 3900
+#: Learned shares lose a sixteenth and gain this where a guess holds: leaves order 0 a weight of its own.
+GAIN = 243
+#: Lanes that are turned into columns of steps together.
+TURNED = 64
 HEADER = struct.Struct("<4sIIII")
-MAGIC = b"TKB2"
+MAGIC = b"TKB3"
 
 
 class IdTable:
@@ -70,33 +72,28 @@ class IdTable:
         return cls(np.cumsum(steps), shares)
 
 
-def _first_shares() -> tuple[np.ndarray, np.ndarray]:
-    """Weights of both guesses before anything is learned, by (held 2, held 1, agree)."""
+def _first_shares() -> np.ndarray:
+    """Weights of both guesses before anything is learned, by (held 2, held 1, agree): order 2 in the upper half."""
     two, one = np.zeros((4, 4, 2), np.int32), np.zeros((4, 4, 2), np.int32)
     for held in range(4):
         two[held, :, 0] = 400 + 600 * held
         two[held, :, 1] = 1000 + 700 * held
         one[:, held, 0] = 200 + 300 * held
-    return two.ravel(), one.ravel()
+    return (two << 16 | one).ravel()
 
 
 class Lanes:
-    """Models and coder state of a number of blocks."""
+    """Models and coder state of a number of blocks. Arrays of two rows hold order 1, then order 2."""
 
     STATES = 32
-    EACH = {"base": 1, "state": 1, "last": 1, "before": 1, "low": 1, "range": 1, "share2": 32, "share1": 32, "table1": 1 << TABLE_BITS, "table2": 1 << TABLE_BITS}
 
     def __init__(self, lanes: int, table: IdTable):
         self.n = lanes
         self.bits = table.bits
-        self.starts = table.starts
-        self.slots = table.slots
-        self.base = np.arange(lanes, dtype=np.int64) << TABLE_BITS
-        self.table1 = np.zeros(lanes << TABLE_BITS, np.int32)
-        self.table2 = np.zeros(lanes << TABLE_BITS, np.int32)
-        two, one = _first_shares()
-        self.share2 = np.tile(two, lanes)
-        self.share1 = np.tile(one, lanes)
+        self.starts, self.shares, self.slots = table.starts, table.shares, table.slots
+        self.base = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes) << TABLE_BITS
+        self.table = np.zeros(2 * lanes << TABLE_BITS, np.int32)
+        self.share = np.tile(_first_shares(), lanes)
         self.state = np.arange(lanes, dtype=np.int64) * self.STATES
         self.last = np.zeros(lanes, np.uint32)
         self.before = np.zeros(lanes, np.uint32)
@@ -105,68 +102,69 @@ class Lanes:
 
     def predict(self) -> None:
         """Guesses and weights at this step."""
-        # unsigned 32-bit products wrap
-        self.at1 = self.base + (self.last * np.uint32(0x9E3779B1) >> 32 - TABLE_BITS)
-        h = self.last * np.uint32(0x85EBCA6B) + self.before * np.uint32(0xC2B2AE35)
-        self.at2 = self.base + ((h ^ h >> 15) * np.uint32(0x2C1B3C6D) >> 16 & (1 << TABLE_BITS) - 1)
-        self.entry1 = self.table1.take(self.at1)
-        self.entry2 = self.table2.take(self.at2)
-        self.guess1 = self.entry1 >> 2
-        self.guess2 = self.entry2 >> 2
-        self.at = self.state + ((self.entry2 & 3) * 8 + (self.entry1 & 3) * 2 + (self.guess1 == self.guess2))
-        self.s2 = self.share2.take(self.at)
-        self.s1 = self.share1.take(self.at)
-        self.w2 = self.s2 >> 12 - WEIGHT_BITS
-        self.w1 = self.s1 >> 12 - WEIGHT_BITS
-        self.w0 = (1 << WEIGHT_BITS) - self.w2 - self.w1
+        # unsigned 32-bit products wrap; their upper bits are the hash
+        hashes = np.empty((2, self.n), np.uint32)
+        np.multiply(self.last, np.uint32(0x9E3779B1), out=hashes[0])
+        np.add(hashes[0], self.before * np.uint32(0x85EBCA6B), out=hashes[1])
+        self.at = self.base + (hashes >> 32 - TABLE_BITS)
+        entries = self.table.take(self.at)
+        self.guess = entries >> 2
+        self.held = entries & 3
+        self.at_share = self.state + ((self.held[1] * 4 + self.held[0]) * 2 + (self.guess[0] == self.guess[1]))
+        self.learned = self.share.take(self.at_share)
+        self.weight = np.empty((2, self.n), np.int32)
+        np.right_shift(self.learned, 28 - WEIGHT_BITS, out=self.weight[1])
+        np.bitwise_and(self.learned >> 12 - WEIGHT_BITS, (1 << WEIGHT_BITS) - 1, out=self.weight[0])
+        self.rest = (1 << WEIGHT_BITS) - self.weight[0] - self.weight[1]
         self.unit = self.range >> U(WEIGHT_BITS + self.bits)
 
     def find(self, code: np.ndarray) -> np.ndarray:
         """Ids (ranks) whose intervals hold ``code``."""
         t = np.minimum((code - self.low) // self.unit, U((1 << WEIGHT_BITS + self.bits) - 1)).astype(np.int32)
-        swap = self.guess1 < self.guess2
-        a, b = np.minimum(self.guess1, self.guess2), np.maximum(self.guess1, self.guess2)
-        mass_a = np.where(swap, self.w1, self.w2) << self.bits
-        mass_b = np.where(swap, self.w2, self.w1) << self.bits
-        start_a = self.w0 * self.starts.take(a)
-        end_a = self.w0 * self.starts.take(a + 1) + mass_a
-        start_b = self.w0 * self.starts.take(b) + mass_a
-        end_b = self.w0 * self.starts.take(b + 1) + mass_a + mass_b
-        plain = t - mass_a * (t >= end_a) - mass_b * (t >= end_b)
-        # ends hold; a guess's own interval is wider than its order-0 share, and is told first
-        found = self.slots.take((plain / self.w0).astype(np.intp), mode="clip")  # quotients of small integers floor exactly
-        found = np.where((t >= start_b) & (t < end_b), b, found)
-        return np.where((t >= start_a) & (t < end_a), a, found)
-
-    def code(self, ids: np.ndarray, start: np.ndarray, share: np.ndarray) -> np.ndarray:
-        """Narrow the intervals to ``ids`` (ranks) and learn from them; the lanes whose interval is too small now."""
-        hit2, hit1 = self.guess2 == ids, self.guess1 == ids
-        below = self.w2 * (self.guess2 < ids) + self.w1 * (self.guess1 < ids)
-        held = self.w2 * hit2 + self.w1 * hit1
-        self.low += self.unit * (self.w0 * start + (below << self.bits)).astype(U)
-        self.range = self.unit * (self.w0 * share + (held << self.bits)).astype(U)
-        self.share2[self.at] = self.s2 + (hit2 * np.int32(MOST) - self.s2 >> 4)
-        self.share1[self.at] = self.s1 + ((hit1 & ~hit2) * np.int32(MOST) - self.s1 >> 4)
-        fresh = ids << 2
-        self.table1[self.at1] = np.where(hit1, np.minimum(self.entry1 + 1, fresh + 3), fresh)
-        self.table2[self.at2] = np.where(hit2, np.minimum(self.entry2 + 1, fresh + 3), fresh)
+        mass = self.weight << self.bits
+        # where the guesses' intervals start: the other guess's mass lies before the greater one, if equal before order 2
+        first = self.rest * self.starts.take(self.guess)
+        greater = self.guess[0] > self.guess[1]
+        first[0] += mass[1] * greater
+        first[1] += mass[0] * ~greater
+        past = t - first
+        # negative distances are large unsigned ones
+        inside = past.view(np.uint32) < (self.rest * self.shares.take(self.guess) + mass).view(np.uint32)
+        over = mass * (past >= 0)
+        plain = t - over[0] - over[1]
+        # inside holds; a guess's own interval is wider than its order-0 share, and is told first
+        found = self.slots.take((plain / self.rest).astype(np.intp), mode="clip")  # quotients of small integers floor exactly
+        return np.where(inside[1], self.guess[1], np.where(inside[0], self.guess[0], found))
+
+    def code(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Narrow the intervals to ``ids`` (ranks) and learn from them.
+
+        Gives the lanes whose interval became too small, and the word of 32 bits that each of them shifts out.
+        """
+        hit = self.guess == ids
+        below, held = self.weight * (self.guess < ids), self.weight * hit
+        self.low += self.unit * (self.rest * self.starts.take(ids) + (below[0] + below[1] << self.bits)).astype(U)
+        self.range = self.unit * (self.rest * self.shares.take(ids) + (held[0] + held[1] << self.bits)).astype(U)
+        # both halves at once; order 1 learns how often it alone holds
+        self.learned -= self.learned >> 4 & 0x0FFF0FFF
+        self.learned += hit[1] * np.int32(GAIN << 16)
+        self.learned += (hit[0] > hit[1]) * np.int32(GAIN)
+        self.share[self.at_share] = self.learned
+        self.table[self.at] = (ids << 2) + np.minimum(self.held + 1, 3) * hit
         self.before, self.last = self.last, ids.view(np.uint32)
         at = np.flatnonzero(self.range <= MASK)
-        if len(at):
-            low, width = self.low[at], self.range[at]
-            straddles = (low ^ (low + (width - U(1)))) > MASK
-            self.range[at] = np.where(straddles, (MASK - (low & MASK)) + U(1), width)
-        return at
-
-    def shift(self, at: np.ndarray) -> None:
-        self.low[at] <<= U(32)
-        self.range[at] <<= U(32)
+        low, width = self.low[at], self.range[at]
+        straddles = (low ^ (low + (width - U(1)))) > MASK
+        self.range[at] = np.where(straddles, (MASK - (low & MASK)) + U(1), width) << U(32)
+        self.low[at] = low << U(32)
+        return at, (low >> U(32)).astype(np.uint32)
 
     def keep(self, lanes: int) -> None:
         """Drop all lanes but the first ones."""
         self.n = lanes
-        for name, each in self.EACH.items():
-            setattr(self, name, getattr(self, name)[: lanes * each])
+        self.base = self.base[:, :lanes]
+        for name in ("state", "last", "before", "low", "range"):
+            setattr(self, name, getattr(self, name)[:lanes])
 
 
 def _by_length(lengths: list[int]) -> tuple[list[int], np.ndarray, list[int]]:
@@ -182,32 +180,35 @@ def encode_blocks(blocks: list[np.ndarray], table: IdTable) -> list[bytes]:
         return []
     order, lengths, alive = _by_length([len(b) for b in blocks])
     grid = np.zeros((len(alive), len(blocks)), np.int32)
-    for lane, i in enumerate(order):
-        grid[: lengths[lane], lane] = table.ranks[blocks[i]]
+    for first in range(0, len(blocks), TURNED):
+        some = np.zeros((min(TURNED, len(blocks) - first), len(alive)), np.int32)
+        for row, i in zip(some, order[first : first + TURNED]):
+            row[: len(blocks[i])] = table.ranks[blocks[i]]
+        grid[:, first : first + TURNED] = some.T
     model = Lanes(len(blocks), table)
     words = np.zeros((len(blocks), len(alive) + 3), np.uint32)
-    used = np.zeros(len(blocks), np.int64)
+    flat = words.ravel()
+    start = np.arange(len(blocks)) * words.shape[1]
+    place = start.copy()
     lows = np.zeros(len(blocks), U)
     for step, n in enumerate(alive):
         if n < model.n:
             lows[n : model.n] = model.low[n:]
             model.keep(n)
-        ids = grid[step, :n]
         model.predict()
-        at = model.code(ids, table.starts.take(ids), table.shares.take(ids))
-        if len(at):
-            words[at, used[at]] = (model.low[at] >> U(32)).astype(np.uint32)
-            used[at] += 1
-            model.shift(at)
+        at, out_words = model.code(grid[step, :n])
+        here = place[at]
+        flat[here] = out_words
+        place[at] = here + 1
     lows[: model.n] = model.low
-    every = np.arange(len(blocks))
     for half in (lows >> U(32), lows & MASK):  # the lower bound itself lies in the interval
-        words[every, used] = half.astype(np.uint32)
-        used += 1
+        flat[place] = half.astype(np.uint32)
+        place += 1
+    used = place - start
     out: list[bytes] = [b""] * len(blocks)
     for lane, i in enumerate(order):
         body = words[lane, : used[lane]].astype("<u4").tobytes()
-        ids = np.asarray(blocks[i], "<u4").tobytes()
+        ids = np.ascontiguousarray(blocks[i], "<u4")
         out[i] = HEADER.pack(MAGIC, len(blocks[i]), len(body), zlib.crc32(ids), zlib.crc32(body)) + body
     return out
 
@@ -243,9 +244,9 @@ def decode_blocks(blocks: list[bytes], table: IdTable) -> list[np.ndarray]:
     for lane, i in enumerate(order):
         words[lane, : n_words[lane]] = np.frombuffer(blocks[i], "<u4", offset=HEADER.size)
     model = Lanes(len(blocks), table)
-    used = np.full(len(blocks), 2, np.int64)
+    flat = words.ravel()
+    place = np.arange(len(blocks)) * words.shape[1] + 2
     code = words[:, 0].astype(U) << U(32) | words[:, 1]
-    last_word = words.shape[1] - 1
     grid = np.zeros((len(alive), len(blocks)), np.uint32)
     for step, n in enumerate(alive):
         if n < model.n:
@@ -253,15 +254,17 @@ def decode_blocks(blocks: list[bytes], table: IdTable) -> list[np.ndarray]:
             code = code[:n]
         model.predict()
         ids = model.find(code)
-        grid[step, :n] = table.ids.take(ids)
-        at = model.code(ids, table.starts.take(ids), table.shares.take(ids))
-        if len(at):
-            model.shift(at)
-            code[at] = code[at] << U(32) | words[at, np.minimum(used[at], last_word)]
-            used[at] += 1
+        grid[step, :n] = ids
+        at, _ = model.code(ids)
+        here = place[at]
+        code[at] = code[at] << U(32) | flat.take(here, mode="clip")
+        place[at] = here + 1
     out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(blocks)
-    for lane, i in enumerate(order):
-        out[i] = grid[: lengths[lane], lane].copy()
-        if zlib.crc32(out[i].astype("<u4").tobytes()) != heads[i][3]:
-            raise ValueError("decoded ids differ from those encoded")
+    ids_of = table.ids.astype(np.uint32)
+    for first in range(0, len(blocks), TURNED):
+        some = ids_of.take(np.ascontiguousarray(grid[:, first : first + TURNED].T))
+        for row, i in zip(some, order[first : first + TURNED]):
+            out[i] = row[: heads[i][1]].copy()
+            if zlib.crc32(out[i].astype("<u4", copy=False)) != heads[i][3]:
+                raise ValueError("decoded ids differ from those encoded")
     return out

@@ -34,17 +34,33 @@ from workledger.llm.tokens import piece_ids
 
 @dataclass(frozen=True)
 class BlockConfig:
-    """``lanes`` blocks are coded side by side; memory is in proportion to ``lanes * block_ids``."""
+    """``lanes`` blocks are coded side by side; memory is in proportion to ``lanes * block_ids``.
+
+    Texts of about ``text_bytes`` together, or one that is longer, are cut into ids at once.
+    """
 
     end_id: int = 2
     block_ids: int = 2_048
     segment_ids: int = 524_288
     lanes: int = 4_096
+    text_bytes: int = 4_194_304
 
 
 SCHEMA = "segment long, doc_ids array<long>, n_ids array<long>, table binary, data binary"
 
 
+def _parts(keys: list, bodies: list[bytes], most: int) -> Iterator[tuple[list, list[bytes]]]:
+    """Rows in order, in parts whose bodies have ``most`` bytes together, or are a single longer one."""
+    first = size = 0
+    for i, body in enumerate(bodies):
+        if size and size + len(body) > most:
+            yield keys[first:i], bodies[first:i]
+            first, size = i, 0
+        size += len(body)
+    if bodies:
+        yield keys[first:], bodies[first:]
+
+
 def _encode(path: str, config: BlockConfig):
     end = np.array([config.end_id], "<u4").tobytes()
 
@@ -97,9 +113,8 @@ def _encode(path: str, config: BlockConfig):
             return batch
 
         for batch in batches:
-            keys, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(keys), 64):
-                for key, ids in zip(keys[i : i + 64], ids_of(bodies[i : i + 64]), strict=True):
+            for keys, bodies in _parts(batch.column(0).to_pylist(), batch.column(1).to_pylist(), config.text_bytes):
+                for key, ids in zip(keys, ids_of(bodies), strict=True):
                     docs.append(key)
                     held.append(ids + end)
                     lengths.append(len(ids) // 4 + 1)
@@ -123,9 +138,10 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, config:
     together in the order of their texts. No rows give files without segments. Other columns are not read.
     """
     python_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"), *(F.col(c).alias(f"order_{i}") for i, c in enumerate(order)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"order_{i}") for i, c in enumerate(order)))
     keys = [f"order_{i}" for i in range(len(order))] or ["doc_id"]
-    sorted_ = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "doc_id", "body").select("doc_id", "body")
+    # texts become bytes after the exchange: the range partition's sample reads what is in front of it once more
+    sorted_ = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "doc_id", "text").select("doc_id", text_bytes().alias("body"))
     coded = sorted_.mapInArrow(_encode(tokenizer_path, config), SCHEMA)
     coded.withColumn("shard", F.spark_partition_id().cast("long")).write.parquet(path)
 
@@ -159,9 +175,9 @@ def _check(config: BlockConfig):
                 ends = np.cumsum(row["n_ids"])
                 if len(ids) != ends[-1]:
                     raise ValueError(f"segment {row['shard']}/{row['segment']} has {len(ids)} ids, not {ends[-1]}")
-                little = ids.astype("<u4")
+                little = ids.astype("<u4", copy=False)
                 for i, (doc, n, stop) in enumerate(zip(row["doc_ids"], row["n_ids"], ends.tolist(), strict=True)):
-                    crc = zlib.crc32(little[stop - n : stop].tobytes())
+                    crc = zlib.crc32(little[stop - n : stop])
                     for column, value in zip(columns, (row["shard"], row["segment"], i, doc, stop - n, crc), strict=True):
                         column.append(value)
             return pa.RecordBatch.from_arrays(
