@@ -45,6 +45,29 @@ def tok_ids(tok, text):
     return tok.encode(text, add_special_tokens=False).ids
 
 
+def test_different_pieces_of_a_batch_are_looked_up_once_and_may_be_forgotten(monkeypatch):
+    """Before, every piece was looked up where it stands."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            Counted.asked += 1
+            return super().get(*args)
+
+    ids, tok = PieceIds(BYTE), Tokenizer.from_file(BYTE)
+    ids.rows = Counted()
+    text = " some words, some é words\n" * 200
+    want = np.array(tok_ids(tok, text), "<u4").tobytes()
+    assert ids([text.encode()] * 3) == [want] * 3 and 0 < Counted.asked < 10
+    monkeypatch.setattr("workledger.llm.tokens.REMEMBERED_IDS", 40)
+    draw = np.random.default_rng(5)
+    for _ in range(30):
+        texts = [*ODD, "".join(draw.choice([" ", "ab", "Cé", "x", "'s", "$", "\n", "12"], 60)), " ".join(f"w{'abcdefgh'[k % 8]}{k}" for k in draw.integers(0, 99, 50))]
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids([t.encode() for t in texts])] == [tok_ids(tok, t) for t in texts]
+    assert len(ids.rows) < 300
+
+
 def test_counts_and_their_cache(spark, tmp_path):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)] + [(90, ODD[5]), (90, "other"), (91, None), (None, "x y"), (92, "w " * 3000)], DOC)
     cache = f"file://{tmp_path}/cache"
