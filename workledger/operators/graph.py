@@ -6,12 +6,14 @@ Minima and distinct combine before the shuffle; no node's neighbours are gathere
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from workledger.functions.ids import ref
 from workledger.schema import SUPPORTING
-from workledger.shared import in_order, skew_join, written
+from workledger.shared import freed, in_order, skew_join, written
 
 MAX_ROUNDS = 60
 
@@ -67,14 +69,14 @@ def attribution_graph(crosswalks: DataFrame, relations: DataFrame, outcomes: Dat
 def reachable(roots: DataFrame, edges: DataFrame, max_depth: int = 4) -> DataFrame:
     """``(root, node)`` and ``(source, target)`` -> ``root, node, depth``, depth of first arrival, up to a bound."""
     steps = written(edges.select("source", "target").distinct(), "steps")
-    seen = frontier = written(roots.select("root", "node").distinct().withColumn("depth", F.lit(0)), "frontier")
+    levels = [written(roots.select("root", "node").distinct().withColumn("depth", F.lit(0)), "frontier")]
     for depth in range(1, max_depth + 1):
-        moved = frontier.join(steps, frontier["node"] == steps["source"]).select("root", F.col("target").alias("node")).distinct()
-        frontier = written(moved.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-        if frontier.isEmpty():
+        moved = levels[-1].join(steps, levels[-1]["node"] == steps["source"]).select("root", F.col("target").alias("node")).distinct()
+        levels.append(written(moved.join(_all(levels), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "frontier"))
+        if levels[-1].isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen
+    freed(steps)
+    return _held(_all(levels), levels)
 
 
 def traverse(root: DataFrame, relations: DataFrame, direction: str = "both", max_depth: int = 4, predicates: list[str] | None = None) -> DataFrame:
@@ -147,7 +149,8 @@ def family_closure(seeds: DataFrame, events: DataFrame) -> DataFrame:
 def lineage(costs: DataFrame, events: DataFrame) -> DataFrame:
     """``(event_id, parent_event_id, session_id)`` costs -> ``cost_id, event_id`` of every stored ancestor.
 
-    As deep as chains go; a cycle ends where it meets what was seen.
+    Each round goes twice as far as the one before, so chains of n ancestors take log n rounds; a cycle ends where
+    nothing is new.
     """
     known = events.select("event_id")
     exploded = events.select("event_id", F.explode(F.array_compact(F.array("parent_event_id", "session_id"))).alias("up"))
@@ -155,12 +158,19 @@ def lineage(costs: DataFrame, events: DataFrame) -> DataFrame:
     start = costs.select(
         F.col("event_id").alias("cost_id"), F.explode(F.array_compact(F.array("parent_event_id", "session_id"))).alias("event_id")
     ).where("cost_id <> event_id")
-    seen = frontier = written(start.distinct().join(known, "event_id", "left_semi").select("cost_id", "event_id"), "lineage")
-    while not frontier.isEmpty():
-        moved = frontier.join(ups, "event_id").select("cost_id", F.col("up").alias("event_id")).where("cost_id <> event_id").distinct()
-        frontier = written(moved.join(seen, ["cost_id", "event_id"], "left_anti"), "lineage")
-        seen = seen.unionByName(frontier)
-    return seen
+    levels = [written(start.distinct().join(known, "event_id", "left_semi").select("cost_id", "event_id"), "lineage")]
+    while True:  # ``ups`` leads up a power of two, and ``levels`` hold all that is at most as far from a cost
+        seen = _all(levels)
+        moved = seen.join(ups, "event_id").select("cost_id", F.col("up").alias("event_id")).where("cost_id <> event_id").distinct()
+        levels.append(written(moved.join(seen, ["cost_id", "event_id"], "left_anti"), "lineage"))
+        if levels[-1].isEmpty():
+            break
+        further = ups.join(ups.select(F.col("event_id").alias("up"), F.col("up").alias("next")), "up").select("event_id", F.col("next").alias("up"))
+        further = written(further.distinct(), "ups")
+        freed(ups)
+        ups = further
+    freed(ups)
+    return _held(_all(levels), levels)
 
 
 #: What a step of a walk is shown as.
@@ -171,7 +181,37 @@ def placed_edges(edges: DataFrame) -> DataFrame:
     """``edges`` with ``edge``, their number in the order (target, kind, edge_id, direction, source)."""
     rows = edges.select(*STEP, "establishes")
     order = ("target", "kind", "edge_id", "direction", "source")
-    return written(in_order(rows, "edges", *order).withColumnRenamed("place", "edge"), "placed-edges")
+    placed = in_order(rows, "edges", *order)
+    out = written(placed.withColumnRenamed("place", "edge"), "placed-edges")
+    freed(placed)
+    return out
+
+
+def arrivals(roots: DataFrame, edges: DataFrame, max_depth: int = 8) -> DataFrame:
+    """``walks`` over edges without numbers: the same ``start, node, used, depth``, and null for each ``path``.
+
+    Whether a walk arrives does not depend on which of several equal ones is shown, so ends of edges are all that is kept.
+    """
+    steps = written(edges.select(F.col("source").alias("node"), "target", "establishes").distinct(), "steps")
+    levels = [written(roots.select("start", "node", F.lit(False).alias("used"), F.lit(0).alias("depth")).distinct(), "walks")]
+    for depth in range(1, max_depth + 1):
+        moved = skew_join(levels[-1], steps, "node").select("start", F.col("target").alias("node"), (F.col("used") | F.col("establishes")).alias("used"))
+        fresh = moved.distinct().join(_all(levels).select("start", "node", "used"), ["start", "node", "used"], "left_anti")
+        levels.append(written(fresh.withColumn("depth", F.lit(depth)), "walks"))
+        if levels[-1].isEmpty():
+            break
+    freed(steps)
+    return _held(_all(levels).withColumn("path", F.lit(None).cast("array<long>")), levels)
+
+
+def _all(levels: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, levels)
+
+
+def _held(df: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """``df`` with the written frames that it reads, which a caller may free once it is done."""
+    df.levels = levels
+    return df
 
 
 def walks(roots: DataFrame, placed: DataFrame, max_depth: int = 8) -> DataFrame:
@@ -186,20 +226,20 @@ def walks(roots: DataFrame, placed: DataFrame, max_depth: int = 8) -> DataFrame:
     steps = written(fewest.withColumnRenamed("source", "node"), "steps")
     numbers = in_order(roots.select("node").distinct(), "roots", "node")
     first = skew_join(roots.select("start", "node").distinct(), numbers, "node")
-    seen = frontier = written(
-        first.select("start", "node", F.lit(False).alias("used"), F.lit(0).alias("depth"), F.array("place").alias("path")), "walks"
-    )
+    levels = [written(first.select("start", "node", F.lit(False).alias("used"), F.lit(0).alias("depth"), F.array("place").alias("path")), "walks")]
+    freed(numbers)
     for depth in range(1, max_depth + 1):
-        moved = skew_join(frontier, steps, "node").select(
+        moved = skew_join(levels[-1], steps, "node").select(
             "start", F.col("target").alias("node"), (F.col("used") | F.col("establishes")).alias("used"), F.array_append("path", F.col("edge")).alias("path")
         )
-        fresh = moved.join(seen.select("start", "node", "used"), ["start", "node", "used"], "left_anti")
-        best = fresh.groupBy("start", "node", "used").agg(F.min("path").alias("path"))
-        frontier = written(best.select("start", "node", "used", F.lit(depth).alias("depth"), "path"), "walks")
-        if frontier.isEmpty():
+        # the first walk of each arrival is taken before what was seen, as it combines before the shuffle
+        best = moved.groupBy("start", "node", "used").agg(F.min("path").alias("path"))
+        fresh = best.join(_all(levels).select("start", "node", "used"), ["start", "node", "used"], "left_anti")
+        levels.append(written(fresh.select("start", "node", "used", F.lit(depth).alias("depth"), "path"), "walks"))
+        if levels[-1].isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen
+    freed(steps)
+    return _held(_all(levels), levels)
 
 
 def steps_of(paths: DataFrame, placed: DataFrame) -> DataFrame:

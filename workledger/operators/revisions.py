@@ -48,17 +48,24 @@ def native_conflicts(stored: DataFrame, batch: DataFrame) -> DataFrame:
     return batch.join(held, ["adapter", "kind", "native_id"]).where("event_id <> __id").drop("__id")
 
 
-def latest(records: DataFrame, key: str, order: str = "sequence") -> DataFrame:
+def latest(records: DataFrame, key: str | list[str], order: str = "sequence") -> DataFrame:
     """The last revision of each id; of equal numbers, the one with the larger record_id where there is one.
 
-    The winner combines before the shuffle, so an id with a long history is no large group.
+    The winner combines before the shuffle, so an id with a long history is no large group. What moves is one struct a
+    row that starts with what ranks it, so each column is carried once; columns that maps keep from being compared
+    follow a copy of the ranking ones. A caller that needs few columns selects them first.
     """
-    ties = [c for c in ("record_id", "revision_id") if c in records.columns and c != order]
-    best = records.groupBy(F.col(key).alias("latest_key")).agg(F.max_by(F.struct("*"), F.struct(order, *ties)).alias("latest_row"))
-    return best.select("latest_row.*")
+    keys = [key] if isinstance(key, str) else key
+    ties = [c for c in ("record_id", "revision_id") if c in records.columns and c not in (order, *keys)]
+    rest = [c for c in records.columns if c not in (order, *ties, *keys)]
+    if any("map<" in records.schema[c].dataType.simpleString() for c in rest):
+        best = F.max_by(F.struct(order, *ties, *rest), F.struct(order, *ties))
+    else:
+        best = F.max(F.struct(order, *ties, *rest))
+    return records.groupBy(*keys).agg(best.alias("latest_row")).select(*(c if c in keys else F.col(f"latest_row.{c}").alias(c) for c in records.columns))
 
 
-def current(records: DataFrame, key: str, order: str = "sequence") -> DataFrame:
+def current(records: DataFrame, key: str | list[str], order: str = "sequence") -> DataFrame:
     """Ids whose last revision asserts; a refuted id has no current state."""
     return latest(records, key, order).where("state = 'asserted'")
 

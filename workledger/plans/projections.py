@@ -12,6 +12,7 @@ from workledger.operators import activity, effectiveness, evaluation, findings,
 from workledger.plans import oracles as o
 from workledger.plans import workbench as wb
 from workledger.plans.edge import edge
+from workledger.shared import written
 
 QUERIES, ORACLES = {}, {}
 N, D = o.B, o.D
@@ -149,7 +150,7 @@ def deep_lineage(spark, sf):
 )
 def traversals(spark, sf):
     """From every commit inwards to its job, and from every job outwards."""
-    now = revisions.current(wb.relation_revisions(spark, sf), "relation_id")
+    now = written(wb.current_relations(spark, sf), "relations")
     commit, job = ref(F.col("object_ns"), "object_val"), ref(F.col("subject_ns"), "subject_val")
     rows = now.where("object_ns = 'git.commit'").select(commit.alias("root"), commit.alias("node"))
     inwards = graph.traverse(rows, now, "incoming", 1, ["produced"]).where("depth > 0").select(F.lit("incoming").alias("way"), "depth")

@@ -76,7 +76,7 @@ def coverage_gaps(spark, sf):
 
 @query
 def current_relations(spark, sf):
-    now = revisions.current(wb.relation_revisions(spark, sf), "relation_id")
+    now = wb.current_relations(spark, sf)
     return edge(now.groupBy("object_ns").agg(F.count("*").alias("n"), F.countDistinct("subject_val").alias("n_subjects")))
 
 
@@ -94,9 +94,9 @@ def latest_outcomes(spark, sf):
 
 
 def _attributed(spark, sf):
+    """States of all costs; no query over them shows the steps that led to an outcome."""
     costs = accounting.select_costs(wb.order_costs(spark, sf))
-    now = revisions.current(wb.relation_revisions(spark, sf), "relation_id")
-    return attribution.attribute(costs, wb.calls(spark, sf), wb.outcomes(spark, sf), wb.crosswalks(spark, sf), now)
+    return attribution.states(costs, wb.calls(spark, sf), wb.outcomes(spark, sf), wb.crosswalks(spark, sf), wb.current_relations(spark, sf))
 
 
 @query
@@ -123,7 +123,7 @@ def window_allocation(spark, sf):
 @query
 def connected_refs_depth4(spark, sf):
     """How many references each call reaches within four steps."""
-    now = revisions.current(wb.relation_revisions(spark, sf), "relation_id")
+    now = wb.current_relations(spark, sf)
     edges = graph.crosswalk_edges(wb.crosswalks(spark, sf)).unionByName(graph.relation_edges(now))
     o = wb.table(spark, sf, "orders")
     root = F.concat(F.lit("somm.call\x01"), F.col("o_orderkey").cast("string"))

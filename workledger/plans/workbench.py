@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from workledger.functions.ids import event_id, relation_id, stable_id
+from workledger.operators import revisions
 from workledger.schema import MONEY
 
 ADAPTERS = ("claude-code", "codex", "hermes", "opencode", "somm")
@@ -126,8 +127,12 @@ def order_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def relation_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Job-to-commit revisions from lineitem, in shipping order, and job-to-call relations from orders."""
+#: What tells relations of ``relation_rows`` apart, as their subjects and predicates are of one kind.
+RELATION_KEY = ["subject_val", "object_ns", "object_val"]
+
+
+def relation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job-to-commit revisions from lineitem, in shipping order, and job-to-call relations from orders, without ids."""
     li = table(spark, sf_dir, "lineitem")
     order = ["l_shipdate", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
     commit = F.concat_ws("-", "l_orderkey", "l_suppkey")
@@ -143,7 +148,21 @@ def relation_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").cast("string").alias("object_val"), F.lit("asserted").alias("state"),
         F.col("o_orderdate").cast("timestamp").alias("recorded_at"), blank.alias("sequence"),
     )
-    both = made.unionByName(linked).withColumn("subject_ns", F.lit("fab.job")).withColumn("predicate", F.lit("produced"))
+    return made.unionByName(linked)
+
+
+def relation_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``relation_rows`` with their ids."""
+    return _identified(relation_rows(spark, sf_dir))
+
+
+def current_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations whose last revision asserts; ids are made of what is left, so they are not moved."""
+    return _identified(revisions.current(relation_rows(spark, sf_dir).drop("recorded_at"), RELATION_KEY))
+
+
+def _identified(rows: DataFrame) -> DataFrame:
+    both = rows.withColumn("subject_ns", F.lit("fab.job")).withColumn("predicate", F.lit("produced"))
     ids = both.withColumn("relation_id", relation_id("subject_ns", "subject_val", "predicate", "object_ns", "object_val"))
     return ids.withColumns(
         {
