@@ -9,7 +9,7 @@ from workledger.functions.ids import iso_text
 from workledger.operators import accounting, gates, report, revisions, views
 from workledger.plans import workbench as wb
 from workledger.plans.edge import edge
-from workledger.shared import shared_path
+from workledger.shared import remove, shared_path, shuffles_end
 from workledger.sources import base, registries, tables
 
 QUERIES = {}
@@ -78,7 +78,8 @@ def commit_log(spark: SparkSession, sf: str) -> str:
     fields = [sha, iso_text("at"), F.lit(""), F.lit("N"), F.lit("e"), F.lit(""), F.concat(F.lit("ships "), F.col("n").cast("string"))]
     whole = F.concat_ws("\0", *fields, F.lit("body"))
     record = F.when(F.col("l_suppkey") % 17 == 0, F.concat_ws("\0", *fields)).otherwise(whole)
-    made.select(record.alias("value")).write.option("lineSep", "\x1e").text(path)
+    with shuffles_end(spark):
+        made.select(record.alias("value")).write.option("lineSep", "\x1e").text(path)
     return path
 
 
@@ -211,8 +212,10 @@ def scan_report(spark, sf):
 @query
 def scan_numbered_links(spark, sf):
     """Link revisions from a log get distinct, dense numbers in time order; each link's last one is current."""
-    found, _ = base.ingest_all(spark, {"git": commit_log(spark, sf)})
-    links = found.crosswalks
+    log = commit_log(spark, sf)
+    found, _ = base.ingest_all(spark, {"git": log})
+    remove(spark, log)  # what was read of it is stored
+    links = found.crosswalks.select("link_id", "record_id", "sequence", "state")
     now = revisions.current(links, "link_id")
     order = links.agg(F.count("*").alias("n"), F.countDistinct("sequence").alias("n_numbers"), F.min("sequence").alias("least"), F.max("sequence").alias("most"))
     return edge(order.join(F.broadcast(now.agg(F.count("*").alias("n_current")))))

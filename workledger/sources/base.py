@@ -217,11 +217,10 @@ def ingest_all(spark: SparkSession, roots: dict[str, str], since: str | None = N
     it runs, gives a failed run and no rows and stops no other. Links and relations are numbered over all, from
     ``first_revision``; a ``store`` numbers them on by itself.
     """
-    from workledger.shared import written
+    from workledger.shared import freed, written
     from workledger.sources.scan import own_failure
 
-    total = Ingested(spark)
-    runs = []
+    total, runs, unnumbered = Ingested(spark), [], []
     for n, (name, path) in enumerate(roots.items(), first_sequence):
         try:
             kept, outside = REGISTRY[name](spark, path, **options).window(since, until)
@@ -229,9 +228,11 @@ def ingest_all(spark: SparkSession, roots: dict[str, str], since: str | None = N
             left = sum(r["outside_window"] for r in outside.collect())
             runs.append((name, path, n, "ok", None, 0, left, *(df.count() for df in parts.values())))
             total = total + Ingested(spark, **parts)
+            unnumbered += [parts["crosswalks"], parts["relations"]]
         except Exception as broken:  # a source's own failure is a result here; a full disk or a lost folder is not
             if not own_failure(broken):
                 raise
             runs.append((name, path, n, "error", str(broken)[:500], 1, 0, 0, 0, 0, 0))
     total.crosswalks, total.relations = numbered(total.crosswalks, first_revision), numbered(total.relations, first_revision)
+    freed(*unnumbered)
     return total, spark.createDataFrame(runs, RUNS)
