@@ -150,7 +150,9 @@ def deep_lineage(spark, sf):
 )
 def traversals(spark, sf):
     """From every commit inwards to its job, and from every job outwards."""
-    now = written(wb.current_relations(spark, sf), "relations")
+    ends = ["subject_ns", "subject_val", "predicate", "object_ns", "object_val"]
+    now = written(wb.current_relations(spark, sf).select(*ends), "relations")  # a walk needs no ids
+    now = now.withColumns({"relation_id": F.lit(None).cast("string"), "record_id": F.lit(None).cast("string"), "evidence_event_ids": F.array().cast("array<string>")})
     commit, job = ref(F.col("object_ns"), "object_val"), ref(F.col("subject_ns"), "subject_val")
     rows = now.where("object_ns = 'git.commit'").select(commit.alias("root"), commit.alias("node"))
     inwards = graph.traverse(rows, now, "incoming", 1, ["produced"]).where("depth > 0").select(F.lit("incoming").alias("way"), "depth")
